@@ -1 +1,299 @@
-"""stub"""
+"""Profiles, correlations, models, attributions, effects, clusters and the raster opening."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from rillwork import config
+from rillwork.catalog.base import LINES, RANKED, WIDE, lines, query, ranked, table, wide
+from rillwork.functions import columns as X
+from rillwork.operators import attribution, effects, models, profile, ranks, raster
+from rillwork.session import stage
+
+FEATURES = [*config.CLIMATE, *config.SOIL, *config.HUMAN]
+ROLES = {**{c: "climate" for c in config.CLIMATE}, **{c: "soil" for c in config.SOIL}, **{c: "human" for c in config.HUMAN}}
+LOG = config.LOG_TARGET
+
+
+def modelled(spark, d):
+    """Rows with a target, numeric key for contiguous folds."""
+    return wide(spark, d).where(F.col(LOG).isNotNull()).withColumn("key", F.col("fips").cast("long"))
+
+
+def _label(df, label):
+    return stage(df, label)
+
+
+_keep = lambda label: (lambda df: stage(df, label))
+
+# -- profiles ---------------------------------------------------------------------------------------------------------
+
+_P = ", ".join(f"round(quantile_cont(crop_water_eff, {p / 100}), 2) AS p{p}" for p in (10, 25, 50, 75, 90))
+
+
+@query("a14_distribution", f"WITH {WIDE} SELECT count(crop_water_eff) AS n, round(avg(crop_water_eff), 2) AS mean, round(median(crop_water_eff), 2) AS median, round(stddev_samp(crop_water_eff), 2) AS std, {_P} FROM wide")
+def a14(spark, d):
+    return profile.distribution(wide(spark, d), "crop_water_eff")
+
+
+@query("a15_coverage", f"WITH {WIDE} " + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, count({c}) AS n, round(count({c}) / count(*)::DOUBLE * 100, 1) AS pct, count({c}) / count(*) < 0.3 AS low_coverage, '{ROLES[c]}' AS role FROM wide" for c in FEATURES))
+def a15(spark, d):
+    return profile.coverage(wide(spark, d), FEATURES, ROLES)
+
+
+@query("a16_correlations", f"WITH {WIDE}, c AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, corr({c}, {LOG}) AS r, count(*) FILTER ({c} IS NOT NULL AND {LOG} IS NOT NULL) AS n FROM wide" for c in FEATURES)
+       + ") SELECT feature, round(r, 3) AS r, n FROM c WHERE n >= 50")
+def a16(spark, d):
+    return profile.correlations(wide(spark, d), FEATURES, LOG).select("feature", "r", "n")
+
+
+@query("a16p_correlation_tests")
+def a16p(spark, d):
+    return profile.correlations(wide(spark, d), FEATURES, LOG)
+
+
+_NONNULL = " AND ".join(f"{c} IS NOT NULL" for c in FEATURES)
+
+
+@query("a17_correlation_matrix", f"WITH {WIDE}, c AS (SELECT * FROM wide WHERE {_NONNULL}) " + " UNION ALL ".join(
+    f"SELECT {i}::INT AS i, {j}::INT AS j, " + ("1.0::DOUBLE AS r" if i == j else f"round(corr({a}, {b}), 6) AS r FROM c")
+    for i, a in enumerate(FEATURES) for j, b in enumerate(FEATURES)))
+def a17(spark, d):
+    x = wide(spark, d)
+    cols, m = profile.correlation_matrix(x, FEATURES)
+    return profile.matrix_rows(x, cols, m).select("i", "j", F.round("r", 6).alias("r"))
+
+
+@query("a18_vif")
+def a18(spark, d):
+    x = wide(spark, d).withColumn("deficit_twice", F.col("precip_deficit_in") * 2 + F.col("drought_intensity"))
+    cols, m = profile.correlation_matrix(x, [*FEATURES, "deficit_twice"])
+    kept, dropped = profile.vif_prune(cols, m)
+    rows = [(f, v, False) for f, v in kept] + [(f, None, True) for f in dropped]
+    return spark.createDataFrame(rows, "feature string, vif double, dropped boolean")
+
+
+_PAIR = ["precip_deficit_in", "eto_avg_in", "centerpivot_ratio", "irrigated_area_ac", "est_water_af"]
+
+
+@query("a19_high_pairs", f"WITH {WIDE}, c AS (SELECT * FROM wide WHERE {' AND '.join(f'{c} IS NOT NULL' for c in _PAIR)}), p AS (" + " UNION ALL ".join(
+    f"SELECT '{a}' AS feat1, '{b}' AS feat2, corr({a}, {b}) AS r FROM c" for i, a in enumerate(_PAIR) for b in _PAIR[i + 1:]) + ") SELECT feat1, feat2, round(r, 3) AS r FROM p WHERE abs(r) > 0.7")
+def a19(spark, d):
+    return profile.high_pairs(profile.pair_correlations(wide(spark, d), _PAIR))
+
+
+@query("a20_high_low", f"WITH {WIDE}, q AS (SELECT quantile_cont({LOG}, 0.33) AS lo, quantile_cont({LOG}, 0.66) AS hi FROM wide), m AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, (SELECT median({c}) FROM wide, q WHERE {LOG} >= hi) AS h, (SELECT median({c}) FROM wide, q WHERE {LOG} <= lo) AS l" for c in config.HUMAN)
+    + ") SELECT feature, round(h, 3) AS high_eff_median, round(l, 3) AS low_eff_median, round(h / l, 2) AS ratio FROM m WHERE l <> 0 AND h IS NOT NULL")
+def a20(spark, d):
+    return profile.high_low(wide(spark, d), LOG, config.HUMAN)
+
+
+@query("a21_histogram", f"""WITH {WIDE}, v AS (SELECT least(crop_water_eff, (SELECT quantile_cont(crop_water_eff, 0.99) FROM wide)) AS v FROM wide WHERE crop_water_eff IS NOT NULL),
+e AS (SELECT min(v) AS a, max(v) AS b FROM v) SELECT least(floor((v - a) / ((b - a) / 60)), 59)::INT AS bin, count(*) AS n FROM v, e GROUP BY 1""")
+def a21(spark, d):
+    return profile.histogram(wide(spark, d), "crop_water_eff")
+
+
+@query("a22_kernel_density", """WITH v AS (SELECT c_acctbal AS v FROM customer), s AS (SELECT min(v) AS a, max(v) AS b, 0.25 * stddev_samp(v) AS h FROM v), g AS (SELECT unnest(range(0, 100))::INT AS g),
+k AS (SELECT g, a + g * (b - a) / 99 AS x, sum(exp(-0.5 * ((a + g * (b - a) / 99 - v) / h) * ((a + g * (b - a) / 99 - v) / h))) AS d FROM g, s, v GROUP BY g, a, b)
+SELECT g, round(x, 4) AS x, round(d / (SELECT max(d) FROM k) * 0.38, 6) AS height, CASE WHEN x < 0 THEN 'negative' WHEN x > 0 THEN 'positive' ELSE 'both' END AS side FROM k""")
+def a22(spark, d):
+    k = profile.kernel_density(table(spark, d, "customer"), "c_acctbal", points=100)
+    return k.where("g >= 0").select("g", F.round("x", 4).alias("x"), F.round("height", 6).alias("height"), "side")
+
+
+@query("a30_size_guards", """WITH x AS (SELECT o_custkey AS g, CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END AS t FROM orders), a AS (SELECT g, count(*) AS n, CAST(sum(t) AS BIGINT) AS n_treat, CAST(sum(1 - t) AS BIGINT) AS n_ctrl FROM x GROUP BY 1)
+SELECT *, CASE WHEN n < 8 THEN 'too few rows' WHEN n_treat < 2 OR n_ctrl < 2 THEN 'arm too small' ELSE 'ok' END AS reason FROM a""")
+def a30(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("g"), F.when(F.col("o_orderpriority") == "1-URGENT", 1).otherwise(0).alias("t"))
+    return profile.size_guards(o, "g", "t", 8, 2)
+
+
+# -- design matrices ----------------------------------------------------------------------------------------------------
+
+
+@query("m1_impute_medians", f"WITH {WIDE} SELECT fips, " + ", ".join(f"round(coalesce({c}, (SELECT median({c}) FROM wide)), 6) AS {c}" for c in ("awc_mean", "poverty_rate", "avg_farm_size_ac")) + " FROM wide")
+def m1(spark, d):
+    x, kept = models.impute_medians(wide(spark, d).select("fips", "awc_mean", "poverty_rate", "avg_farm_size_ac"), ["awc_mean", "poverty_rate", "avg_farm_size_ac"])
+    return x.select("fips", *[F.round(c, 6).alias(c) for c in kept])
+
+
+@query("m2_standardize", "SELECT c_custkey, round((c_acctbal - (SELECT avg(c_acctbal) FROM customer)) / (SELECT stddev_pop(c_acctbal) FROM customer), 6) AS z, round(c_acctbal, 4) AS back FROM customer")
+def m2(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", "c_acctbal")
+    z, moments = models.standardize(c, ["c_acctbal"])
+    back = models.unstandardize(z.withColumn("z", F.col("c_acctbal")), moments)
+    return back.select("c_custkey", F.round("z", 6).alias("z"), F.round("c_acctbal", 4).alias("back"))
+
+
+def design(spark, d):
+    """Imputed design matrix with contiguous folds, staged before the fits."""
+    x = models.contiguous_folds(modelled(spark, d), "key")
+    filled, kept = models.impute_medians(x, FEATURES)
+    return stage(filled.select("fips", "key", "fold", *kept, LOG), "design"), kept
+
+
+@query("m3_forest_cv")
+def m3(spark, d):
+    x, kept = design(spark, d)
+    r2, sd = models.cv_r2(models.assemble(x, kept).cache(), models.forest(LOG, trees=10, depth=5), LOG)
+    return spark.createDataFrame([(round(r2, 3), round(sd, 3), len(kept))], "r2 double, r2_sd double, n_features int")
+
+
+@query("m4_importance_shares")
+def m4(spark, d):
+    x, kept = design(spark, d)
+    model = models.forest(LOG, trees=20, depth=6).fit(models.assemble(x, kept))
+    return models.role_shares(models.importance_rows(x, model, kept, ROLES))
+
+
+@query("m5_lasso")
+def m5(spark, d):
+    x, kept = design(spark, d)
+    z, _ = models.standardize(x.withColumn("fold", F.col("fold") % 3), kept)
+    data = models.assemble(stage(z, "scaled"), kept).cache()
+    model = models.lasso(data, kept, LOG, grid=4, folds=3)
+    return models.top_effects(models.coefficient_rows(x, model, kept, ROLES))
+
+
+@query("m6_half_importances")
+def m6(spark, d):
+    return models.half_importances(wide(spark, d), "precip_deficit_in", config.HUMAN, LOG, trees=10, depth=4)
+
+
+# -- effects -------------------------------------------------------------------------------------------------------------
+
+_TREAT = ["centerpivot_ratio", "avg_farm_size_ac", "crop_diversity_hhi", "poverty_rate"]
+
+
+def _naive_sql(t: str) -> str:
+    src = f"(SELECT {t} AS x, {LOG} AS y, (SELECT median({t}) FROM wide WHERE {LOG} IS NOT NULL) AS m FROM wide WHERE {t} IS NOT NULL AND {LOG} IS NOT NULL)"
+    return (f"SELECT '{t}' AS treatment_col, round(max(m), 4) AS threshold, count(*) FILTER (x > m) AS n_treated, count(*) FILTER (x <= m) AS n_control, round(avg(y) FILTER (x > m) - avg(y) FILTER (x <= m), 4) AS naive_ate, "
+            f"round((avg(y) FILTER (x > m) - avg(y) FILTER (x <= m)) / sqrt(((count(*) FILTER (x > m) - 1) * var_samp(y) FILTER (x > m) + (count(*) FILTER (x <= m) - 1) * var_samp(y) FILTER (x <= m)) / (count(*) - 2) "
+            f"* (1.0::DOUBLE / count(*) FILTER (x > m) + 1.0::DOUBLE / count(*) FILTER (x <= m))), 4) AS t_stat FROM {src}")
+
+
+@query("m7_naive_effects", f"WITH {WIDE} " + " UNION ALL ".join(_naive_sql(t) for t in _TREAT))
+def m7(spark, d):
+    return effects.naive_effects(wide(spark, d), _TREAT, LOG, with_p=False)
+
+
+@query("m7p_naive_tests")
+def m7p(spark, d):
+    return effects.naive_effects(wide(spark, d), _TREAT, LOG)
+
+
+@query("m8_inverse_propensity")
+def m8(spark, d):
+    data, kept, _ = effects.design(modelled(spark, d), "fips", "crop_diversity_hhi", LOG, ["precip_deficit_in", "drought_intensity", "poverty_rate", "awc_mean"])
+    data = stage(data, "ipw")
+    scored = stage(effects.propensities(data, "fips", kept, data.count(), strengths=[0.01, 1.0], folds=2), "scored")
+    both = [effects.weighted_effect(scored, est).withColumn("estimator", F.lit(est)) for est in ("signed", "hajek")]
+    return both[0].unionByName(both[1])
+
+
+def _shap(spark, d):
+    x, kept = design(spark, d)
+    model = models.forest(LOG, trees=8, depth=5).fit(models.assemble(x, kept))
+    shap, base = attribution.shap_values(x, model, "fips", kept)
+    return models.assemble(x, kept), model, stage(shap, "shap"), base, kept
+
+
+@query("m9_tree_shap")
+def m9(spark, d):
+    _, _, shap, _, kept = _shap(spark, d)
+    return attribution.shap_ranking(shap, [c for c in kept if ROLES[c] == "human"])
+
+
+@query("m10_extreme_entities")
+def m10(spark, d):
+    x, model, shap, _, _ = _shap(spark, d)
+    return attribution.extremes(model.transform(x).select("fips", "prediction"), shap, "fips")
+
+
+@query("m11_doubly_robust")
+def m11(spark, d):
+    return effects.doubly_robust(modelled(spark, d), "fips", "crop_diversity_hhi", LOG, ["precip_deficit_in", "drought_intensity", "poverty_rate", "awc_mean"],
+                                 half_by="precip_deficit_in", folds=2, trees=8, depth=4, boost=5, boost_depth=3, stage=_keep("dr"))
+
+
+@query("m12_every_treatment")
+def m12(spark, d):
+    return effects.every_treatment(modelled(spark, d), "fips", LOG, ["crop_diversity_hhi", "poverty_rate", "avg_farm_size_ac"], [*config.CLIMATE, "awc_mean"],
+                                   stage=_keep("ipw"), strengths=[1.0])
+
+
+_GROUPS = ["Arid", "Humid", "Good Soil", "Poor Soil", "AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+_MEMBERS = f"""{WIDE}, md AS (SELECT median(precip_deficit_in) AS c, median(awc_mean) AS s FROM wide), mem AS (
+SELECT 'Arid' AS grp, w.* FROM wide w, md WHERE precip_deficit_in > c UNION ALL SELECT 'Humid', w.* FROM wide w, md WHERE precip_deficit_in <= c UNION ALL
+SELECT 'Good Soil', w.* FROM wide w, md WHERE awc_mean > s UNION ALL SELECT 'Poor Soil', w.* FROM wide w, md WHERE awc_mean <= s UNION ALL SELECT region, w.* FROM wide w),
+rows0 AS (SELECT grp, poverty_rate AS x, {LOG} AS y FROM mem WHERE poverty_rate IS NOT NULL AND {LOG} IS NOT NULL), cut AS (SELECT grp AS g, median(x) AS m FROM rows0 GROUP BY 1),
+arm AS (SELECT grp, count(*) AS n, count(*) FILTER (x > m) AS n1, count(*) FILTER (x <= m) AS n0, avg(y) FILTER (x > m) AS m1, avg(y) FILTER (x <= m) AS m0, var_samp(y) FILTER (x > m) AS v1, var_samp(y) FILTER (x <= m) AS v0
+FROM rows0 JOIN cut ON grp = g GROUP BY 1)"""
+
+
+@query("m13_subgroup_effects", f"WITH {_MEMBERS} SELECT grp AS \"group\", 'poverty_rate' AS treatment_col, round(m1 - m0, 4) AS naive_ate, round((m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2) * (1.0::DOUBLE / n1 + 1.0::DOUBLE / n0)), 4) AS t_stat, "
+       "n, n1 AS n_treat, n0 AS n_ctrl FROM arm WHERE n >= 40 AND n1 >= 15 AND n0 >= 15")
+def m13(spark, d):
+    mem, labels = effects.memberships(wide(spark, d), region="region", min_region=1, min_soil=0)
+    return effects.group_effects(mem, "group", labels, "poverty_rate", LOG, with_p=False)
+
+
+@query("m13b_subgroup_ipw")
+def m13b(spark, d):
+    mem, _ = effects.memberships(modelled(spark, d), soil=None)
+    mem = stage(mem, "members")
+    return effects.subgroup_effects(mem, "fips", ["Arid", "Humid"], {"poverty_rate": ["precip_deficit_in", "drought_intensity", "awc_mean", "median_income"]}, LOG,
+                                    stage=_keep("ipw"), strengths=[1.0])
+
+
+@query("m14_findings", """WITH e AS (SELECT p_type AS treatment_col, p_brand AS g, round(avg(p_size), 1) AS ate_pct, round(avg(p_size) / 60, 4) AS p FROM part GROUP BY 1, 2), v AS (SELECT * FROM e WHERE p < 0.4)
+SELECT treatment_col, count(*) AS n_groups, arg_min(g, (ate_pct, g)) AS min_group, min(ate_pct) AS min_pct, (SELECT g FROM v b WHERE b.treatment_col = v.treatment_col ORDER BY ate_pct DESC, g LIMIT 1) AS max_group,
+max(ate_pct) AS max_pct, round(max(ate_pct) - min(ate_pct), 1) AS gap FROM v GROUP BY 1 HAVING count(*) >= 2 AND abs(round(max(ate_pct) - min(ate_pct), 1)) > 5""")
+def m14(spark, d):
+    e = table(spark, d, "part").groupBy(F.col("p_type").alias("treatment_col"), F.col("p_brand").alias("group")).agg(
+        F.round(F.avg("p_size"), 1).alias("ate_pct"), F.round(F.avg("p_size") / 60, 4).alias("p_value"))
+    return effects.findings(e, max_p=0.4)
+
+
+# -- clusters ---------------------------------------------------------------------------------------------------------------
+
+
+@query("m15_kmeans_elbow")
+def m15(spark, d):
+    assigned, _, curve = models.cluster_entities(wide(spark, d), "fips", config.CLUSTER_FEATURES, LOG, range(2, 6), restarts=1, final_restarts=1, stage=_keep("clusters"))
+    return models.elbow_table(curve)
+
+
+@query("m15b_embedding_clusters")
+def m15b(spark, d):
+    from pyspark.ml.functions import array_to_vector
+    e = stage(table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e")), "vectors").select("vec_id", array_to_vector("e").alias("features"))
+    model, _ = models.best_kmeans(e, 5, restarts=2)
+    return model.transform(e).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+_CENTRE = ["precip_deficit_in", "poverty_rate", "avg_farm_size_ac", "eto_avg_in", LOG]
+
+
+@query("m16_cluster_centres", f"""WITH {WIDE}, g AS (SELECT CASE WHEN crop_diversity_hhi > 0.25 THEN 2 WHEN crop_diversity_hhi > 0.2 THEN 1 ELSE 0 END::INT AS cluster_id, * FROM wide WHERE {LOG} IS NOT NULL),
+c AS (SELECT cluster_id, count(*) AS n_entities, """ + ", ".join(f"round(avg({c}), 4) AS {c}" for c in _CENTRE) + f""" FROM g GROUP BY 1)
+SELECT cluster_id, n_entities, {', '.join(_CENTRE)}, CASE WHEN eto_avg_in > 85 THEN 'Extreme-Arid Low-Efficiency' WHEN avg_farm_size_ac > 2000 AND precip_deficit_in > 40 THEN 'Arid Large-Farm' WHEN {LOG} > 7.5 THEN 'High-Efficiency Grain Belt'
+WHEN {LOG} > 6 AND precip_deficit_in < 40 THEN 'Western High-Efficiency' WHEN poverty_rate > 16 THEN 'Resource-Constrained' ELSE 'Arid Large-Farm Low-Efficiency' END AS cluster_name FROM c""")
+def m16(spark, d):
+    x = wide(spark, d).where(F.col(LOG).isNotNull()).withColumn("cluster_id", F.when(F.col("crop_diversity_hhi") > 0.25, 2).when(F.col("crop_diversity_hhi") > 0.2, 1).otherwise(0))
+    return models.centre_rows(x, _CENTRE)
+
+
+# -- raster ------------------------------------------------------------------------------------------------------------------
+
+
+@query("r1_raster_opening")
+def r1(spark, d):
+    """Cells: supplier x ship week, class from the line numbers seen there, zone = supplier nation."""
+    x = lines(spark, d).select(F.col("l_suppkey").alias("x"), F.floor(F.datediff("l_shipdate", F.lit("1995-01-01").cast("date")) / 7).cast("long").alias("y"),
+                               F.col("state").alias("zone"), F.col("l_linenumber").alias("c"))
+    cells = x.groupBy("x", "y", "zone").agg(F.max("c").alias("class"))
+    return raster.zonal_share(raster.opened_cells(cells, radius=1, tile=128), cell_m2=4046.86)

@@ -22,7 +22,7 @@ def leaf_paths(spark, model) -> tuple[list[tuple[float, float, list[tuple[int, f
     nodes = spark.read.parquet(f"{path}/data").select(
         "treeID", "nodeData.id", "nodeData.prediction", "nodeData.impurityStats", "nodeData.leftChild",
         "nodeData.rightChild", F.col("nodeData.split.featureIndex").alias("f"),
-        F.col("nodeData.split.leftCategoriesOrThreshold")[0].alias("t")).collect()
+        F.try_element_at("nodeData.split.leftCategoriesOrThreshold", F.lit(1)).alias("t")).collect()
     trees: dict[int, dict[int, object]] = {}
     for n in nodes:
         trees.setdefault(n["treeID"], {})[n["id"]] = n

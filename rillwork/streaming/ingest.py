@@ -54,7 +54,7 @@ def ingest_available(stream: DataFrame, out: str, checkpoint: str,
 def weekly_measures(df: DataFrame, ts: str, value: str, keys: Sequence[str] = (), late: str = "7 days") -> DataFrame:
     """Tumbling seven-day count, sum and mean; on a stream the watermark closes a window."""
     if df.isStreaming:
-        df = df.withWatermark(ts, late)
+        df = df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
     agg = df.groupBy(F.window(ts, "7 days").alias("w"), *keys).agg(
         F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"), F.avg(value).alias("mean"))
     return agg.select(F.col("w.start").alias("week_start"), *keys, "n", "total", "mean")
