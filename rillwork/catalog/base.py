@@ -107,11 +107,20 @@ def price_records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fact_table(spark: SparkSession, d: str) -> DataFrame:
-    """Both measures in one pass over the lines: (state, crop, year, wi, area), staged (states x crops x years rows)."""
+    """Both measures in one pass over the lines: (state, crop, year, wi, area), staged (states x crops x years rows).
+
+    Lines meet the parts, are merged per (supplier, crop, year), and only these partial rows meet the suppliers.
+    """
+    li = table(spark, d, "lineitem")
+    p = table(spark, d, "part").select("p_partkey", F.col("p_type").alias("crop"))
+    s, n = table(spark, d, "supplier"), table(spark, d, "nation")
+    x = li.join(p, li.l_partkey == p.p_partkey).withColumn("year", F.year("l_shipdate"))
     gone = (F.col("crop") == "ECONOMY") & (F.col("year") < 1998)
-    water, acres = F.round(F.col("l_tax") * 100, 0), F.col("l_quantity") * 100
-    return stage(facts.conditional_means(lines(spark, d), ["state", "crop", "year"], {
-        "wi": (water, F.col("l_returnflag") != "A"), "area": (acres, (F.col("l_linestatus") == "O") & ~gone)}), "facts")
+    part = facts.partial_means(x, ["l_suppkey", "crop", "year"], {
+        "wi": (F.round(F.col("l_tax") * 100, 0), F.col("l_returnflag") != "A"),
+        "area": (F.col("l_quantity") * 100, (F.col("l_linestatus") == "O") & ~gone)})
+    states = s.join(n, s.s_nationkey == n.n_nationkey).select(F.col("s_suppkey").alias("l_suppkey"), F.col("n_name").alias("state"))
+    return stage(facts.merge_means(part.join(states, "l_suppkey"), ["state", "crop", "year"], ["wi", "area"]), "facts")
 
 
 def wi_area(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -257,16 +266,30 @@ def nation_orders(spark: SparkSession, d: str) -> DataFrame:
             .join(n.select("n_nationkey", F.col("n_name").alias("state")), F.col("c_nationkey") == F.col("n_nationkey")))
 
 
-def _mean_price(df: DataFrame, period) -> DataFrame:
-    return df.groupBy("state", period).agg((F.round(F.sum("o_totalprice"), 2) / F.count(F.lit(1))).alias("value"))
+def monthly_sums(spark: SparkSession, d: str) -> DataFrame:
+    """(state, month, s, n): orders are merged per (customer, month) before they meet the customers."""
+    o = table(spark, d, "orders").groupBy("o_custkey", F.to_date(F.date_trunc("month", "o_orderdate")).alias("month")).agg(
+        F.sum("o_totalprice").alias("s"), F.count(F.lit(1)).alias("n"))
+    c, n = table(spark, d, "customer").select("c_custkey", "c_nationkey"), table(spark, d, "nation")
+    x = o.join(c, o.o_custkey == c.c_custkey).join(n.select("n_nationkey", F.col("n_name").alias("state")), F.col("c_nationkey") == F.col("n_nationkey"))
+    return x.groupBy("state", "month").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+
+
+def month_means(sums: DataFrame) -> DataFrame:
+    return sums.select("state", "month", (F.round("s", 2) / F.col("n")).alias("value"))
+
+
+def year_means(sums: DataFrame) -> DataFrame:
+    by_year = sums.groupBy("state", F.year("month").alias("year")).agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    return by_year.select("state", "year", (F.round("s", 2) / F.col("n")).alias("value"))
 
 
 def monthly(spark: SparkSession, d: str) -> DataFrame:
-    return _mean_price(nation_orders(spark, d), F.to_date(F.date_trunc("month", "o_orderdate")).alias("month"))
+    return month_means(monthly_sums(spark, d))
 
 
 def yearly(spark: SparkSession, d: str) -> DataFrame:
-    return _mean_price(nation_orders(spark, d), F.year("o_orderdate").alias("year"))
+    return year_means(monthly_sums(spark, d))
 
 
 __all__ = [n for n in dir() if not n.startswith("__")]

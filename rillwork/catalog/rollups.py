@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rillwork import config
 from rillwork.catalog.base import (CROPS, FACTS, GROUPS, LINES, PREFS, SERIES, SURVEYS, TYPES, WIDE, YIELDS, area_records, build_wide, crops, crops_of, fact_table, lines,
-                                   monthly, nation_orders, price_records, query, table, water_records, wi_area, wide, yearly)
+                                   month_means, monthly, monthly_sums, nation_orders, price_records, query, table, water_records, wi_area, wide, year_means, yearly)
 from rillwork.functions import columns as X
 from rillwork.operators import facts, metrics, profile, ranks
 from rillwork.plans import county
@@ -181,20 +181,16 @@ def w10(spark, d):
 def state_measures(spark, d):
     """State roll-up measures used by the vulnerability score and the lists; staged, since several lists read it."""
     fact = fact_table(spark, d)
-    c = stage(crops_of(spark, d, fact), "crops")
     by_year = facts.weighted_intensity(*facts.split_measures(fact))
-    trend = facts.series_trend(yearly(spark, d), "state", "year", "value", min_points=7).select("state", (F.col("trend") / 10000).alias("precip_trend_yr"))
-    late = facts.late_minus_early(monthly(spark, d), "state", "month", "value").select("state", (F.col("late_minus_early") / 100000).alias("gw_trend_ft"))
-    per_year = by_year.groupBy("state").agg(*[F.round(F.max(F.when(F.col("year") == y, F.col("intensity"))), 3).alias(f"intensity_{y}") for y in SURVEYS])
-    parts = [per_year, facts.survey_change(by_year, "state", "intensity", 1996, 2000), facts.concentration(c, ["state"], F.col("area") * F.col("wi")),
-             metrics.opportunity(c, soil_states(spark, d)).withColumnRenamed("opp_value_M", "opp_value_m"),
-             metrics.virtual_water(c, {"NATION_1": 0.3, "NATION_2": 0.2}, ["ECONOMY", "SMALL"]).withColumnRenamed("virtual_water_B", "virtual_water_b"),
-             trend, late, soil_states(spark, d).withColumnRenamed("good_ratio", "soil_good_ratio")]
-    out = facts.chain_left(facts.state_summary(c, be_digits=4), parts, "state")
+    prices = stage(monthly_sums(spark, d), "prices")  # states x months rows; both series read it
+    trend = facts.series_trend(year_means(prices), "state", "year", "value", min_points=7).select("state", (F.col("trend") / 10000).alias("precip_trend_yr"))
+    late = facts.late_minus_early(month_means(prices), "state", "month", "value").select("state", (F.col("late_minus_early") / 100000).alias("gw_trend_ft"))
+    measures = metrics.state_measures(crops_of(spark, d, fact), soil_states(spark, d), {"NATION_1": 0.3, "NATION_2": 0.2}, ["ECONOMY", "SMALL"], be_digits=4)
+    out = facts.chain_left(measures, [facts.survey_table(by_year, "state", "intensity", SURVEYS), trend, late], "state")
+    out = out.withColumnsRenamed({"opp_value_M": "opp_value_m", "virtual_water_B": "virtual_water_b"})
     return out.withColumn("vuln_score", metrics.vulnerability())
 
 
-
 _REST = CROPS[len(FACTS):]
 STATES = (_CHANGE + _REST + _SUMMARY[len(CROPS):] + f""", {_OPP}, {_VW}, {SERIES.strip()},
 tr AS (SELECT state, CASE WHEN count(*) >= 7 THEN round(regr_slope(value, i), 4) END / 10000 AS precip_trend_yr FROM (SELECT *, row_number() OVER (PARTITION BY state ORDER BY year) - 1 AS i FROM yearly) GROUP BY 1),

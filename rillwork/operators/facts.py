@@ -18,10 +18,23 @@ def positive_mean(records: DataFrame, keys: Sequence[str], value: str, out: str)
     return records.where(F.col(value) > 0).groupBy(*keys).agg(F.avg(value).alias(out))
 
 
-def conditional_means(records: DataFrame, keys: Sequence[str], measures: Mapping[str, tuple[Column, Column]]) -> DataFrame:
-    """Several positive means in one pass; measure -> (value, row condition). Keys without any value drop out."""
-    aggs = [F.avg(F.when(cond & (value > 0), value)).alias(name) for name, (value, cond) in measures.items()]
-    return records.groupBy(*keys).agg(*aggs).dropna(how="all", subset=list(measures))
+def partial_means(records: DataFrame, keys: Sequence[str], measures: Mapping[str, tuple[Column, Column]]) -> DataFrame:
+    """Sums and counts of several positive measures in one pass; measure -> (value, row condition).
+
+    Grouping by a join key first and joining the (far fewer) partial rows afterwards moves the wide shuffle behind
+    the aggregation.
+    """
+    aggs = []
+    for name, (value, cond) in measures.items():
+        v = F.when(cond & (value > 0), value)
+        aggs += [F.sum(v).alias(f"_{name}_s"), F.count(v).alias(f"_{name}_n")]
+    return records.groupBy(*keys).agg(*aggs)
+
+
+def merge_means(partials: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
+    """Partial sums and counts to means; keys without any value drop out."""
+    aggs = [X.ratio(F.sum(f"_{m}_s"), F.sum(f"_{m}_n")).alias(m) for m in measures]
+    return partials.groupBy(*keys).agg(*aggs).dropna(how="all", subset=list(measures))
 
 
 def split_measures(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -180,27 +193,43 @@ def crop_value(crops: DataFrame, prices: DataFrame, yields: Sequence[tuple] = co
         .withColumn("color", X.from_map("group", config.GROUP_COLORS, config.GROUP_COLORS["OTHER"]))
 
 
-def state_summary(crops: DataFrame, be_digits: int = 1) -> DataFrame:
-    """Area-weighted intensity and revenue, derived value per gallon, mean break-even, counts per state."""
+def summary_sums() -> dict[str, Column]:
+    """Aggregates of the state summary over the crop table."""
     used = (F.col("wi") != 0) & (F.col("area") > 0)
     with_rev = used & (F.col("rev_per_acre") != 0)
-    agg = crops.groupBy("state").agg(
-        F.sum(F.when(used, F.col("wi") * F.col("area"))).alias("wt"), F.sum(F.when(used, F.col("area"))).alias("ar"),
-        F.sum(F.when(with_rev, F.col("rev_per_acre") * F.col("area"))).alias("rv"),
-        F.sum(F.when(with_rev, F.col("area"))).alias("ra"),
-        F.avg(F.when(F.col("area") > 0, F.col("breakeven"))).alias("be"), F.count(F.lit(1)).alias("n_crops"))
+    return {"wt": F.sum(F.when(used, F.col("wi") * F.col("area"))), "ar": F.sum(F.when(used, F.col("area"))),
+            "rv": F.sum(F.when(with_rev, F.col("rev_per_acre") * F.col("area"))), "ra": F.sum(F.when(with_rev, F.col("area"))),
+            "be": F.avg(F.when(F.col("area") > 0, F.col("breakeven"))), "n_crops": F.count(F.lit(1))}
+
+
+def summary_columns(be_digits: int = 1) -> list[Column]:
+    """Area-weighted intensity and revenue, derived value per gallon, mean break-even, counts."""
     wi, rev = X.ratio("wt", "ar"), X.ratio("rv", "ra")
     dpg = rev / (F.when(wi > 0, wi) * config.GALLONS_PER_ACRE_FOOT)
-    return agg.select("state", F.round(wi, 3).alias("avg_intensity"), F.round(dpg, 6).alias("avg_dpg"),
-                      F.round(dpg * 100, 4).alias("avg_dpg_cents"), F.round("be", be_digits).alias("avg_breakeven"),
-                      F.round(F.coalesce("ar", F.lit(0.0)), 0).alias("total_irr_area"), "n_crops")
+    return [F.round(wi, 3).alias("avg_intensity"), F.round(dpg, 6).alias("avg_dpg"),
+            F.round(dpg * 100, 4).alias("avg_dpg_cents"), F.round("be", be_digits).alias("avg_breakeven"),
+            F.round(F.coalesce("ar", F.lit(0.0)), 0).alias("total_irr_area"), F.col("n_crops")]
+
+
+def state_summary(crops: DataFrame, be_digits: int = 1) -> DataFrame:
+    """Summary measures of the crop table per state."""
+    agg = crops.groupBy("state").agg(*[e.alias(k) for k, e in summary_sums().items()])
+    return agg.select("state", *summary_columns(be_digits))
+
+
+def concentration_sums(weight: Column) -> dict[str, Column]:
+    w = F.when(weight > 0, weight)
+    return {"cs": F.sum(w), "cs2": F.sum(w * w)}
+
+
+def concentration_column(out: str = "hhi", digits: int = 4) -> Column:
+    return F.round(X.ratio("cs2", F.col("cs") * F.col("cs")), digits).alias(out)
 
 
 def concentration(df: DataFrame, keys: Sequence[str], weight: Column, out: str = "hhi", digits: int = 4) -> DataFrame:
-    """Sum of squared shares per group in one pass."""
-    x = df.select(*keys, weight.alias("_w")).where(F.col("_w") > 0)
-    agg = x.groupBy(*keys).agg(F.sum("_w").alias("s"), F.sum(F.col("_w") * F.col("_w")).alias("s2"))
-    return agg.select(*keys, F.round(F.col("s2") / (F.col("s") * F.col("s")), digits).alias(out))
+    """Sum of squared shares per group in one pass; groups without a positive weight drop out."""
+    agg = df.groupBy(*keys).agg(*[e.alias(k) for k, e in concentration_sums(weight).items()])
+    return agg.where(F.col("cs").isNotNull()).select(*keys, concentration_column(out, digits))
 
 
 def concentration_of(cols: Sequence[str], digits: int = 3) -> Column:
@@ -211,9 +240,14 @@ def concentration_of(cols: Sequence[str], digits: int = 3) -> Column:
     return F.when(total != 0, F.round(squares / (total * total), digits))
 
 
+def largest(measure: Column, name: str = "crop") -> Column:
+    """Aggregate: name with the largest measure; ties go to the smallest name."""
+    return F.min_by(name, F.struct((-measure).alias("m"), F.col(name)))
+
+
 def top_crop(crops: DataFrame, key: str, measure: Column, name: str = "crop", out: str = "top_crop") -> DataFrame:
-    """Name with the largest measure per key; ties go to the smallest name."""
-    return crops.groupBy(key).agg(F.min_by(name, F.struct((-measure).alias("m"), F.col(name))).alias(out))
+    """Name with the largest measure per key."""
+    return crops.groupBy(key).agg(largest(measure, name).alias(out))
 
 
 def nested_top(crops: DataFrame, key: str, measure: Column, fields: Sequence[str], k: int = 20,
@@ -260,16 +294,22 @@ def latest_by(df: DataFrame, key: str, date: str, cols: Sequence[str], tie: str
     return df.groupBy(key).agg(pick.alias("b")).select(key, f"b.{date}", *[f"b.{c}" for c in cols])
 
 
-def survey_change(by_year: DataFrame, key: str, value: str, first: int, last: int) -> DataFrame:
-    """Change between two survey years, percentage and absolute."""
-    wide = by_year.groupBy(key).agg(F.max(F.when(F.col("year") == first, F.col(value))).alias("a"),
-                                    F.max(F.when(F.col("year") == last, F.col(value))).alias("b"))
-    a, b = F.col("a"), F.col("b")
+def survey_table(by_year: DataFrame, key: str, value: str, years: Sequence[int]) -> DataFrame:
+    """Values of the survey years side by side, with the change from the first to the last, percentage and absolute."""
+    at = lambda y: F.max(F.when(F.col("year") == y, F.col(value)))
+    wide = by_year.groupBy(key).agg(*[at(y).alias(f"_y{y}") for y in years])
+    a, b = F.col(f"_y{years[0]}"), F.col(f"_y{years[-1]}")
     known = (a != 0) & (b != 0)
-    return wide.select(key, F.when(known & (a > 0), F.round((b - a) / a * 100, 1)).alias("trend_pct"),
+    return wide.select(key, *[F.round(f"_y{y}", 3).alias(f"{value}_{y}") for y in years],
+                       F.when(known & (a > 0), F.round((b - a) / a * 100, 1)).alias("trend_pct"),
                        F.when(known, F.round(b - a, 3)).alias("trend_abs"))
 
 
+def survey_change(by_year: DataFrame, key: str, value: str, first: int, last: int) -> DataFrame:
+    """Change between two survey years, percentage and absolute."""
+    return survey_table(by_year, key, value, [first, last]).select(key, "trend_pct", "trend_abs")
+
+
 def adjacent_change(by_year: DataFrame, key: str, value: str, out: str = "change_pct") -> DataFrame:
     """Percentage change from the previous year of the same key (one row per key and year)."""
     prev = F.lag(value).over(Window.partitionBy(key).orderBy("year"))

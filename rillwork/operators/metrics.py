@@ -68,32 +68,63 @@ def value_per_water(revenue, intensity) -> tuple[Column, Column, Column]:
     return F.round(dpg, 6), F.round(dpg * 100, 4), F.round(rev / wi, 1)
 
 
-def opportunity(crops: DataFrame, soil: DataFrame | None = None, low_groups: Sequence[str] = config.LOW_VALUE_GROUPS,
-                exclude: Sequence[str] = config.AGGREGATE_CROPS, min_acres: float = config.MIN_LOW_VALUE_ACRES,
-                target_dpg: float = config.TARGET_DPG, cap_m: float = config.MARKET_CAP_M) -> DataFrame:
-    """Gain from moving low-value water to the target value, by state, soil-adjusted and capped; with its main crop."""
+def opportunity_sums(low_groups: Sequence[str] = config.LOW_VALUE_GROUPS, exclude: Sequence[str] = config.AGGREGATE_CROPS,
+                     min_acres: float = config.MIN_LOW_VALUE_ACRES, target_dpg: float = config.TARGET_DPG) -> dict[str, Column]:
+    """Gain from moving low-value water to the target value, and the crop that uses most of it."""
     low = F.col("group").isin(list(low_groups)) & ~F.col("crop").isin(list(exclude)) & (F.col("area") >= min_acres)
     wi, dpg = F.coalesce("wi", F.lit(0.0)), F.coalesce("dpg", F.lit(0.0))
     gain = F.sum(F.when(low & (wi > 0) & (dpg < target_dpg),
                         F.col("area") * wi * config.GALLONS_PER_ACRE_FOOT * (target_dpg - dpg)))
-    order = F.struct((-(F.col("area") * wi)).alias("m"), F.col("crop"))
-    agg = crops.groupBy("state").agg(gain.alias("gain"), F.min_by(F.when(low, F.col("crop")), F.when(low, order)).alias("opp_crop"))
-    agg = agg.join(soil.select("state", "good_ratio"), "state", "left") if soil is not None \
-        else agg.withColumn("good_ratio", F.lit(None).cast("double"))
+    order = F.struct((-(F.col("area") * F.col("wi"))).alias("m"), F.col("crop"))
+    return {"gain": gain, "opp_crop": F.min_by(F.when(low, F.col("crop")), F.when(low, order))}
+
+
+def opportunity_columns(cap_m: float = config.MARKET_CAP_M) -> list[Column]:
+    """Soil-adjusted, capped gain in millions; reads ``gain`` and ``good_ratio``."""
     rate = F.round(config.CONVERSION_BASE + config.CONVERSION_SLOPE
                    * F.coalesce("good_ratio", F.lit(config.DEFAULT_GOOD_RATIO)), 3)
     total = F.col("gain") * rate * config.TRANSITION_YIELD
-    return agg.select("state", F.when(total > 0, F.round(F.least(total / 1e6, F.lit(cap_m)), 1)).alias("opp_value_M"), "opp_crop")
+    return [F.when(total > 0, F.round(F.least(total / 1e6, F.lit(cap_m)), 1)).alias("opp_value_M"), F.col("opp_crop")]
+
+
+def with_soil(states: DataFrame, soil: DataFrame | None) -> DataFrame:
+    if soil is None:
+        return states.withColumn("good_ratio", F.lit(None).cast("double"))
+    return states.join(soil.select("state", "good_ratio"), "state", "left")
+
+
+def opportunity(crops: DataFrame, soil: DataFrame | None = None, cap_m: float = config.MARKET_CAP_M, **limits) -> DataFrame:
+    """Reallocation value per state with its main crop."""
+    agg = crops.groupBy("state").agg(*[e.alias(k) for k, e in opportunity_sums(**limits).items()])
+    return with_soil(agg, soil).select("state", *opportunity_columns(cap_m))
+
+
+def virtual_water_sum(hay: Sequence[str] = config.HAY_CROPS) -> Column:
+    use = F.col("crop").isin(list(hay)) & (F.col("area") > 0) & (F.col("wi") > 0)
+    return F.sum(F.when(use, F.col("area") * F.col("wi") * config.GALLONS_PER_ACRE_FOOT))
+
+
+def virtual_water_column(shares: Mapping[str, float] = config.EXPORT_SHARES, default: float = config.EXPORT_SHARE_DEFAULT) -> Column:
+    total = F.col("vol") * X.from_map("state", dict(shares), default) / 1e9
+    return F.when(total > 0, F.round(total, 3)).alias("virtual_water_B")
 
 
 def virtual_water(crops: DataFrame, shares: Mapping[str, float] = config.EXPORT_SHARES,
                   hay: Sequence[str] = config.HAY_CROPS, default: float = config.EXPORT_SHARE_DEFAULT) -> DataFrame:
     """Exported forage water per state in billion gallons; null when there is none."""
-    use = F.col("crop").isin(list(hay)) & (F.col("area") > 0) & (F.col("wi") > 0)
-    vol = F.sum(F.when(use, F.col("area") * F.col("wi") * config.GALLONS_PER_ACRE_FOOT))
-    agg = crops.groupBy("state").agg(vol.alias("vol"))
-    total = F.col("vol") * X.from_map("state", dict(shares), default) / 1e9
-    return agg.select("state", F.when(total > 0, F.round(total, 3)).alias("virtual_water_B"))
+    agg = crops.groupBy("state").agg(virtual_water_sum(hay).alias("vol"))
+    return agg.select("state", virtual_water_column(shares, default))
+
+
+def state_measures(crops: DataFrame, soil: DataFrame | None = None, shares: Mapping[str, float] = config.EXPORT_SHARES,
+                   hay: Sequence[str] = config.HAY_CROPS, be_digits: int = 1) -> DataFrame:
+    """All crop-table measures of a state in one grouping: summary, concentration, reallocation, virtual water, top crop."""
+    water = F.col("area") * F.col("wi")
+    sums = {**facts.summary_sums(), **facts.concentration_sums(water), **opportunity_sums(), "vol": virtual_water_sum(hay),
+            "top1_crop": facts.largest(F.coalesce(water, F.lit(0.0)))}
+    agg = with_soil(crops.groupBy("state").agg(*[e.alias(k) for k, e in sums.items()]), soil)
+    return agg.select("state", *facts.summary_columns(be_digits), facts.concentration_column(), *opportunity_columns(),
+                      virtual_water_column(shares), "top1_crop", F.col("good_ratio").alias("soil_good_ratio"))
 
 
 def sales_per_water(df: DataFrame, sales_2022: str, sales_2017: str) -> DataFrame:

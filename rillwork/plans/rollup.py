@@ -30,11 +30,6 @@ def state_table(crops: DataFrame, wi: DataFrame, area: DataFrame, soil: DataFram
     """One row per state with every summary measure. Optional sources: soil (state, good_ratio, total_acres),
     precip and wells (state, year, value), sales (state, year, value)."""
     by_year = facts.weighted_intensity(wi, area)
-    out = facts.state_summary(crops)
-    first, last = years[0], years[-1]
-    per_year = by_year.groupBy("state").agg(*[F.round(F.max(F.when(F.col("year") == y, F.col("intensity"))), 3)
-                                              .alias(f"intensity_{y}") for y in years])
-    water = F.col("area") * F.col("wi")
     spark = crops.sparkSession
     series = spark.createDataFrame([], "state string, year int, value double")
     trend = facts.series_trend(precip if precip is not None else series, "state", "year", "value", years) \
@@ -43,13 +38,9 @@ def state_table(crops: DataFrame, wi: DataFrame, area: DataFrame, soil: DataFram
     depth = facts.late_minus_early(wells if wells is not None else series, "state", "year", "value", out="gw_trend_ft")
     sold = (sales if sales is not None else series).groupBy("state").agg(
         *[F.max(F.when(F.col("year") == y, F.col("value"))).alias(f"_s{y}") for y in (2022, 2017)])
-    parts = [per_year, facts.survey_change(by_year, "state", "intensity", first, last),
-             facts.concentration(crops.where(F.col("area") > 0), ["state"], water), metrics.opportunity(crops, soil),
-             metrics.virtual_water(crops), facts.top_crop(crops, "state", F.coalesce(water, F.lit(0.0)), out="top1_crop"),
-             trend, depth, sold]
+    out = facts.chain_left(metrics.state_measures(crops, soil), [facts.survey_table(by_year, "state", "intensity", years), trend, depth, sold], "state")
     if soil is not None:
-        parts.append(soil.select("state", F.col("good_ratio").alias("soil_good_ratio"), F.col("total_acres").alias("soil_total_acres")))
-    out = facts.chain_left(out, parts, "state")
+        out = out.join(soil.select("state", F.col("total_acres").alias("soil_total_acres")), "state", "left")
     out = metrics.sales_per_water(out, "_s2022", "_s2017").drop("_s2022", "_s2017")
     return out.withColumn("vuln_score", metrics.vulnerability())
 
