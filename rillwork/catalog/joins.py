@@ -77,14 +77,14 @@ def j9(spark, d):
     return ranks.with_scalars(c, row).select("c_custkey", (F.col("c_acctbal") > F.col("q")).alias("above"))
 
 
-_SOIL = """mapunit AS (SELECT p_partkey AS mukey, p_size AS lkey, p_retailprice AS muacres, p_type FROM part),
+_SOIL = """mapunit AS (SELECT p_partkey AS mukey, p_size AS lkey, floor(p_retailprice) AS muacres, p_type FROM part),
 legend AS (SELECT DISTINCT p_size AS lkey, CASE WHEN p_size <= 25 THEN 'CA' ELSE 'TX' END || CAST(p_size AS VARCHAR) AS areasymbol FROM part)"""
 
 
 def _soil(spark, d):
     """Part stands for map units, sizes for survey legends, lines for soil components and horizons."""
     p = table(spark, d, "part")
-    mapunit = p.select(F.col("p_partkey").alias("mukey"), F.col("p_size").alias("lkey"), F.col("p_retailprice").alias("muacres"))
+    mapunit = p.select(F.col("p_partkey").alias("mukey"), F.col("p_size").alias("lkey"), F.floor("p_retailprice").cast("double").alias("muacres"))
     legend = p.select(F.col("p_size").alias("lkey")).distinct().withColumn(
         "areasymbol", F.concat(F.when(F.col("lkey") <= 25, "CA").otherwise("TX"), F.col("lkey").cast("string")))
     classes = {"ECONOMY": "1", "STANDARD": " 2E ", "MEDIUM": "3s", "LARGE": "4w", "SMALL": "6"}
@@ -93,7 +93,7 @@ def _soil(spark, d):
 
 
 @query("a12_soil_classes", f"""WITH {_SOIL}, j AS (SELECT left(areasymbol, 2) AS state, CASE p_type WHEN 'ECONOMY' THEN '1' WHEN 'STANDARD' THEN '2e' WHEN 'MEDIUM' THEN '3s' WHEN 'LARGE' THEN '4w' WHEN 'SMALL' THEN '6' END AS lcc, muacres
-FROM mapunit m JOIN legend l ON m.lkey = l.lkey), c AS (SELECT state, lcc, round(round(sum(muacres), 2), 0) AS acres FROM j WHERE lcc IS NOT NULL GROUP BY 1, 2)
+FROM mapunit m JOIN legend l ON m.lkey = l.lkey), c AS (SELECT state, lcc, round(sum(muacres), 0) AS acres FROM j WHERE lcc IS NOT NULL GROUP BY 1, 2)
 SELECT state, sum(acres) AS total_acres, round(sum(CASE WHEN lcc IN ('1', '2e', '3s') THEN acres ELSE 0 END) / sum(acres), 3) AS good_ratio, max(CASE WHEN lcc = '2e' THEN acres END) AS acres_2e FROM c GROUP BY 1""")
 def a12(spark, d):
     return facts.soil_classes(*_soil(spark, d)).select("state", "total_acres", "good_ratio", F.col("by_class")["2e"].alias("acres_2e"))

@@ -182,7 +182,7 @@ def s13(spark, d):
 
 def _shapes(spark, d):
     """One square per customer around (balance, key), every fifth nation as a two-part shape."""
-    x, y = F.round(F.col("c_acctbal") / 100, 2), F.col("c_nationkey").cast("double")
+    x, y = F.col("c_acctbal") / 100, F.col("c_nationkey").cast("double")
     ring = F.array(*[F.array(x + dx, y + dy) for dx, dy in ((0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0))])
     multi = F.col("c_nationkey") >= 20
     coords = F.when(multi, F.to_json(F.array(F.array(ring), F.array(ring)))).otherwise(F.to_json(F.array(ring)))
@@ -204,15 +204,15 @@ def s14(spark, d):
     return f.select("id", F.col("properties")["name"].alias("name"), F.col("properties")["segment"].alias("segment"), "kind", F.size("rings").alias("n_rings"))
 
 
-_CENTRE = "round(round(c_acctbal / 100, 2) + 0.5, 2) AS lon, c_nationkey + 0.5::DOUBLE AS lat"
+_CENTRE = "round(c_acctbal / 100 + 0.5, 4) AS lon, c_nationkey + 0.5::DOUBLE AS lat"
 
 
 @query("c21_vertex_mean", f"SELECT c_custkey::VARCHAR AS id, {_CENTRE} FROM customer")
 def c21(spark, d):
-    return _features(spark, d).select("id", geo.centre(F.col("rings")).alias("c")).select("id", F.round("c.lon", 2).alias("lon"), "c.lat")
+    return _features(spark, d).select("id", geo.centre(F.col("rings")).alias("c")).select("id", "c.lon", "c.lat")
 
 
-@query("c20_thin_coordinates", "SELECT c_custkey::VARCHAR AS id, round(round(c_acctbal / 100, 2), 1) AS lon0, round(c_nationkey::DOUBLE, 1) AS lat0 FROM customer")
+@query("c20_thin_coordinates", "SELECT c_custkey::VARCHAR AS id, round(c_acctbal / 100, 1) AS lon0, round(c_nationkey::DOUBLE, 1) AS lat0 FROM customer")
 def c20(spark, d):
     f = _features(spark, d).select("id", geo.thin(F.col("rings"), 1).alias("r"))
     return f.select("id", F.col("r")[0][0][0].alias("lon0"), F.col("r")[0][0][1].alias("lat0"))
@@ -222,7 +222,7 @@ def c20(spark, d):
 def j6(spark, d):
     f = _features(spark, d).select("id", F.col("properties")["name"].alias("county"), geo.centre(F.col("rings")).alias("c"))
     m = wide(spark, d).where("crop_water_eff IS NOT NULL").select("county", "crop_water_eff")
-    return geo.merge_properties(f, m, "county", keep_unmatched=False).select("id", "crop_water_eff", F.round("c.lon", 2).alias("lon"), "c.lat")
+    return geo.merge_properties(f, m, "county", keep_unmatched=False).select("id", "crop_water_eff", "c.lon", "c.lat")
 
 
 @query("s15_first_nonempty", "SELECT l_suppkey, round(sum(l_quantity), 2) AS total FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1")

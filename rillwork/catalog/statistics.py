@@ -28,12 +28,12 @@ _keep = lambda label: (lambda df: stage(df, label))
 
 # -- profiles ---------------------------------------------------------------------------------------------------------
 
-_P = ", ".join(f"round(quantile_cont(crop_water_eff, {p / 100}), 2) AS p{p}" for p in (10, 25, 50, 75, 90))
+_P = ", ".join(f"round(quantile_cont(crop_water_eff, {p / 100}), 6) AS p{p}" for p in (10, 25, 50, 75, 90))
 
 
-@query("a14_distribution", f"WITH {WIDE} SELECT count(crop_water_eff) AS n, round(avg(crop_water_eff), 2) AS mean, round(median(crop_water_eff), 2) AS median, round(stddev_samp(crop_water_eff), 2) AS std, {_P} FROM wide")
+@query("a14_distribution", f"WITH {WIDE} SELECT count(crop_water_eff) AS n, round(avg(crop_water_eff), 6) AS mean, round(median(crop_water_eff), 6) AS median, round(stddev_samp(crop_water_eff), 6) AS std, {_P} FROM wide")
 def a14(spark, d):
-    return profile.distribution(wide(spark, d), "crop_water_eff")
+    return profile.distribution(wide(spark, d), "crop_water_eff", digits=6)
 
 
 @query("a15_coverage", f"WITH {WIDE} " + " UNION ALL ".join(

@@ -16,12 +16,12 @@ from rillwork.functions.stats import pearson_p
 from rillwork.operators import ranks
 
 
-def distribution(df: DataFrame, col: str, small: int = ranks.SMALL_ROWS) -> DataFrame:
+def distribution(df: DataFrame, col: str, digits: int = 2, small: int = ranks.SMALL_ROWS) -> DataFrame:
     """n, mean, median, sample deviation and five percentiles: one row."""
     q = ranks.quantile_row(df, {"median": (col, 0.5), **{f"p{p}": (col, p / 100) for p in (10, 25, 50, 75, 90)}}, small=small)
     m = df.agg(F.count(col).alias("n"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"))
     return ranks.with_scalars(m, q).select(
-        "n", *[F.round(c, 2).alias(c) for c in ("mean", "median", "std", "p10", "p25", "p50", "p75", "p90")])
+        "n", *[F.round(c, digits).alias(c) for c in ("mean", "median", "std", "p10", "p25", "p50", "p75", "p90")])
 
 
 def coverage(df: DataFrame, cols: Sequence[str], roles: Mapping[str, str] | None = None,
