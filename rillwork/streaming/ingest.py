@@ -76,10 +76,10 @@ def keep_snapshot(stream: DataFrame, root: str, checkpoint: str, key: str, date:
     def upsert(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         if batch_id > 0:
-            current = spark.read.schema(schema).parquet(f"{root}/v={batch_id - 1}")
+            current = spark.read.schema(schema).parquet(f"{root}/snapshot_version={batch_id - 1}")
         else:
             current = spark.createDataFrame([], schema)
-        merge_snapshot(current, batch, key, date).write.mode("overwrite").parquet(f"{root}/v={batch_id}")
+        merge_snapshot(current, batch, key, date).write.mode("overwrite").parquet(f"{root}/snapshot_version={batch_id}")
 
     return (stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
@@ -88,5 +88,5 @@ def keep_snapshot(stream: DataFrame, root: str, checkpoint: str, key: str, date:
 def read_snapshot(spark: SparkSession, root: str, schema: T.StructType, key: str, date: str) -> DataFrame:
     """The newest stored version."""
     versions = spark.read.schema(schema).parquet(root)  # the version is a partition column
-    newest = versions.agg(F.max("v").alias("_newest"))
-    return versions.join(F.broadcast(newest), F.col("v") == F.col("_newest")).drop("v", "_newest")
+    newest = versions.agg(F.max("snapshot_version").alias("_newest"))
+    return versions.join(F.broadcast(newest), F.col("snapshot_version") == F.col("_newest")).drop("snapshot_version", "_newest")
