@@ -30,8 +30,15 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+_SCHEMAS: dict[str, object] = {}
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    """A driver table; its schema is inferred once per path, later reads start without a footer job."""
+    path = f"{d}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 # -- lines: state x crop x year -----------------------------------------------------------------------------------
@@ -106,8 +113,8 @@ def price_records(spark: SparkSession, d: str) -> DataFrame:
         F.format_number("p_retailprice", 2).alias("Value"))
 
 
-def fact_table(spark: SparkSession, d: str) -> DataFrame:
-    """Both measures in one pass over the lines: (state, crop, year, wi, area), staged (states x crops x years rows).
+def fact_plan(spark: SparkSession, d: str) -> DataFrame:
+    """Both measures in one pass over the lines: (state, crop, year, wi, area).
 
     Lines meet the parts, are merged per (supplier, crop, year), and only these partial rows meet the suppliers.
     """
@@ -120,7 +127,12 @@ def fact_table(spark: SparkSession, d: str) -> DataFrame:
         "wi": (F.round(F.col("l_tax") * 100, 0), F.col("l_returnflag") != "A"),
         "area": (F.col("l_quantity") * 100, (F.col("l_linestatus") == "O") & ~gone)})
     states = s.join(n, s.s_nationkey == n.n_nationkey).select(F.col("s_suppkey").alias("l_suppkey"), F.col("n_name").alias("state"))
-    return stage(facts.merge_means(part.join(states, "l_suppkey"), ["state", "crop", "year"], ["wi", "area"]), "facts")
+    return facts.merge_means(part.join(states, "l_suppkey"), ["state", "crop", "year"], ["wi", "area"])
+
+
+def fact_table(spark: SparkSession, d: str) -> DataFrame:
+    """The joint fact table, staged: states x crops x years rows that several branches read."""
+    return stage(fact_plan(spark, d), "facts")
 
 
 def wi_area(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rillwork import config
-from rillwork.catalog.base import (CROPS, FACTS, GROUPS, LINES, PREFS, SERIES, SURVEYS, TYPES, WIDE, YIELDS, area_records, build_wide, crops, crops_of, fact_table, lines,
+from rillwork.catalog.base import (CROPS, FACTS, GROUPS, LINES, PREFS, SERIES, SURVEYS, TYPES, WIDE, YIELDS, area_records, build_wide, crops, crops_of, fact_plan, fact_table, lines,
                                    month_means, monthly, monthly_sums, nation_orders, price_records, query, table, water_records, wi_area, wide, year_means, yearly)
 from rillwork.functions import columns as X
 from rillwork.operators import facts, metrics, profile, ranks
 from rillwork.plans import county
-from rillwork.session import stage
+from rillwork.session import stage, stage_all
 
 
 @query("a1_positive_mean", f"WITH {FACTS} SELECT state, crop, year, round(wi, 6) AS wi FROM wi")
@@ -180,9 +180,10 @@ def w10(spark, d):
 
 def state_measures(spark, d):
     """State roll-up measures used by the vulnerability score and the lists; staged, since several lists read it."""
-    fact = fact_table(spark, d)
+    # states x crops x years and states x months rows: each is read by several branches
+    staged = stage_all({"facts": fact_plan(spark, d), "prices": monthly_sums(spark, d)})
+    fact, prices = staged["facts"], staged["prices"]
     by_year = facts.weighted_intensity(*facts.split_measures(fact))
-    prices = stage(monthly_sums(spark, d), "prices")  # states x months rows; both series read it
     trend = facts.series_trend(year_means(prices), "state", "year", "value", min_points=7).select("state", (F.col("trend") / 10000).alias("precip_trend_yr"))
     late = facts.late_minus_early(month_means(prices), "state", "month", "value").select("state", (F.col("late_minus_early") / 100000).alias("gw_trend_ft"))
     measures = metrics.state_measures(crops_of(spark, d, fact), soil_states(spark, d), {"NATION_1": 0.3, "NATION_2": 0.2}, ["ECONOMY", "SMALL"], be_digits=4)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -81,6 +82,15 @@ def effect_pct(x) -> Column:
     return F.expm1(_c(x)) * 100
 
 
+def literal(v) -> str:
+    """A Python constant as SQL text; constant tables reach the plan in one expression instead of one call per cell."""
+    if isinstance(v, bool) or v is None:
+        return str(v).lower() if v is not None else "NULL"
+    if isinstance(v, (int, float)):
+        return f"{v!r}D" if isinstance(v, float) else str(v)
+    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 # -- keys and text --------------------------------------------------------------------------------------------
 
 def zfill(x, n: int) -> Column:
@@ -112,16 +122,14 @@ def keyword_group(x, groups: Mapping[str, Sequence[str]] = config.CROP_GROUPS, d
     name = F.upper(_c(x))
     out = None
     for label, words in groups.items():
-        hit = F.lit(False)
-        for w in words:
-            hit = hit | name.contains(w)
+        hit = name.rlike("|".join(re.escape(w) for w in words))
         out = F.when(hit, label) if out is None else out.when(hit, label)
     return out.otherwise(default)
 
 
 def from_map(x, mapping: Mapping, default=None) -> Column:
     """Look a value up in a small constant mapping."""
-    m = F.create_map(*[F.lit(v) for kv in mapping.items() for v in kv])
+    m = F.expr(f"map({', '.join(literal(v) for kv in mapping.items() for v in kv)})")
     got = F.try_element_at(m, _c(x))
     return got if default is None else F.coalesce(got, F.lit(default))
 
@@ -171,8 +179,8 @@ def entry_for_name(x, entries: Sequence[tuple]) -> Column:
     lookup needs no join and keeps the list order.
     """
     name = F.upper(F.trim(_c(x)))
-    table = F.array(*[F.struct(F.lit(e[0]).alias("key"), F.lit(float(e[1])).alias("rate"),
-                               F.lit(e[2]).alias("price_unit"), F.lit(e[3]).alias("price_crop")) for e in entries])
+    cell = "named_struct('key', {}, 'rate', {}, 'price_unit', {}, 'price_crop', {})"
+    table = F.expr("array(" + ", ".join(cell.format(literal(e[0]), literal(float(e[1])), literal(e[2]), literal(e[3])) for e in entries) + ")")
     exact = F.filter(table, lambda e: e["key"] == name)
     near = F.filter(table, lambda e: name.contains(e["key"]) | e["key"].contains(name))
     return F.coalesce(F.try_element_at(exact, F.lit(1)), F.try_element_at(near, F.lit(1)))

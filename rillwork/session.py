@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_SCRATCH: dict[str, str] = {}
@@ -41,3 +43,11 @@ def stage(df: DataFrame, label: str, partition_by: list[str] | None = None) -> D
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stage_all(frames: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Stage independent frames at the same time, so that their jobs share the cluster."""
+    spark = next(iter(frames.values())).sparkSession
+    one = inheritable_thread_target(spark)(lambda item: (item[0], stage(item[1], item[0])))
+    with ThreadPoolExecutor(len(frames)) as pool:
+        return dict(pool.map(one, frames.items()))
