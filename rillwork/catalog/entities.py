@@ -73,10 +73,15 @@ FROM t JOIN c ON c.o_custkey = t.o_custkey JOIN customer ON c_custkey = t.o_cust
 def d13(spark, d):
     from rillwork.catalog.base import GROUPS
     li, p, o, c, n = (table(spark, d, t) for t in ("lineitem", "part", "orders", "customer", "nation"))
-    rec = (li.join(p.select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey")).join(o.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-           .join(c.select("c_custkey", "c_name", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(n.select("n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey")))
-    rec = rec.select(X.zfill("c_custkey", 5).alias("fips"), F.col("p_type").alias("crop"), F.col("l_quantity").alias("value"), F.col("n_name").alias("state"),
-                     F.col("c_name").alias("county"), F.col("l_orderkey").alias("ord"))
+    # merge before every join on a coarser key: an order or a customer with very many lines is small by then
+    merged = li.join(p.select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey")) \
+        .groupBy("l_orderkey", "p_type").agg(F.sum("l_quantity").alias("value"))
+    per_customer = merged.join(o.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")) \
+        .groupBy("o_custkey", "p_type").agg(F.sum("value").alias("value"), F.max("l_orderkey").alias("ord"))
+    rec = (per_customer.join(c.select("c_custkey", "c_name", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+           .join(n.select("n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey")))
+    rec = rec.select(X.zfill("c_custkey", 5).alias("fips"), F.col("p_type").alias("crop"), "value", F.col("n_name").alias("state"),
+                     F.col("c_name").alias("county"), "ord")
     state = n.select(F.col("n_name").alias("state"), F.when(F.col("n_nationkey") != 3, 0.5 + F.col("n_nationkey") / 10.0).alias("avg_intensity"),
                      F.when(F.col("n_nationkey") != 4, 0.002).alias("avg_dpg"))
     out = metrics.county_rollup(rec, state, GROUPS)

@@ -408,8 +408,7 @@ def first_nonempty(sources: Sequence[DataFrame]) -> DataFrame:
     """Rows of the first source, in order, that has any; one tagged union, no driver-side test."""
     tagged = [s.withColumn("_rank", F.lit(i)) for i, s in enumerate(sources)]
     union = reduce(DataFrame.unionByName, tagged)
-    best = union.agg(F.min("_rank").alias("_best"))
-    return union.crossJoin(F.broadcast(best)).where(F.col("_rank") == F.col("_best")).drop("_rank", "_best")
+    return union.where(F.col("_rank") == union.agg(F.min("_rank")).scalar()).drop("_rank")
 
 
 def tagged_union(parts: Mapping[str, DataFrame], tag: str) -> DataFrame:

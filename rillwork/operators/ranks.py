@@ -173,8 +173,13 @@ def group_quantiles(df: DataFrame, by: str, groups: Sequence[str], wanted: Mappi
 
 
 def with_scalars(df: DataFrame, row: DataFrame) -> DataFrame:
-    """Attach a one-row frame of constants to every row."""
-    return df.crossJoin(F.broadcast(row))
+    """Attach a one-row frame of constants to every row.
+
+    The frame becomes a scalar subquery: it runs once, Spark fails if it has a second row, and no join is planned.
+    """
+    cols = row.columns
+    constants = row.select(F.struct(*cols).alias("_row")).scalar()
+    return df.withColumn("_row", constants).select(*df.columns, *[F.col("_row")[c].alias(c) for c in cols])
 
 
 # -- prefix sums over distinct values ------------------------------------------------------------------------------

@@ -88,5 +88,5 @@ def keep_snapshot(stream: DataFrame, root: str, checkpoint: str, key: str, date:
 def read_snapshot(spark: SparkSession, root: str, schema: T.StructType, key: str, date: str) -> DataFrame:
     """The newest stored version."""
     versions = spark.read.schema(schema).parquet(root)  # the version is a partition column
-    newest = versions.agg(F.max("snapshot_version").alias("_newest"))
-    return versions.join(F.broadcast(newest), F.col("snapshot_version") == F.col("_newest")).drop("snapshot_version", "_newest")
+    newest = versions.agg(F.max("snapshot_version")).scalar()
+    return versions.where(F.col("snapshot_version") == newest).drop("snapshot_version")
