@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from rillwork.functions import columns as X
-from rillwork.operators import facts
+from rillwork.operators import facts, screens
 from rillwork.session import scratch_path, stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,15 +32,16 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-_SCHEMAS: dict[str, object] = {}
+_SCHEMAS: dict[tuple[str, str], StructType] = {}
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     """A driver table; its schema is inferred once per path, later reads start without a footer job."""
     path = f"{d}/{name}.parquet"
-    if path not in _SCHEMAS:
-        _SCHEMAS[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _SCHEMAS:
+        _SCHEMAS[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[key]).parquet(path)
 
 
 # -- lines: state x crop x year -----------------------------------------------------------------------------------
@@ -235,28 +238,32 @@ def build_wide(spark: SparkSession, d: str) -> DataFrame:
         F.col("max_price").alias("median_income"), F.round(e("100 * urgent / n_orders"), 9).alias("poverty_rate"))
 
 
-_FEATURES: dict[tuple[str, str], str] = {}
+_PRODUCTS: dict[tuple[str, str, str], tuple[str, StructType]] = {}
+
+
+def product(spark: SparkSession, d: str, label: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A persisted product: staged once per session and input folder, rebuilt if its folder is gone."""
+    key = (spark.sparkContext.applicationId, d, label)
+    if key in _PRODUCTS:
+        path, schema = _PRODUCTS[key]
+        try:
+            return spark.read.schema(schema).parquet(path)
+        except AnalysisException:
+            pass
+    path = scratch_path(spark, label)
+    out = stage(build(), label, path)
+    _PRODUCTS[key] = (path, out.schema)
+    return out
 
 
 def wide(spark: SparkSession, d: str) -> DataFrame:
-    """The persisted feature table: built once per session and input folder, read by every later step."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _FEATURES:
-        path = scratch_path(spark, "features")
-        build_wide(spark, d).write.parquet(path)
-        _FEATURES[key] = path
-    return spark.read.parquet(_FEATURES[key])
+    """The feature table, read by every later step."""
+    return product(spark, d, "features", lambda: build_wide(spark, d))
 
 
 def ranked(spark: SparkSession, d: str) -> DataFrame:
-    """Feature table with the target percentile, staged once as well."""
-    from rillwork.operators.screens import with_percentile
-    key = (spark.sparkContext.applicationId, d + "#ranked")
-    if key not in _FEATURES:
-        path = scratch_path(spark, "ranked")
-        with_percentile(wide(spark, d)).write.parquet(path)
-        _FEATURES[key] = path
-    return spark.read.parquet(_FEATURES[key])
+    """Feature table with the target percentile."""
+    return product(spark, d, "ranked", lambda: screens.with_percentile(wide(spark, d)))
 
 
 RANKED = WIDE + """,

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rillwork import config
 from rillwork.catalog.base import (CROPS, FACTS, GROUPS, LINES, PREFS, SERIES, SURVEYS, TYPES, WIDE, YIELDS, area_records, build_wide, crops, crops_of, fact_plan, fact_table, lines,
-                                   month_means, monthly, monthly_sums, nation_orders, price_records, query, table, water_records, wi_area, wide, year_means, yearly)
+                                   month_means, monthly, monthly_sums, nation_orders, price_records, product, query, table, water_records, wi_area, wide, year_means, yearly)
 from rillwork.functions import columns as X
 from rillwork.operators import facts, metrics, profile, ranks
 from rillwork.plans import county
@@ -205,18 +205,9 @@ states AS (SELECT *, round(CASE WHEN avg_intensity > 0 THEN avg_intensity * ((CA
 / CASE WHEN avg_dpg_cents > 0 THEN avg_dpg_cents ELSE 1 END END, 4) AS vuln_score FROM states0)""")
 
 
-def _staged_states(spark, d):
-    from rillwork.catalog.base import _FEATURES
-    from rillwork.session import scratch_path
-    key = (spark.sparkContext.applicationId, d + "#states")
-    if key not in _FEATURES:
-        path = scratch_path(spark, "states")
-        state_measures(spark, d).write.parquet(path)
-        _FEATURES[key] = path
-    return spark.read.parquet(_FEATURES[key])
-
-
-states = _staged_states
+def states(spark, d):
+    """The state roll-up as a persisted product."""
+    return product(spark, d, "states", lambda: state_measures(spark, d))
 
 
 @query("d12_vulnerability", f"{STATES} SELECT state, precip_trend_yr, gw_trend_ft, trend_pct, vuln_score FROM states")

@@ -115,15 +115,19 @@ def mean_and_latest(df: DataFrame, key: str, year: str, value: str, prefix: str,
 
 def soil_horizons(chorizon: DataFrame, component: DataFrame, mapunit: DataFrame, legend: DataFrame,
                   laoverlap: DataFrame, max_depth: float = 100.0) -> DataFrame:
-    """Mean horizon properties to a depth, per (survey-area prefix, county): a five-way join, then one aggregate."""
-    joined = (chorizon.where(F.col("hzdepb_r") <= max_depth)
-              .join(component.select("cokey", "mukey"), "cokey")
-              .join(mapunit.select("mukey", "lkey"), "mukey")
-              .join(legend.select("lkey", "areasymbol"), "lkey")
-              .join(laoverlap.where(F.col("areatypename") == "County or Parish").select("lkey", "areaname"), "lkey"))
+    """Mean horizon properties to a depth, per (survey-area prefix, county): a five-way join.
+
+    Horizons are merged per map unit before they meet the legends, of which there are few.
+    """
     measures = {"awc_r": "awc_mean", "sandtotal_r": "sand_pct", "claytotal_r": "clay_pct", "om_r": "organic_matter"}
-    return joined.groupBy(F.substring("areasymbol", 1, 2).alias("state"), "areaname").agg(
-        *[F.round(F.avg(c), 4).alias(o) for c, o in measures.items()])
+    per_unit = (chorizon.where(F.col("hzdepb_r") <= max_depth).join(component.select("cokey", "mukey"), "cokey")
+                .groupBy("mukey").agg(*[e for c in measures for e in (F.sum(c).alias(f"{c}_s"), F.count(c).alias(f"{c}_n"))]))
+    sums = [e for c in measures for e in (F.sum(f"{c}_s").alias(f"{c}_s"), F.sum(f"{c}_n").alias(f"{c}_n"))]
+    per_legend = per_unit.join(mapunit.select("mukey", "lkey"), "mukey").groupBy("lkey").agg(*sums)
+    counties = laoverlap.where(F.col("areatypename") == "County or Parish").select("lkey", "areaname")
+    joined = per_legend.join(legend.select("lkey", "areasymbol"), "lkey").join(counties, "lkey")
+    out = joined.groupBy(F.substring("areasymbol", 1, 2).alias("state"), "areaname").agg(*sums)
+    return out.select("state", "areaname", *[F.round(X.ratio(f"{c}_s", f"{c}_n"), 4).alias(o) for c, o in measures.items()])
 
 
 def soil_classes(mapunit: DataFrame, legend: DataFrame, muaggatt: DataFrame,
