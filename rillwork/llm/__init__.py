@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["packing", "mixing"]
+MODULES = ["packing", "mixing", "warc", "spans"]
 
 
 def load():
