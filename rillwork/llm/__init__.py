@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["packing", "mixing", "warc", "spans", "language", "toxicity", "quality", "minhash", "forest"]
+MODULES = ["packing", "mixing", "warc", "spans", "language", "toxicity", "quality", "minhash", "forest", "substrings"]
 
 
 def load():
