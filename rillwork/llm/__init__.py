@@ -12,4 +12,8 @@ def load():
         module = import_module(f"rillwork.llm.{m}")
         queries.update(module.QUERIES)
         oracles.update(getattr(module, "ORACLES", {}))
+    pipeline = import_module("corpus_pipeline")
+    queries["pipeline"] = pipeline.run
+    if pipeline.ORACLE_SQL:
+        oracles["pipeline"] = pipeline.ORACLE_SQL
     return queries, oracles

@@ -92,10 +92,15 @@ def blocks(texts: list[str | None], most: int = 1_000_000):
         yield scan(group)
 
 
-def first_per_class(rows: DataFrame, of: str, key: str, most: int) -> DataFrame:
-    """Of each class the ``most`` rows with the smallest hash of ``key``: the same rows at every run. Spark keeps that many per task before the shuffle."""
-    order = Window.partitionBy(of).orderBy(F.xxhash64(key, F.lit(11)), key)
-    return rows.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= most).drop("__rank")
+def first_per_class(rows: DataFrame, of: str, key: str, most: int, salts: int = 64) -> DataFrame:
+    """Of each class the ``most`` rows with the smallest hash of ``key``: the same rows at every run.
+
+    Each class is first cut into ``salts`` parts of which ``most`` rows stay, so a hot class never meets in one task.
+    """
+    hashed = rows.withColumn("__hash", F.xxhash64(key, F.lit(11))).withColumn("__salt", F.pmod(F.xxhash64(key, F.lit(13)), F.lit(salts)))
+    for part in ([of, "__salt"], [of]):
+        hashed = hashed.withColumn("__rank", F.row_number().over(Window.partitionBy(*part).orderBy("__hash", key))).where(F.col("__rank") <= most)
+    return hashed.drop("__hash", "__salt", "__rank")
 
 
 def fold(key: Column, parts: int) -> Column:
