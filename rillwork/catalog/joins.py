@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rillwork.catalog.base import CROPS, FACTS, LINES, WIDE, area_records, crops, lines, price_records, query, table, water_records, wi_area, wide
+from rillwork import config
 from rillwork.operators import facts, models, profile, ranks
 from rillwork.functions import columns as X
 
@@ -60,10 +61,10 @@ def j5(spark, d):
                               {"is_urgent": o.where("o_orderpriority = '1-URGENT'"), "is_large": o.where("o_totalprice > 400000")})
 
 
-_NUM = ["precip_deficit_in", "poverty_rate", "avg_farm_size_ac", "crop_diversity_hhi", "drought_intensity"]
+_NUM = [*config.CLIMATE, *config.SOIL, *config.HUMAN]
 
 
-@query("j8_ordered_pairs", f"WITH {WIDE}, c AS (SELECT * FROM wide WHERE crop_water_eff IS NOT NULL) " + " UNION ALL ".join(
+@query("j8_ordered_pairs", f"WITH {WIDE}, c AS (SELECT * FROM wide WHERE crop_water_eff IS NOT NULL AND {' AND '.join(f'{c} IS NOT NULL' for c in _NUM)}) " + " UNION ALL ".join(
     f"SELECT '{a}' AS feat1, '{b}' AS feat2, round(corr({a}, {b}), 6) AS r FROM c" for i, a in enumerate(_NUM) for b in _NUM[i + 1:]))
 def j8(spark, d):
     x = wide(spark, d).where("crop_water_eff IS NOT NULL")
@@ -141,10 +142,10 @@ def j12(spark, d):
     return out.select(F.col("id").alias("vec_id"), F.col("cluster_id").alias("label"), F.col("cluster_name").alias("name"))
 
 
-@query("j13_crop_presence", f"WITH {LINES}, h AS (SELECT DISTINCT state FROM lines WHERE crop = 'ECONOMY' AND l_quantity = 50 AND l_returnflag = 'R') "
+@query("j13_crop_presence", f"WITH {LINES}, h AS (SELECT DISTINCT state FROM lines WHERE crop = 'ECONOMY') "
        "SELECT n_name AS state, CASE WHEN h.state IS NOT NULL THEN 1 ELSE 0 END::INT AS has_crop FROM nation LEFT JOIN h ON n_name = h.state")
 def j13(spark, d):
-    grown = lines(spark, d).where("l_quantity = 50 AND l_returnflag = 'R'").select("state", "crop")
+    grown = lines(spark, d).select("state", "crop")
     return facts.presence(table(spark, d, "nation").select(F.col("n_name").alias("state")), grown, "ECONOMY")
 
 

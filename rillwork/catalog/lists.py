@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rillwork.catalog.base import CROPS, GROUPS, RANKED, WIDE, crops, query, ranked, table, wide
-from rillwork.catalog.rollups import STATES, _NATIONAL, states
+from rillwork import config
+from rillwork.catalog.rollups import SALES, STATES, _NATIONAL, paid_states, states
 from rillwork.functions import columns as X
-from rillwork.operators import facts, screens
+from rillwork.operators import facts, ranks, screens
 
 
 def national(spark, d):
@@ -80,20 +81,43 @@ def t8b(spark, d):
     return screens.sensitivity_curve(states(spark, d), spark.createDataFrame([(p,) for p in _GRID], "price double"))
 
 
-@query("t9_national_lists", f"""{STATES}, l AS (SELECT 'top' AS list, state, avg_intensity AS v, row_number() OVER (ORDER BY avg_intensity DESC, state)::INT AS rank FROM states UNION ALL
-SELECT 'bottom', state, avg_intensity, row_number() OVER (ORDER BY avg_intensity, state)::INT FROM states UNION ALL SELECT 'vulnerable', state, vuln_score, row_number() OVER (ORDER BY vuln_score DESC, state)::INT FROM states WHERE vuln_score > 0)
-SELECT * FROM l WHERE rank <= 5""")
+_DROUGHT = "dr AS (SELECT event_type, round(100 * sum(value) / sum(sum(value)) OVER (), 1) AS drought_pct FROM events GROUP BY 1)"
+
+
+def _ranked(name: str, source: str, key: str, measure: str, n: int, order: str, where: str) -> str:
+    return (f"SELECT * FROM (SELECT '{name}' AS list, {key} AS name, {measure} AS v, row_number() OVER (ORDER BY {measure} {order}, {key})::INT AS rank "
+            f"FROM {source} WHERE {where}) WHERE rank <= {n}")
+
+
+@query("t9_national_lists", f"{SALES}, {_NATIONAL[len(CROPS) + 2:]}, {_DROUGHT} " + " UNION ALL ".join([
+    _ranked("top", "paid", "state", "ag_per_af", 5, "DESC", "ag_per_af > 0"), _ranked("bottom", "paid", "state", "ag_per_af", 5, "ASC", "ag_per_af > 0"),
+    _ranked("vulnerable", "paid", "state", "vuln_score", 5, "DESC", "vuln_score > 0"), _ranked("thirsty", "nat", "crop", "avg_water_int", 6, "DESC", "crop <> 'PROMO' AND avg_water_int > 0"),
+    _ranked("drying", "paid", "state", "precip_trend_yr", 3, "ASC", "precip_trend_yr < 0 AND avg_intensity > 0"), _ranked("drought", "dr", "event_type", "drought_pct", 3, "DESC", "drought_pct > 0")]))
 def t9(spark, d):
-    s = states(spark, d)
-    part = lambda name, m, **kw: screens.top_list(s, m, "state", n=5, **kw).select(F.lit(name).alias("list"), "state", F.col(m).alias("v"), "rank")
-    return part("top", "avg_intensity").unionByName(part("bottom", "avg_intensity", ascending=True)).unionByName(part("vulnerable", "vuln_score", positive=True))
+    s = paid_states(spark, d)
+    e = table(spark, d, "events")
+    total = e.agg(F.sum("value").alias("t"))
+    dry = ranks.with_scalars(e.groupBy("event_type").agg(F.sum("value").alias("v")), total).select("event_type", F.round(100 * F.col("v") / F.col("t"), 1).alias("drought_pct"))
+
+    def part(name, rows, measure, key="state", n=5, **kw):
+        return screens.top_list(rows, measure, key, n=n, **kw).select(F.lit(name).alias("list"), F.col(key).alias("name"), F.col(measure).cast("double").alias("v"), "rank")
+
+    lists = [part("top", s, "ag_per_af", positive=True), part("bottom", s, "ag_per_af", positive=True, ascending=True), part("vulnerable", s, "vuln_score", positive=True),
+             part("thirsty", national(spark, d), "avg_water_int", "crop", 6, positive=True, exclude=["PROMO"]),
+             part("drying", s.where("precip_trend_yr < 0 AND avg_intensity > 0"), "precip_trend_yr", n=3, ascending=True), part("drought", dry, "drought_pct", "event_type", 3, positive=True)]
+    out = lists[0]
+    for x in lists[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+_RANKED_FEATURES = [*config.CLIMATE, *config.SOIL, *config.HUMAN]
 
 
-@query("t11_strongest", f"WITH {WIDE}, c AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, round(corr({c}, log_crop_water_eff), 6) AS r FROM wide" for c in ("poverty_rate", "clay_pct", "organic_matter", "crop_diversity_hhi", "elevation_ft", "high_water_crop_share"))
-       + ") SELECT row_number() OVER (ORDER BY abs(r) DESC, feature)::INT AS rank, feature, r FROM c ORDER BY 1 LIMIT 5")
+@query("t11_strongest", f"WITH {WIDE}, c AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, round(corr({c}, log_crop_water_eff), 6) AS r FROM wide" for c in _RANKED_FEATURES)
+       + ") SELECT row_number() OVER (ORDER BY abs(r) DESC, feature)::INT AS rank, feature, r FROM c WHERE r IS NOT NULL ORDER BY 1 LIMIT 5")
 def t11(spark, d):
-    cols = ["poverty_rate", "clay_pct", "organic_matter", "crop_diversity_hhi", "elevation_ft", "high_water_crop_share"]
-    agg = wide(spark, d).agg(*[F.round(F.corr(c, "log_crop_water_eff"), 6).alias(c) for c in cols]).unpivot([], cols, "feature", "r")
+    agg = wide(spark, d).agg(*[F.round(F.corr(c, "log_crop_water_eff"), 6).alias(c) for c in _RANKED_FEATURES]).unpivot([], _RANKED_FEATURES, "feature", "r")
     return screens.top_list(agg, "r", "feature", n=5, by_size=True)
 
 

@@ -139,7 +139,7 @@ def a28(spark, d):
 _SOIL_STATE = "soil AS (SELECT n_name AS state, round(0.2::DOUBLE + n_nationkey / 50.0::DOUBLE, 3) AS good_ratio FROM nation WHERE n_regionkey <> 3)"
 _OPP = f"""{_SOIL_STATE}, low AS (SELECT *, coalesce(wi, 0) AS w0, coalesce(dpg, 0) AS d0 FROM crops WHERE grp IN ('FORAGE', 'GRAIN', 'OIL') AND area >= 500),
 gain AS (SELECT state, sum(CASE WHEN w0 > 0 AND d0 < 0.015 THEN area * w0 * 325851 * (0.015::DOUBLE - d0) END) AS gain FROM low GROUP BY 1),
-ocrop AS (SELECT state, crop AS opp_crop FROM (SELECT *, row_number() OVER (PARTITION BY state ORDER BY -(area * wi) NULLS FIRST, crop) AS rn FROM low) WHERE rn = 1),
+ocrop AS (SELECT state, crop AS opp_crop FROM (SELECT *, row_number() OVER (PARTITION BY state ORDER BY area * w0 DESC, crop) AS rn FROM low) WHERE rn = 1),
 opp AS (SELECT st.state, CASE WHEN gain * round(0.15::DOUBLE + 0.25::DOUBLE * coalesce(good_ratio, 0.5), 3) * 0.70::DOUBLE > 0 THEN
 round(least(gain * round(0.15::DOUBLE + 0.25::DOUBLE * coalesce(good_ratio, 0.5), 3) * 0.70::DOUBLE / 1e6, 2000), 1) END AS opp_value_m, opp_crop
 FROM (SELECT DISTINCT state FROM crops) st LEFT JOIN gain ON gain.state = st.state LEFT JOIN ocrop ON ocrop.state = st.state LEFT JOIN soil ON soil.state = st.state)"""
@@ -215,17 +215,26 @@ def d12(spark, d):
     return state_measures(spark, d).select("state", "precip_trend_yr", "gw_trend_ft", "trend_pct", "vuln_score")
 
 
-@query("d11_sales_per_water", f"""{STATES}, sales AS (SELECT n_name AS state, round(sum(o_totalprice) FILTER (year(o_orderdate) = 2000 AND o_orderstatus = 'F' AND n_nationkey <> 4), 2) AS s1,
+SALES = f"""{STATES}, sales AS (SELECT n_name AS state, round(sum(o_totalprice) FILTER (year(o_orderdate) = 2000 AND n_nationkey <> 4), 2) AS s1,
 round(sum(o_totalprice) FILTER (year(o_orderdate) = 1997), 2) AS s2 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1),
-m AS (SELECT s.*, coalesce(nullif(round(s1 / 1e6, 1), 0), nullif(round(s2 / 1e6, 1), 0)) AS ag_sales_m FROM states s LEFT JOIN sales ON sales.state = s.state)
-SELECT state, ag_sales_m, round(ag_sales_m * 1e6 / CASE WHEN total_irr_area > 0 AND avg_intensity > 0 THEN total_irr_area * avg_intensity END, 1) AS ag_per_af FROM m""")
-def d11(spark, d):
-    o = nation_orders(spark, d)
+m AS (SELECT s.*, coalesce(nullif(round(s1 / 1e6, 1), 0), nullif(round(s2 / 1e6, 1), 0)) AS ag_sales_m FROM states s LEFT JOIN sales ON sales.state = s.state),
+paid AS (SELECT *, round(ag_sales_m * 1e6 / CASE WHEN total_irr_area > 0 AND avg_intensity > 0 THEN total_irr_area * avg_intensity END, 1) AS ag_per_af FROM m)"""
+
+
+def paid_states(spark, d):
+    """The state roll-up with sales per acre-foot. Orders are merged per customer before they meet the customers; one nation did not report the first year."""
+    o, c, n = table(spark, d, "orders"), table(spark, d, "customer"), table(spark, d, "nation")
     y = F.year("o_orderdate")
-    first = (y == 2000) & (F.col("o_orderstatus") == "F") & (F.col("state") != "NATION_4")
-    sales = o.groupBy("state").agg(F.round(F.sum(F.when(first, F.col("o_totalprice"))), 2).alias("s1"), F.round(F.sum(F.when(y == 1997, F.col("o_totalprice"))), 2).alias("s2"))
-    out = metrics.sales_per_water(states(spark, d).join(sales, "state", "left"), "s1", "s2")
-    return out.select("state", F.col("ag_sales_M").alias("ag_sales_m"), "ag_per_af")
+    sums = {"s1": F.sum(F.when(y == 2000, F.col("o_totalprice"))), "s2": F.sum(F.when(y == 1997, F.col("o_totalprice")))}
+    per = o.groupBy("o_custkey").agg(*[e.alias(k) for k, e in sums.items()])
+    named = per.join(c, per.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
+    sales = named.groupBy(F.col("n_name").alias("state")).agg(F.round(F.sum(F.when(F.col("n_nationkey") != 4, F.col("s1"))), 2).alias("s1"), F.round(F.sum("s2"), 2).alias("s2"))
+    return metrics.sales_per_water(states(spark, d).join(sales, "state", "left"), "s1", "s2").withColumnRenamed("ag_sales_M", "ag_sales_m")
+
+
+@query("d11_sales_per_water", f"{SALES} SELECT state, ag_sales_m, ag_per_af FROM paid")
+def d11(spark, d):
+    return paid_states(spark, d).select("state", "ag_sales_m", "ag_per_af")
 
 
 @query("a29_national_panel", f"""{STATES}, dr AS (SELECT event_type, round(100 * sum(value) / sum(sum(value)) OVER (), 1) AS drought_pct FROM events GROUP BY 1)
@@ -276,9 +285,8 @@ def w7b(spark, d):
 
 @query("flagship_state_rollup", f"""{STATES}, ss AS (SELECT * FROM states), nrm AS (SELECT state, {_norm_sql('avg_intensity', 'norm', False, '(SELECT * FROM ss WHERE avg_intensity IS NOT NULL)')},
 {_norm_sql('hhi', 'norm_hhi', False, '(SELECT * FROM ss WHERE hhi IS NOT NULL)')} FROM ss)
-SELECT s.state, avg_intensity, avg_dpg_cents, trend_pct, hhi, opp_value_m, vuln_score, norm, norm_hhi FROM states s JOIN nrm ON nrm.state = s.state ORDER BY avg_intensity DESC, state LIMIT 12""")
+SELECT s.state, avg_intensity, avg_dpg_cents, trend_pct, hhi, opp_value_m, vuln_score, norm, norm_hhi FROM states s JOIN nrm ON nrm.state = s.state""")
 def flagship(spark, d):
     s = stage(state_measures(spark, d), "states")  # one row per state; percentiles and rows read it
     n = ranks.robust_norm(s, {"avg_intensity": "norm", "hhi": "norm_hhi"})
-    return n.select("state", "avg_intensity", "avg_dpg_cents", "trend_pct", "hhi", "opp_value_m", "vuln_score", "norm", "norm_hhi") \
-            .orderBy(F.desc("avg_intensity"), "state").limit(12)
+    return n.select("state", "avg_intensity", "avg_dpg_cents", "trend_pct", "hhi", "opp_value_m", "vuln_score", "norm", "norm_hhi")

@@ -282,11 +282,11 @@ def s20(spark, d):
     return records.invalid_documents(wide(spark, d).select("fips", F.col("awc_mean").cast("string").alias("awc_mean")), "fips", "awc_mean")
 
 
-@query("s21_tagged_union", "SELECT l_returnflag AS sector, l_suppkey, l_quantity FROM lineitem WHERE l_returnflag IN ('A', 'R')")
+@query("s21_tagged_union", "SELECT l_returnflag AS sector, l_suppkey, l_quantity FROM lineitem")
 def s21(spark, d):
     li = table(spark, d, "lineitem")
     part = lambda f: li.where(F.col("l_returnflag") == f).select("l_suppkey", "l_quantity")
-    return facts.tagged_union({f: part(f) for f in ("A", "R")}, "sector")
+    return facts.tagged_union({f: part(f) for f in ("A", "N", "R")}, "sector")
 
 
 @query("a27p_well_depth", "SELECT event_type AS site, CAST(year(ts) AS INT) AS year, round(round(sum(value), 2) / count(*), 4) AS depth FROM events GROUP BY 1, 2")

@@ -35,13 +35,14 @@ def x2(spark, d):
     return w.select("week_start", "event_type", "n", F.round("total", 2).alias("total"))
 
 
-@query("x2b_weekly_stream", f"SELECT week_start, event_type, n FROM ({_WEEK}) WHERE week_start + INTERVAL 7 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY")
+@query("x2b_weekly_stream", _WEEK)
 def x2b(spark, d):
     path, schema = _arriving(spark, d)
     out, mark = scratch_path(spark, "weekly"), scratch_path(spark, "mark")
     w = ingest.weekly_measures(ingest.file_stream(spark, path, schema), "ts", "value", ["event_type"], late="1 day")
-    ingest.ingest_available(w, out, mark).awaitTermination()
-    return spark.read.schema(w.schema).parquet(out).select(F.col("week_start").cast("timestamp_ntz").alias("week_start"), "event_type", "n")
+    ingest.upsert_measures(w, out, mark).awaitTermination()
+    got = ingest.read_measures(spark, out, w.schema, ["week_start", "event_type"])
+    return got.select(F.col("week_start").cast("timestamp_ntz").alias("week_start"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
 @query("x3_snapshot_upkeep", "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS rn FROM events) WHERE rn = 1")

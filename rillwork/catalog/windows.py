@@ -114,7 +114,7 @@ def w11(spark, d):
 
 
 @query("w12_nested_top", f"""WITH {CROPS}, r AS (SELECT *, row_number() OVER (PARTITION BY state ORDER BY coalesce(area * wi, 0) DESC, crop) AS rn FROM crops)
-SELECT state, string_agg(crop || ':' || "year", '|' ORDER BY rn) AS top FROM r WHERE rn <= 4 GROUP BY 1""")
+SELECT state, string_agg(crop || ':' || "year", '|' ORDER BY rn) AS top FROM r WHERE rn <= 20 GROUP BY 1""")
 def w12(spark, d):
-    n = facts.nested_top(crops(spark, d), "state", F.coalesce(F.col("area") * F.col("wi"), F.lit(0.0)), ["crop", "year"], k=4)
+    n = facts.nested_top(crops(spark, d), "state", F.coalesce(F.col("area") * F.col("wi"), F.lit(0.0)), ["crop", "year"], k=20)
     return n.select("state", F.array_join(F.transform("top_crops", lambda s: F.concat_ws(":", s["crop"], s["year"].cast("string"))), "|").alias("top"))

@@ -75,7 +75,7 @@ def opportunity_sums(low_groups: Sequence[str] = config.LOW_VALUE_GROUPS, exclud
     wi, dpg = F.coalesce("wi", F.lit(0.0)), F.coalesce("dpg", F.lit(0.0))
     gain = F.sum(F.when(low & (wi > 0) & (dpg < target_dpg),
                         F.col("area") * wi * config.GALLONS_PER_ACRE_FOOT * (target_dpg - dpg)))
-    order = F.struct((-(F.col("area") * F.col("wi"))).alias("m"), F.col("crop"))
+    order = F.struct((-(F.col("area") * wi)).alias("m"), F.col("crop"))  # an unknown intensity counts as none
     return {"gain": gain, "opp_crop": F.min_by(F.when(low, F.col("crop")), F.when(low, order))}
 
 

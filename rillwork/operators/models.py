@@ -18,9 +18,9 @@ from rillwork.functions import columns as X
 from rillwork.operators import ranks
 
 
-def impute_medians(df: DataFrame, cols: Sequence[str], small: int = ranks.SMALL_ROWS) -> tuple[DataFrame, list[str]]:
+def impute_medians(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, list[str]]:
     """Fill nulls with exact column medians; columns without any value are left out of the returned list."""
-    med = ranks.quantile_row(df, {c: (c, 0.5) for c in cols}, small=small).first()
+    med = ranks.quantile_row(df, {c: (c, 0.5) for c in cols}).first()
     kept = [c for c in cols if med[c] is not None]
     return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(med[c])) for c in kept}), kept
 
@@ -42,9 +42,9 @@ def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> D
     return VectorAssembler(inputCols=list(features), outputCol=out).transform(df)
 
 
-def contiguous_folds(df: DataFrame, order: str, k: int = 5, out: str = "fold", small: int = ranks.SMALL_ROWS) -> DataFrame:
+def contiguous_folds(df: DataFrame, order: str, k: int = 5, out: str = "fold") -> DataFrame:
     """k contiguous folds along a numeric key, cut at exact positions; no global sort of the rows."""
-    cut = ranks.quantile_row(df, {f"c{i}": (order, i / k) for i in range(1, k)}, rule="index", small=small).first()
+    cut = ranks.quantile_row(df, {f"c{i}": (order, i / k) for i in range(1, k)}, rule="index").first()
     fold = F.lit(0)
     for v in cut:
         fold = fold + F.when(F.col(order) >= v, 1).otherwise(0)
@@ -113,23 +113,23 @@ def top_effects(coefs: DataFrame, role: str = "human", k: int = 5) -> DataFrame:
     return ranked.where(F.col("rank") <= k)
 
 
-def halves(df: DataFrame, by: str, high: str = "arid", low: str = "humid", small: int = ranks.SMALL_ROWS) -> dict[str, DataFrame]:
+def halves(df: DataFrame, by: str, high: str = "arid", low: str = "humid") -> dict[str, DataFrame]:
     """Median split of the rows, taken before any row is dropped."""
-    med = ranks.quantile_row(df, {"m": (by, 0.5)}, small=small).first()["m"]
+    med = ranks.quantile_row(df, {"m": (by, 0.5)}).first()["m"]
     return {high: df.where(F.col(by) > med), low: df.where(F.col(by) <= med)}
 
 
 def half_importances(df: DataFrame, by: str, features: Sequence[str], target: str, trees: int = 200, depth: int = 6,
-                     k: int = 5, min_n: int = 50, small: int = ranks.SMALL_ROWS) -> DataFrame:
+                     k: int = 5, min_n: int = 50) -> DataFrame:
     """Top importances of a forest fitted to each half."""
     out = None
-    for name, half in halves(df, by, small=small).items():
+    for name, half in halves(df, by).items():
         sub = half.where(F.col(target).isNotNull()).select(*features, target)
         sub = X.at_least_filled(sub, max(3, len(features) // 2))
         n = sub.count()
         if n < min_n:
             continue
-        filled, kept = impute_medians(sub, features, small=small)
+        filled, kept = impute_medians(sub, features)
         model = forest(target, trees, depth).fit(assemble(filled, kept))
         rows = importance_rows(df, model, kept, {}).limit(k).select(
             F.lit(name).alias("half"), F.lit(n).cast("long").alias("n"), "feature", F.round("importance", 4).alias("importance"))
@@ -191,12 +191,11 @@ def label_entities(df: DataFrame, assigned: DataFrame, centres: DataFrame, key:
 
 
 def cluster_entities(df: DataFrame, key: str, features: Sequence[str], target: str, k_range: Sequence[int] = range(2, 13),
-                     restarts: int = 10, final_restarts: int = 20, stage: Callable[[DataFrame], DataFrame] = lambda d: d,
-                     small: int = ranks.SMALL_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
+                     restarts: int = 10, final_restarts: int = 20, stage: Callable[[DataFrame], DataFrame] = lambda d: d) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Impute, standardise, search k by the elbow, fit: (entities with cluster, centres, cost curve)."""
     base = df.select(key, *features, target).where(F.col(target).isNotNull())
     base = X.at_least_filled(base, int(len(features) * 0.4))
-    filled, kept = impute_medians(base, features, small=small)
+    filled, kept = impute_medians(base, features)
     cols = [*kept, target]
     scaled, _ = standardize(filled, cols, "_z")
     data = stage(scaled.select(key, *cols, *[c + "_z" for c in cols]))

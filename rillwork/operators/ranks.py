@@ -1,175 +1,86 @@
 """Order statistics over frames of any size: prefix sums, ranks, quantiles, shares, normalisation.
 
-Spark runs ``Window.orderBy`` without a partition, and exact ``percentile``, in one task. So every operator here
-first counts the rows. Up to ``small`` rows that one task is a proven bound and the plain form is used. Above it the
-work is split into value ranges:
-
-* a sample of bounded size gives the range limits (they only steer the balance, never the result),
-* one pass counts the rows of every range - at most ``MAX_RANGES`` numbers reach the driver,
-* only inside a range are values sorted, after equal values have been merged into (value, count), so that a value
-  held by a third of all rows is one row.
-
-The frames are read more than once: pass a table (``rillwork.session.stage``), not a long lineage.
+Spark runs ``Window.orderBy`` without a partition, and exact ``percentile``, in one task. Here equal values are first
+merged into (value, count), so that a value held by a third of all rows is one row; the merged values are dealt to
+value ranges and staged; the counts of the ranges, one row each, give every range its offset; and windows run inside
+a range only. The same plan serves every size: there are as many ranges as shuffle partitions.
 """
 
 from __future__ import annotations
 
-import bisect
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Row, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-SMALL_ROWS = 200_000
-MAX_RANGES = 4096
-SAMPLE_PER_RANGE = 20
-SALTS = 256
+from rillwork.session import stage
 
+SALTS = 256
 
-def _is_float(df: DataFrame, col: str) -> bool:
-    return isinstance(df.schema[col].dataType, (T.DoubleType, T.FloatType))
 
+def _number(col: Column) -> Column:
+    """As a double: NaN to null, -0.0 to 0.0."""
+    d = col.cast("double")
+    return F.when(~F.isnan(d), d + F.lit(0.0))
 
-def _clean(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """The columns as doubles: NaN to null, -0.0 to 0.0."""
-    as_double = lambda c: F.col(c).cast("double")
-    return df.select(*by, *[F.when(~F.isnan(as_double(c)), as_double(c) + F.lit(0.0)).alias(c) for c in cols])
 
+# -- merged values in ranges ------------------------------------------------------------------------------------
 
-def _counts(clean: DataFrame, cols: Sequence[str]) -> dict[str, int]:
-    return clean.agg(*[F.count(c).alias(c) for c in cols]).first().asDict()
+def _offsets(long: DataFrame, by: Sequence[str], descending: bool = False, sums: bool = False) -> DataFrame:
+    """One row per distinct ``v`` of every group: ``n``, ``n_before`` and ``n_total``; with ``sums`` also ``s`` (value times count), ``s_before`` and ``s_total``."""
+    adds = ["n", "s"] if sums else ["n"]
+    measures = [F.count(F.lit(1)).alias("n")] + ([F.sum("v").alias("s")] if sums else [])
+    merged = long.where(F.col("v").isNotNull()).groupBy(*by, "v").agg(*measures)
+    parts = int(long.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = stage(merged.repartitionByRange(parts, *by, "v").withColumn("_r", F.spark_partition_id()), "value-ranges")
+    way = F.desc if descending else F.asc
+    per_range = ranged.groupBy(*by, "_r").agg(*[F.sum(a).alias(f"_{a}") for a in adds])
+    whole, upto = Window.partitionBy(*by), Window.partitionBy(*by).orderBy(way("_r"))
+    for a in adds:
+        per_range = per_range.withColumn(f"_{a}_start", F.sum(f"_{a}").over(upto) - F.col(f"_{a}")).withColumn(f"{a}_total", F.sum(f"_{a}").over(whole))
+    same = [F.col(f"l.{g}").eqNullSafe(F.col(f"o.{g}")) for g in by] + [F.col("l._r") == F.col("o._r")]
+    extra = [F.col(f"o._{a}_start") for a in adds] + [F.col(f"o.{a}_total") for a in adds]
+    joined = ranged.alias("l").join(per_range.alias("o"), same).select("l.*", *extra)
+    inside = Window.partitionBy(*by, "_r").orderBy(way("v"))
+    for a in adds:
+        joined = joined.withColumn(f"{a}_before", F.col(f"_{a}_start") + F.sum(a).over(inside) - F.col(a))
+    return joined.drop("_r", *[f"_{a}_start" for a in adds])
 
 
-def _limits(clean: DataFrame, cols: Sequence[str], n: Mapping[str, int], small: int) -> dict[str, list[float]]:
-    """Range limits per column from one bounded sample; repeated limits point at hot values."""
-    biggest = max(n.values())
-    ranges = int(min(MAX_RANGES, max(2, 4 * biggest // max(small, 1))))
-    fraction = min(1.0, ranges * SAMPLE_PER_RANGE / max(biggest, 1))
-    rows = clean.sample(fraction=fraction, seed=7).toPandas()
-    out = {}
-    for c in cols:
-        values = rows[c].dropna().sort_values().to_numpy()
-        step = max(1, len(values) // ranges)
-        out[c] = [float(v) for v in values[step::step]]
-    return out
+# -- quantiles ------------------------------------------------------------------------------------------------
 
+def _pick(feature: str, p: float, rule: str) -> Column:
+    """Aggregate over merged values: the quantile ``p`` of one feature."""
+    mine = F.col("feature") == feature
+    n = F.max(F.when(mine, F.col("n_total")))
+    last, share = F.col("n_total") - 1, F.lit(float(p))
+    at = F.floor(F.col("n_total") * share) if rule == "index" else F.floor(last * share)
+    lo = F.greatest(F.lit(0), F.least(last, at))
+    value = lambda pos: F.max(F.when(mine & (F.col("n_before") <= pos) & (pos < F.col("n_before") + F.col("n")), F.col("v")))
+    if rule == "index":
+        return value(lo)
+    low, high = value(lo), value(F.least(last, lo + 1))
+    part = (n - 1) * share - F.floor((n - 1) * share)
+    return F.when(part > 0, low + (high - low) * part).otherwise(low)
 
-def _bucketize(df: DataFrame, limits: Mapping[str, Sequence[float]], suffix: str = "_range") -> DataFrame:
-    """Range number per column (binary search over the limits)."""
-    cols, splits = [], []
-    for c, values in limits.items():
-        inner = [v for v in sorted(set(values)) if abs(v) != float("inf")]
-        cols.append(c)
-        splits.append([float("-inf"), *(inner or [0.0]), float("inf")])
-    return Bucketizer(inputCols=cols, outputCols=[c + suffix for c in cols], splitsArray=splits,
-                      handleInvalid="keep").transform(df)
 
+def _long(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    pieces = F.array(*[F.struct(F.lit(c).alias("feature"), _number(F.col(c)).alias("v")) for c in cols])
+    return df.select(*by, F.explode(F.filter(pieces, lambda e: e["v"].isNotNull())).alias("e")).select(*by, "e.feature", "e.v")
 
-# -- quantiles ------------------------------------------------------------------------------------------------
 
-def _positions(p: float, n: int, rule: str) -> tuple[int, int, float]:
-    if rule == "index":
-        at = max(0, min(n - 1, int(n * p)))
-        return at, at, 0.0
-    pos = p * (n - 1)
-    lo = int(pos)
-    return lo, min(lo + 1, n - 1) if pos > lo else lo, pos - lo
-
-
-def _values_at(clean: DataFrame, wanted: Mapping[str, set[int]], n: Mapping[str, int], small: int) -> dict[str, dict[int, float]]:
-    """Values at 0-based positions of the sorted columns, by counting ranges and sorting only the wanted ones."""
-    cols = list(wanted)
-    limits = _limits(clean, cols, n, small)
-    ranged = _bucketize(clean, limits)
-    pieces = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c + "_range").cast("int").alias("r"),
-                                F.col(c).alias("v")) for c in cols])
-    long = ranged.select(F.explode(pieces).alias("e")).select("e.*").where(F.col("v").isNotNull())
-    totals = long.groupBy("feature", "r").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"),
-                                              F.max("v").alias("hi"), F.approx_count_distinct("v").alias("d")).collect()
-    found: dict[str, dict[int, float]] = {c: {} for c in cols}
-    sort_here, deeper = [], []
-    for c in cols:
-        ranges = sorted((t for t in totals if t["feature"] == c), key=lambda t: t["r"])
-        starts, at = [], 0
-        for t in ranges:
-            starts.append(at)
-            at += t["n"]
-        per_range: dict[int, list[int]] = {}
-        for p in wanted[c]:
-            per_range.setdefault(bisect.bisect_right(starts, p) - 1, []).append(p)
-        for i, ps in per_range.items():
-            t = ranges[i]
-            if t["lo"] == t["hi"]:
-                found[c].update({p: t["lo"] for p in ps})
-            else:
-                (sort_here if t["d"] <= max(small, 64) else deeper).append((c, t, starts[i], ps))
-    if sort_here:
-        keys = F.broadcast(clean.sparkSession.createDataFrame(
-            [Row(feature=c, r=int(t["r"]), start=int(s), ps=[int(p) for p in ps]) for c, t, s, ps in sort_here],
-            "feature string, r int, start long, ps array<bigint>"))
-        merged = long.join(keys.select("feature", "r"), ["feature", "r"]).groupBy("feature", "r", "v").agg(
-            F.count(F.lit(1)).alias("n")).join(keys, ["feature", "r"])
-        w = Window.partitionBy("feature", "r").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-        merged = merged.withColumn("a", F.col("start") + F.coalesce(F.sum("n").over(w), F.lit(0)))
-        a, b = F.col("a"), F.col("a") + F.col("n")
-        hits = merged.withColumn("p", F.explode(F.filter("ps", lambda q: (q >= a) & (q < b))))
-        for h in hits.select("feature", "p", "v").collect():
-            found[h["feature"]][h["p"]] = h["v"]
-    for c, t, start, ps in deeper:
-        inside = clean.select(c).where(F.col(c).between(t["lo"], t["hi"]))
-        sub = _values_at(inside, {c: {p - start for p in ps}}, {c: t["n"]}, small)
-        found[c].update({p + start: v for p, v in sub[c].items()})
-    return found
-
-
-def quantile_row(df: DataFrame, wanted: Mapping[str, tuple[str, float]], rule: str = "linear",
-                 small: int = SMALL_ROWS) -> DataFrame:
+def quantile_row(df: DataFrame, wanted: Mapping[str, tuple[str, float]], rule: str = "linear") -> DataFrame:
     """Exact quantiles as one row. ``wanted``: output name -> (column, probability).
 
     rule='linear' interpolates between neighbours; rule='index' takes the value at floor(n*p), clamped to the last.
     """
-    cols = list(dict.fromkeys(c for c, _ in wanted.values()))
-    clean = _clean(df, cols)
-    n = _counts(clean, cols)
-    if rule == "linear" and max(n.values()) <= small:
-        return clean.agg(*[F.percentile(c, F.lit(float(p))).alias(name) for name, (c, p) in wanted.items()])
-    need: dict[str, set[int]] = {}
-    for c, p in wanted.values():
-        if n[c]:
-            lo, hi, _ = _positions(p, n[c], rule)
-            need.setdefault(c, set()).update((lo, hi))
-    if max(n.values()) <= small:
-        picks = []
-        for name, (c, p) in wanted.items():
-            at = _positions(p, n[c], rule)[0] if n[c] else 0
-            picks.append(F.try_element_at(F.sort_array(F.collect_list(c)), F.lit(at + 1)).alias(name))
-        return clean.agg(*picks)
-    values = _values_at(clean.select(*need), need, {c: n[c] for c in need}, small)
-    out = {}
-    for name, (c, p) in wanted.items():
-        out[name] = None
-        if n[c]:
-            lo, hi, frac = _positions(p, n[c], rule)
-            out[name] = values[c][lo] + (values[c][hi] - values[c][lo]) * frac
-    schema = ", ".join(f"`{k}` double" for k in out)
-    return df.sparkSession.createDataFrame([tuple(out.values())], schema)
-
-
-def group_quantiles(df: DataFrame, by: str, groups: Sequence[str], wanted: Mapping[str, tuple[str, float]],
-                    small: int = SMALL_ROWS) -> DataFrame:
-    """Exact quantiles per group, for a short list of group labels: (by, names...)."""
-    cols = list(dict.fromkeys(c for c, _ in wanted.values()))
-    n = df.where(F.col(by).isin(list(groups))).groupBy(by).agg(F.count(F.lit(1)).alias("n")).collect()
-    if max((r["n"] for r in n), default=0) <= small:
-        clean = _clean(df.where(F.col(by).isin(list(groups))), cols, [by])
-        return clean.groupBy(by).agg(*[F.percentile(c, F.lit(float(p))).alias(k) for k, (c, p) in wanted.items()])
-    spread = df.select(*[F.when(F.col(by) == g, F.col(c).cast("double")).alias(f"g{i}_{c}")
-                         for i, g in enumerate(groups) for c in cols])
-    row = quantile_row(spread, {f"g{i}_{k}": (f"g{i}_{c}", p) for i, _ in enumerate(groups)
-                                for k, (c, p) in wanted.items()}, small=small)
-    rows = F.array(*[F.struct(F.lit(g).alias(by), *[F.col(f"g{i}_{k}").alias(k) for k in wanted])
-                     for i, g in enumerate(groups)])
-    return row.select(F.explode(rows).alias("e")).select("e.*")
+    merged = _offsets(_long(df, list(dict.fromkeys(c for c, _ in wanted.values()))), ["feature"])
+    return merged.agg(*[_pick(c, p, rule).alias(name) for name, (c, p) in wanted.items()])
+
+
+def group_quantiles(df: DataFrame, by: str, wanted: Mapping[str, tuple[str, float]]) -> DataFrame:
+    """Exact quantiles per group: (by, names...), one row per group with a known value."""
+    merged = _offsets(_long(df, list(dict.fromkeys(c for c, _ in wanted.values())), [by]), [by, "feature"])
+    return merged.groupBy(by).agg(*[_pick(c, p, "linear").alias(name) for name, (c, p) in wanted.items()])
 
 
 def with_scalars(df: DataFrame, row: DataFrame) -> DataFrame:
@@ -184,44 +95,9 @@ def with_scalars(df: DataFrame, row: DataFrame) -> DataFrame:
 
 # -- prefix sums over distinct values ------------------------------------------------------------------------------
 
-def value_prefix(df: DataFrame, col: str, descending: bool = False, sums: bool = False,
-                 small: int = SMALL_ROWS) -> tuple[DataFrame, int, list[float]]:
-    """One row per distinct value: its count ``n``, rows before it ``n_before`` and ``n_total``.
-
-    With ``sums`` also ``s`` (value times count), ``s_before`` and ``s_total``. Also returns the number of rows and
-    the values suspected hot (empty for small frames).
-    """
-    clean = _clean(df, [col]).where(F.col(col).isNotNull())
-    n = clean.count()
-    adds = ["n", "s"] if sums else ["n"]
-    order = F.col(col).desc() if descending else F.col(col).asc()
-    measures = [F.count(F.lit(1)).alias("n")] + ([F.sum(col).alias("s")] if sums else [])
-    if n <= small:
-        d = clean.groupBy(col).agg(*measures)
-        w = Window.partitionBy(F.lit(0)).orderBy(order)
-        for a in adds:
-            d = d.withColumn(f"{a}_before", F.sum(a).over(w) - F.col(a)) \
-                 .withColumn(f"{a}_total", F.sum(a).over(Window.partitionBy(F.lit(0))))
-        return d, n, []
-    limits = _limits(clean, [col], {col: n}, small)
-    hot = sorted({a for a, b in zip(limits[col], limits[col][1:]) if a == b})
-    d = _bucketize(clean, limits).withColumnRenamed(f"{col}_range", "_r").groupBy("_r", col).agg(*measures)
-    totals = sorted((tuple(r) for r in d.groupBy("_r").agg(*[F.sum(a) for a in adds]).collect()),
-                    key=lambda t: t[0], reverse=descending)
-    starts, acc = [], [0] * len(adds)
-    for t in totals:
-        starts.append((t[0], *acc))
-        acc = [x + y for x, y in zip(acc, t[1:])]
-    kinds = {"n": "long", "s": "double"}
-    schema = "_r double, " + ", ".join(f"_{a}_start {kinds[a]}" for a in adds)
-    offsets = df.sparkSession.createDataFrame(
-        [(float(r), *[float(v) if a == "s" else int(v) for a, v in zip(adds, vs)]) for r, *vs in starts], schema)
-    d = d.join(F.broadcast(offsets), "_r")
-    w = Window.partitionBy("_r").orderBy(order)
-    for a, total in zip(adds, acc):
-        d = d.withColumn(f"{a}_before", F.col(f"_{a}_start") + F.sum(a).over(w) - F.col(a)) \
-             .withColumn(f"{a}_total", F.lit(total).cast(kinds[a]))
-    return d.drop("_r", *[f"_{a}_start" for a in adds]), n, hot
+def value_prefix(df: DataFrame, col: str, descending: bool = False, sums: bool = False) -> DataFrame:
+    """One row per distinct value of ``col``: its count ``n``, rows before it ``n_before``, ``n_total``; with ``sums`` also s, s_before, s_total."""
+    return _offsets(df.select(_number(F.col(col)).alias("v")), [], descending, sums).withColumnRenamed("v", col)
 
 
 def _row_salt(df: DataFrame) -> Column:
@@ -229,59 +105,41 @@ def _row_salt(df: DataFrame) -> Column:
     return F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in plain]), F.lit(SALTS)).cast("int")
 
 
-def attach_by_value(df: DataFrame, col: str, lookup: DataFrame, outs: Sequence[str], n: int, hot: Sequence[float],
-                    small: int = SMALL_ROWS) -> DataFrame:
-    """Left-join per-value results back to rows without letting a hot value or the nulls fill one task.
+def attach_by_value(df: DataFrame, col: str, lookup: DataFrame, outs: Sequence[str]) -> DataFrame:
+    """Left-join per-value results back to rows.
 
-    At most ``small`` distinct values travel by broadcast. Otherwise the few hot ones do (fewer than MAX_RANGES),
-    the rest join by shuffle, and rows that need no shuffled match are spread by a salt.
+    The lookup has one row per value, so adaptive execution may split the rows of a hot value; rows without a value match
+    nothing and are spread by a salt.
     """
-    key = F.col(col).cast("double") + F.lit(0.0)
-    if n <= small:
-        keyed = lookup.select(F.col(col).alias("_key"), *outs)
-        return df.withColumn("_key", key).join(F.broadcast(keyed), "_key", "left").select(*df.columns, *outs)
-    left = df.withColumn("_v", key)
-    if hot:
-        hot_rows = lookup.where(F.col(col).isin(list(hot))).select(
-            F.col(col).alias("_v"), *[F.col(o).alias(f"_hot_{o}") for o in outs])
-        left = left.join(F.broadcast(hot_rows), "_v", "left")
-    else:
-        left = left.withColumns({f"_hot_{o}": F.lit(None).cast(lookup.schema[o].dataType) for o in outs})
-    rest = F.col("_v").isNotNull() & F.col(f"_hot_{outs[0]}").isNull()
-    left = left.withColumn("_key", F.when(rest, F.col("_v"))) \
-               .withColumn("_salt", F.when(rest, F.lit(0)).otherwise(_row_salt(df)))
-    cold = lookup.where(~F.col(col).isin(list(hot))) if hot else lookup
-    cold = cold.select(F.col(col).alias("_key"), F.lit(0).alias("_salt"), *[F.col(o).alias(f"_cold_{o}") for o in outs])
-    return left.join(cold, ["_key", "_salt"], "left").select(
-        *df.columns, *[F.coalesce(F.col(f"_hot_{o}"), F.col(f"_cold_{o}")).alias(o) for o in outs])
-
-
-def rank_pct(df: DataFrame, col: str, out: str, scale: float = 1.0, digits: int | None = None,
-             pre_round: int | None = None, small: int = SMALL_ROWS) -> DataFrame:
+    key = _number(F.col(col))
+    left = df.withColumn("_key", key).withColumn("_salt", F.when(key.isNotNull(), F.lit(0)).otherwise(_row_salt(df)))
+    right = lookup.select(F.col(col).alias("_key"), F.lit(0).alias("_salt"), *[F.col(o).alias(f"_got_{o}") for o in outs])
+    return left.join(right, ["_key", "_salt"], "left").select(*df.columns, *[F.col(f"_got_{o}").alias(o) for o in outs])
+
+
+def rank_pct(df: DataFrame, col: str, out: str, scale: float = 1.0, digits: int | None = None, pre_round: int | None = None) -> DataFrame:
     """Percentile rank: ties share their average rank, divided by the non-null count; nulls stay null."""
-    d, n, hot = value_prefix(df, col, small=small)
     pct = (F.col("n_before") + (F.col("n") + 1) / 2) / F.col("n_total")
     if pre_round is not None:
         pct = F.round(pct, pre_round)
     pct = pct * scale
     if digits is not None:
         pct = F.round(pct, digits)
-    return attach_by_value(df, col, d.select(col, pct.alias(out)), [out], n, hot, small)
+    return attach_by_value(df, col, value_prefix(df, col).select(col, pct.alias(out)), [out])
 
 
-def rank_and_share(df: DataFrame, col: str, rank_out: str = "rank", share_out: str | None = "share",
-                   small: int = SMALL_ROWS) -> DataFrame:
+def rank_and_share(df: DataFrame, col: str, rank_out: str = "rank", share_out: str | None = "share") -> DataFrame:
     """Competition rank from the top and, optionally, the share of the grand total."""
-    d, n, hot = value_prefix(df, col, descending=True, sums=share_out is not None, small=small)
     outs = {rank_out: F.col("n_before") + 1}
     if share_out:
         outs[share_out] = F.col(col) / F.when(F.col("s_total") != 0, F.col("s_total"))
-    return attach_by_value(df, col, d.select(col, *[e.alias(k) for k, e in outs.items()]), list(outs), n, hot, small)
+    d = value_prefix(df, col, descending=True, sums=share_out is not None)
+    return attach_by_value(df, col, d.select(col, *[e.alias(k) for k, e in outs.items()]), list(outs))
 
 
-def pareto(df: DataFrame, col: str, shares: Sequence[float] = (0.5, 0.8), small: int = SMALL_ROWS) -> DataFrame:
+def pareto(df: DataFrame, col: str, shares: Sequence[float] = (0.5, 0.8)) -> DataFrame:
     """How many of the largest entities reach each share of the total: one row."""
-    d, _, _ = value_prefix(df, col, descending=True, sums=True, small=small)
+    d = value_prefix(df, col, descending=True, sums=True)
     aggs = []
     for share in shares:
         goal = F.col("s_total") * share
@@ -295,7 +153,7 @@ def pareto(df: DataFrame, col: str, shares: Sequence[float] = (0.5, 0.8), small:
 
 def robust_norm(df: DataFrame, cols: Mapping[str, str], lo: float = 0.05, hi: float = 0.95,
                 reverse: Sequence[str] = (), positive_only: bool = False, digits: int = 3,
-                shared: Sequence[Sequence[str]] = (), small: int = SMALL_ROWS) -> DataFrame:
+                shared: Sequence[Sequence[str]] = ()) -> DataFrame:
     """Scale to [0, 1] between two index percentiles, clamped; ``reverse`` columns run the other way.
 
     ``cols``: column -> output name. ``positive_only`` leaves zeros and negatives out of the percentile set.
@@ -314,7 +172,7 @@ def robust_norm(df: DataFrame, cols: Mapping[str, str], lo: float = 0.05, hi: fl
     else:
         base = df.select(*[as_value(c).cast("double").alias(c) for c in cols])
     wanted = {f"_{s}_{k}": (s, p) for s in names for k, p in (("lo", lo), ("hi", hi))}
-    out = with_scalars(df, quantile_row(base, wanted, rule="index", small=small))
+    out = with_scalars(df, quantile_row(base, wanted, rule="index"))
     for c, name in cols.items():
         s = source[c]
         width = F.greatest(F.col(f"_{s}_hi") - F.col(f"_{s}_lo"), F.lit(1e-6))

@@ -13,10 +13,9 @@ from rillwork.operators import ranks
 TOP_N = 200
 
 
-def with_percentile(df: DataFrame, target: str = config.TARGET, out: str = "eff_percentile",
-                    small: int = ranks.SMALL_ROWS) -> DataFrame:
+def with_percentile(df: DataFrame, target: str = config.TARGET, out: str = "eff_percentile") -> DataFrame:
     """Percentile of the target on a 0-100 scale, one decimal."""
-    return ranks.rank_pct(df, target, out, scale=100.0, digits=1, small=small)
+    return ranks.rank_pct(df, target, out, scale=100.0, digits=1)
 
 
 def screen_rows(df: DataFrame, extra: Mapping[str, tuple[str, int]], label: str, target: str = config.TARGET) -> DataFrame:
@@ -26,18 +25,17 @@ def screen_rows(df: DataFrame, extra: Mapping[str, tuple[str, int]], label: str,
                      *[z(c, k).alias(o) for o, (c, k) in extra.items()], F.lit(label).alias("insight"))
 
 
-def _cuts(dm: DataFrame, wanted: Mapping[str, tuple[str, float]], small: int) -> dict[str, Column]:
+def _cuts(dm: DataFrame, wanted: Mapping[str, tuple[str, float]]) -> dict[str, Column]:
     """Thresholds as constants, so that the comparisons reach the scan."""
-    row = ranks.quantile_row(dm, wanted, small=small).first()
+    row = ranks.quantile_row(dm, wanted).first()
     return {k: F.lit(row[k]).cast("double") for k in wanted}
 
 
-def low_hanging_fruit(df: DataFrame, top: int = TOP_N, target: str = config.TARGET, min_soil: int = 100,
-                      small: int = ranks.SMALL_ROWS) -> DataFrame:
+def low_hanging_fruit(df: DataFrame, top: int = TOP_N, target: str = config.TARGET, min_soil: int = 100) -> DataFrame:
     """Moderate climate and fair soil, but poverty or large farms and low efficiency; lowest efficiency first."""
     dm = df.where(F.col(target).isNotNull())
     q = _cuts(dm, {"deficit": ("precip_deficit_in", 0.60), "soil": ("awc_mean", 0.40), "soil_mid": ("awc_mean", 0.50),
-                   "poverty": ("poverty_rate", 0.60), "size": ("avg_farm_size_ac", 0.70)}, small)
+                   "poverty": ("poverty_rate", 0.60), "size": ("avg_farm_size_ac", 0.70)})
     known_soil = dm.agg(F.count("awc_mean")).first()[0]
     soil_ok = F.coalesce(F.col("awc_mean"), q["soil_mid"]) > q["soil"] if known_soil > min_soil else F.lit(True)
     hit = ((F.col("precip_deficit_in") < q["deficit"]) & soil_ok & (F.col("eff_percentile") < 40)
@@ -47,11 +45,10 @@ def low_hanging_fruit(df: DataFrame, top: int = TOP_N, target: str = config.TARG
                              "avg_farm_size_ac": ("avg_farm_size_ac", 0)}, "Low-Hanging Fruit", target)
 
 
-def virtual_water_exporters(df: DataFrame, top: int = TOP_N, target: str = config.TARGET,
-                            small: int = ranks.SMALL_ROWS) -> DataFrame:
+def virtual_water_exporters(df: DataFrame, top: int = TOP_N, target: str = config.TARGET) -> DataFrame:
     """Dry places with large irrigation and low efficiency; driest first."""
     dm = df.where(F.col(target).isNotNull())
-    q = _cuts(dm, {"deficit": ("precip_deficit_in", 0.70), "irr": ("irrigated_area_ac", 0.65)}, small)
+    q = _cuts(dm, {"deficit": ("precip_deficit_in", 0.70), "irr": ("irrigated_area_ac", 0.65)})
     hit = ((F.col("precip_deficit_in") > q["deficit"]) & (F.col("irrigated_area_ac") > q["irr"])
            & (F.col("eff_percentile") < 45))
     sel = dm.where(hit).orderBy(F.desc("precip_deficit_in"), "fips").limit(top)
@@ -63,10 +60,10 @@ def risk_score(df: DataFrame, a: str, b: str, out: str = "risk_score") -> DataFr
     return ranks.min_max(df, {a: "_na", b: "_nb"}).withColumn(out, F.col("_na") + F.col("_nb")).drop("_na", "_nb")
 
 
-def dual_exposure(df: DataFrame, top: int = TOP_N, target: str = config.TARGET, small: int = ranks.SMALL_ROWS) -> DataFrame:
+def dual_exposure(df: DataFrame, top: int = TOP_N, target: str = config.TARGET) -> DataFrame:
     """Dry places with much irrigation per unit of rain and real output; highest combined score first."""
     dm = df.where(F.col(target).isNotNull()).withColumn("irr_intensity", X.ratio("irrigated_area_ac", "precip_avg_in"))
-    q = _cuts(dm, {"deficit": ("precip_deficit_in", 0.65), "irr": ("irr_intensity", 0.65)}, small)
+    q = _cuts(dm, {"deficit": ("precip_deficit_in", 0.65), "irr": ("irr_intensity", 0.65)})
     hit = ((F.col("precip_deficit_in") > q["deficit"]) & (F.col("irr_intensity") > q["irr"]) & (F.col("eff_percentile") > 30))
     sel = risk_score(dm.where(hit), "precip_deficit_in", "irr_intensity").orderBy(F.desc(F.round("risk_score", 9)), "fips").limit(top)
     return screen_rows(sel, {"precip_deficit_in": ("precip_deficit_in", 1), "irrigated_area_ac": ("irrigated_area_ac", 0),
@@ -135,10 +132,10 @@ def crop_name_lists(crops: DataFrame, key: str = "state", name: str = "crop", th
                                  names(F.col("dpg_cents") > rich).alias("high_value"))
 
 
-def state_ranks(states: DataFrame, measures: Sequence[str], key: str = "state", small: int = ranks.SMALL_ROWS) -> DataFrame:
+def state_ranks(states: DataFrame, measures: Sequence[str], key: str = "state") -> DataFrame:
     """Competition rank of every place on several measures, next to the national means of the known values."""
     means = states.agg(*[F.round(F.avg(X.filled(m)), 2).alias(f"nat_avg_{m}") for m in measures])
     out = states.select(key, *[X.filled(m).alias(m) for m in measures])
     for m in measures:
-        out = ranks.rank_and_share(out, m, f"rank_{m}", None, small=small)
+        out = ranks.rank_and_share(out, m, f"rank_{m}", None)
     return ranks.with_scalars(out, means)

@@ -94,19 +94,19 @@ def farm_income(rows: DataFrame) -> DataFrame:
     return out.where((F.length("fips") == 5) & (F.col("fips") != "00000")).dropna()
 
 
-def wide_table(sources: Mapping[str, DataFrame], small: int = ranks.SMALL_ROWS) -> DataFrame:
+def wide_table(sources: Mapping[str, DataFrame]) -> DataFrame:
     """All sources on the census base. Keys: base, climate, crops, farms, irrigation, pivot, tenure, elevation,
     hazards, soil; optional: unemployment, insurance, income. Each holds one row per county."""
     optional = [sources[k] for k in ("unemployment", "insurance", "income") if k in sources]
     pivot = sources["pivot"].select("fips", F.col("centerpivot_ac").cast("double").alias("centerpivot_area_ac"))
     parts = [sources["climate"], sources["crops"], sources["farms"], sources["irrigation"], pivot, sources["tenure"],
              sources["elevation"].select("fips", "elevation_ft"), sources["hazards"], sources["soil"], *optional]
-    return derive(facts.chain_left(sources["base"], parts, "fips"), small)
+    return derive(facts.chain_left(sources["base"], parts, "fips"))
 
 
-def derive(df: DataFrame, small: int = ranks.SMALL_ROWS) -> DataFrame:
+def derive(df: DataFrame) -> DataFrame:
     """Rank of pivot area, water, value, target, dependency; then the core-measure filter."""
-    df = ranks.rank_pct(df, "centerpivot_area_ac", "centerpivot_ratio", digits=4, small=small)
+    df = ranks.rank_pct(df, "centerpivot_area_ac", "centerpivot_ratio", digits=4)
     df = df.withColumn("est_water_af", metrics.estimated_water("irrigated_area_ac", "eto_avg_in"))
     df = df.withColumn("composite_crop_value", metrics.composite_value({f"{c}_prod_bu": p for c, p in config.COMPOSITE_PRICES.items()}))
     df = metrics.add_target(df)

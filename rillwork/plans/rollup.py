@@ -45,14 +45,13 @@ def state_table(crops: DataFrame, wi: DataFrame, area: DataFrame, soil: DataFram
     return out.withColumn("vuln_score", metrics.vulnerability())
 
 
-def normalized(states: DataFrame, norms: Mapping[str, str] = NORMS, years: Sequence[int] = config.CENSUS_YEARS,
-               small: int = ranks.SMALL_ROWS) -> DataFrame:
+def normalized(states: DataFrame, norms: Mapping[str, str] = NORMS, years: Sequence[int] = config.CENSUS_YEARS) -> DataFrame:
     """Every measure on a robust 0-1 scale; the survey years share one scale."""
-    return ranks.robust_norm(states, norms, reverse=REVERSED, shared=[[f"intensity_{y}" for y in years]], small=small)
+    return ranks.robust_norm(states, norms, reverse=REVERSED, shared=[[f"intensity_{y}" for y in years]])
 
 
-def county_table(records: DataFrame, states: DataFrame, small: int = ranks.SMALL_ROWS) -> DataFrame:
+def county_table(records: DataFrame, states: DataFrame) -> DataFrame:
     """County roll-up with robust 0-1 scales over the positive values."""
     rolled = metrics.county_rollup(records, states)
     return ranks.robust_norm(rolled, {"est_water_af": "norm_water", "opp_value_M": "norm_opp", "total_area": "norm_area"},
-                             positive_only=True, small=small)
+                             positive_only=True)

@@ -60,6 +60,24 @@ def weekly_measures(df: DataFrame, ts: str, value: str, keys: Sequence[str] = ()
     return agg.select(F.col("w.start").alias("week_start"), *keys, "n", "total", "mean")
 
 
+def upsert_measures(measures: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Load streamed measures in update mode: every batch writes the groups it changed, open windows included.
+
+    A batch that is replayed overwrites its own folder; ``read_measures`` takes the newest row of every group.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    return measures.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_measures(spark: SparkSession, out: str, schema: T.StructType, keys: Sequence[str]) -> DataFrame:
+    """The newest row per group of what ``upsert_measures`` wrote."""
+    rows = spark.read.schema(schema.add("batch", "long")).parquet(out)
+    rest = [f.name for f in schema.fields if f.name not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("b")).select(*keys, "b.*")
+
+
 def merge_snapshot(current: DataFrame, batch: DataFrame, key: str, date: str) -> DataFrame:
     """Newest row per key over the stored snapshot and a batch; both sides are first reduced to one row per key."""
     cols = [c for c in current.columns if c != key]

@@ -17,52 +17,48 @@ def data(spark):
     return pdf, df
 
 
-@pytest.mark.parametrize("small", [100, 10**6])
-def test_quantiles_match_pandas(data, small):
+def test_quantiles_match_pandas(data):
     pdf, df = data
     wanted = {f"{c}{p}": (c, p) for c in "ab" for p in (0.0, 0.05, 0.33, 0.5, 0.9, 1.0)}
-    got = ranks.quantile_row(df, wanted, small=small).first()
+    got = ranks.quantile_row(df, wanted).first()
     for name, (c, p) in wanted.items():
         assert got[name] == pytest.approx(pdf[c].quantile(p), abs=1e-9)
-    index = ranks.quantile_row(df, wanted, rule="index", small=small).first()
+    index = ranks.quantile_row(df, wanted, rule="index").first()
     for name, (c, p) in wanted.items():
         s = np.sort(pdf[c].dropna().to_numpy())
         assert index[name] == s[min(len(s) - 1, int(len(s) * p))]
 
 
-@pytest.mark.parametrize("small", [100, 10**6])
-def test_group_quantiles(data, small):
+def test_group_quantiles(data):
     pdf, df = data
-    got = {r["g"]: r["m"] for r in ranks.group_quantiles(df, "g", ["x", "y"], {"m": ("b", 0.25)}, small=small).collect()}
+    got = {r["g"]: r["m"] for r in ranks.group_quantiles(df, "g", {"m": ("b", 0.25)}).collect()}
     assert got == pytest.approx(pdf.groupby("g")["b"].quantile(0.25).to_dict())
 
 
-@pytest.mark.parametrize("small", [100, 10**6])
-def test_rank_pct_uses_average_rank(data, small):
+def test_rank_pct_uses_average_rank(data):
     pdf, df = data
-    got = ranks.rank_pct(df, "a", "p", small=small).toPandas().sort_values("id")
+    got = ranks.rank_pct(df, "a", "p").toPandas().sort_values("id")
     assert len(got) == len(pdf)
     want = pdf["a"].rank(pct=True).to_numpy()
     assert np.allclose(got["p"].to_numpy(dtype=float), want, equal_nan=True, atol=1e-12)
 
 
-@pytest.mark.parametrize("small", [100, 10**6])
-def test_rank_share_and_pareto(data, small):
+def test_rank_share_and_pareto(data):
     pdf, df = data
-    got = ranks.rank_and_share(df, "a", small=small).toPandas().sort_values("id")
+    got = ranks.rank_and_share(df, "a").toPandas().sort_values("id")
     assert np.allclose(got["rank"].to_numpy(dtype=float), pdf["a"].rank(method="min", ascending=False).to_numpy(), equal_nan=True)
     assert got["share"].sum() == pytest.approx(1.0)
     s = np.sort(pdf["a"].dropna().to_numpy())[::-1]
     cum = s.cumsum()
-    p = ranks.pareto(df, "a", small=small).first()
+    p = ranks.pareto(df, "a").first()
     assert (p["top50pct"], p["top80pct"]) == (int(np.argmax(cum >= cum[-1] * 0.5)) + 1, int(np.argmax(cum >= cum[-1] * 0.8)) + 1)
 
 
-def test_large_path_has_no_single_task_window(data):
+def test_windows_run_inside_value_ranges(data):
     _, df = data
-    plan = ranks.rank_pct(df, "a", "p", small=100)._jdf.queryExecution().optimizedPlan().toString()
+    plan = ranks.rank_pct(df, "a", "p")._jdf.queryExecution().optimizedPlan().toString()
     windows = [line for line in plan.splitlines() if "Window [" in line]
-    assert windows and all("_r#" in line for line in windows)  # every window is partitioned by the value range
+    assert windows and all("_r#" in line or "sum(_n#" in line for line in windows)  # inside a range, or over one row per range
 
 
 def test_robust_norm_edges(spark):
