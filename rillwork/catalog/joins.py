@@ -11,17 +11,15 @@ from rillwork.functions import columns as X
 
 
 def _entity_parts(spark, d):
-    """Reduced sources, one row per customer each."""
+    """Orders and their lines in one grouping: one row per customer. Lines are merged per order first, and an order without lines stays."""
     o, li = table(spark, d, "orders"), table(spark, d, "lineitem")
-    per = lambda *aggs: o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(*aggs)
-    lines_per_order = li.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_quantity").alias("q"), F.count(F.lit(1)).alias("n"))
-    joined = o.select("o_orderkey", F.col("o_custkey").alias("c_custkey")).join(lines_per_order, "o_orderkey")
-    return [per(F.count(F.lit(1)).alias("n_orders")), per(F.round(F.sum("o_totalprice"), 2).alias("spent")),
-            per(F.max("o_totalprice").alias("largest")), per(F.min("o_orderdate").cast("date").alias("first_day")),
-            per(F.max("o_orderdate").cast("date").alias("last_day")),
-            o.where("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n_closed")),
-            o.where("o_orderpriority = '1-URGENT'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n_urgent")),
-            joined.groupBy("c_custkey").agg(F.sum("q").alias("qty")), joined.groupBy("c_custkey").agg(F.sum("n").alias("n_lines"))]
+    per_order = li.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_quantity").alias("q"), F.count(F.lit(1)).alias("n"))
+    some = lambda cond: F.nullif(F.count(F.when(cond, 1)), F.lit(0))
+    per = o.join(per_order, "o_orderkey", "left").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+        F.count(F.lit(1)).alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("spent"), F.max("o_totalprice").alias("largest"),
+        F.min("o_orderdate").cast("date").alias("first_day"), F.max("o_orderdate").cast("date").alias("last_day"), some(F.col("o_orderstatus") == "F").alias("n_closed"),
+        some(F.col("o_orderpriority") == "1-URGENT").alias("n_urgent"), F.sum("q").alias("qty"), F.sum("n").alias("n_lines"))
+    return [per]
 
 
 @query("j1_left_chain", """SELECT c_custkey, c_name, n_orders, spent, largest, first_day, last_day, n_closed, n_urgent, qty, n_lines FROM customer

@@ -45,7 +45,7 @@ by_year AS (SELECT s.state, s.year, CASE WHEN any_w > 0 THEN wx / nullif(w, 0) E
 
 @query("a5_weighted_intensity", f"{_A5} SELECT state, year, round(intensity, 6) AS intensity FROM by_year WHERE intensity IS NOT NULL")
 def a5(spark, d):
-    return facts.weighted_intensity(*wi_area(spark, d)).withColumn("intensity", F.round("intensity", 6))
+    return facts.joint_intensity(fact_table(spark, d)).withColumn("intensity", F.round("intensity", 6))
 
 
 @query("a5b_fallback_mean", f"WITH {FACTS} SELECT state, year, round(avg(wi), 6) AS intensity FROM wi GROUP BY 1, 2")
@@ -175,7 +175,7 @@ trend AS (SELECT state, CASE WHEN a <> 0 AND b <> 0 THEN round((b - a) / a * 100
 
 @query("w10_survey_change", f"{_CHANGE} SELECT * FROM trend")
 def w10(spark, d):
-    return facts.survey_change(facts.weighted_intensity(*wi_area(spark, d)), "state", "intensity", 1996, 2000)
+    return facts.survey_change(facts.joint_intensity(fact_table(spark, d)), "state", "intensity", 1996, 2000)
 
 
 def state_measures(spark, d):
@@ -183,7 +183,7 @@ def state_measures(spark, d):
     # states x crops x years and states x months rows: each is read by several branches
     staged = stage_all({"facts": fact_plan(spark, d), "prices": monthly_sums(spark, d)})
     fact, prices = staged["facts"], staged["prices"]
-    by_year = facts.weighted_intensity(*facts.split_measures(fact))
+    by_year = facts.joint_intensity(fact)
     trend = facts.series_trend(year_means(prices), "state", "year", "value", min_points=7).select("state", (F.col("trend") / 10000).alias("precip_trend_yr"))
     late = facts.late_minus_early(month_means(prices), "state", "month", "value").select("state", (F.col("late_minus_early") / 100000).alias("gw_trend_ft"))
     measures = metrics.state_measures(crops_of(spark, d, fact), soil_states(spark, d), {"NATION_1": 0.3, "NATION_2": 0.2}, ["ECONOMY", "SMALL"], be_digits=4)
@@ -250,7 +250,8 @@ def a29(spark, d):
                     F.round("avg_intensity", 6).alias("avg_intensity"), "nat_drought_pct")
 
 
-_NORMED = {"avg_intensity": "norm", "avg_dpg_cents": "norm_dpg", "trend_pct": "norm_trend", "hhi": "norm_hhi", "opp_value_m": "norm_opp"}
+_NORMED = {"avg_intensity": "norm", "avg_dpg_cents": "norm_dpg", "trend_pct": "norm_trend", "hhi": "norm_hhi", "opp_value_m": "norm_opp", "virtual_water_b": "norm_vw",
+           "vuln_score": "norm_vuln", "precip_trend_yr": "norm_precip", "gw_trend_ft": "norm_gw"}
 
 
 def _norm_sql(col: str, name: str, reverse: bool, src: str = "states") -> str:

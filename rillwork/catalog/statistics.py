@@ -165,7 +165,7 @@ def m6(spark, d):
 
 # -- effects -------------------------------------------------------------------------------------------------------------
 
-_TREAT = ["centerpivot_ratio", "avg_farm_size_ac", "crop_diversity_hhi", "poverty_rate"]
+_TREAT = list(config.HUMAN)
 
 
 def _naive_sql(t: str) -> str:

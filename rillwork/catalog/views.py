@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rillwork import config
-from rillwork.catalog.base import CROPS, RANKED, SERIES, SURVEYS, WIDE, crops, query, ranked, table, wide, wi_area
+from rillwork.catalog.base import CROPS, RANKED, SERIES, SURVEYS, WIDE, crops, fact_table, query, ranked, table, wide
 from rillwork.catalog.entities import _EFFECTS, DM, DUAL, FLAGS, LHF, VWE, flagged
 from rillwork.catalog.rollups import STATES, _A5, _YR, _YV, _shared_sql, states
 from rillwork.operators import facts, models, ranks, screens
@@ -60,7 +60,7 @@ def e6(spark, d):
 
 @query("e7_state_years", f"{_A5}, yy AS (SELECT * FROM by_year WHERE year IN (1996, 1998, 2000) AND intensity IS NOT NULL) SELECT state, year, round(intensity, 6) AS intensity, round((intensity - lag(intensity) OVER w) / nullif(lag(intensity) OVER w, 0) * 100, 1) AS change_pct FROM yy WINDOW w AS (PARTITION BY state ORDER BY year)")
 def e7(spark, d):
-    return serve.state_years(facts.weighted_intensity(*wi_area(spark, d)), SURVEYS).withColumn("intensity", F.round("intensity", 6))
+    return serve.state_years(facts.joint_intensity(fact_table(spark, d)), SURVEYS).withColumn("intensity", F.round("intensity", 6))
 
 
 @query("e7b_state_crops", f"""WITH {CROPS}, r AS (SELECT *, row_number() OVER (PARTITION BY state ORDER BY coalesce(area * wi, 0) DESC, crop)::INT AS rank FROM crops), k AS (SELECT * FROM r WHERE rank <= 3)

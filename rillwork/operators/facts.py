@@ -151,10 +151,14 @@ def soil_classes(mapunit: DataFrame, legend: DataFrame, muaggatt: DataFrame,
 
 
 def weighted_intensity(wi: DataFrame, area: DataFrame) -> DataFrame:
-    """Area-weighted intensity per (state, year); a year in which no state has a weight falls back to plain means."""
-    joined = wi.join(area, ["state", "crop", "year"], "left")
+    """``joint_intensity`` of two single facts."""
+    return joint_intensity(wi.join(area, ["state", "crop", "year"], "left"))
+
+
+def joint_intensity(facts: DataFrame) -> DataFrame:
+    """Area-weighted intensity per (state, year) of the joint facts; a year in which no state has a weight falls back to plain means."""
     has = F.col("area") != 0
-    per_state = joined.groupBy("state", "year").agg(
+    per_state = facts.where(F.col("wi").isNotNull()).groupBy("state", "year").agg(
         F.sum(F.when(has, F.col("wi") * F.col("area"))).alias("wx"), F.sum(F.when(has, F.col("area"))).alias("w"),
         F.avg("wi").alias("plain"))
     weighted_year = F.max(F.when(F.col("w") > 0, 1).otherwise(0)).over(Window.partitionBy("year"))
