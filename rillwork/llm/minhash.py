@@ -20,7 +20,9 @@ from rillwork.llm.common import components, mix, raw, table
 from rillwork.llm.letters import Words
 from rillwork.session import stage
 
-SKETCHES = pa.schema([("doc_id", pa.int64()), ("class_hi", pa.int64()), ("class_lo", pa.int64()), ("n", pa.int32()), ("sketches", pa.list_(pa.int64()))])
+SKETCHES = pa.schema([("doc_id", pa.int64()), ("class_hi", pa.int64()), ("class_lo", pa.int64()), ("n", pa.int32()), ("sketches", pa.list_(pa.int64())), ("bag", pa.binary())])
+#: Words are counted in so many bins; two texts share at most the sum of the smaller counts.
+BINS = 1024
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -121,6 +123,10 @@ def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     """Whether 1 - edits / words of the longer is ``least`` at least."""
     longest = max(len(a), len(b))
     most = int((1 - least) * longest + 1e-9)
+    words, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    shared = np.minimum(np.bincount(at[:len(a)], minlength=len(words)), np.bincount(at[len(a):], minlength=len(words))).sum()
+    if longest - shared > most:  # every word that the other text lacks is an edit
+        return False
     return edit_distance(a, b, most) <= most
 
 
@@ -133,20 +139,21 @@ def sketched(docs: DataFrame, doc_id: str, text: str, k: int, few: int, count: i
             for lo in range(0, batch.num_rows, 200):
                 part = batch.slice(lo, 200)
                 h, n = word_hashes([raw(t) for t in part.column("text").to_pylist()])
-                ends, has, out, classes = np.cumsum(n), np.flatnonzero(n), [], []
+                ends, has, out, classes, bags = np.cumsum(n), np.flatnonzero(n), [], [], []
                 for i in has:
                     mine = h[ends[i] - n[i]:ends[i]]
                     out.append(sketch(mine, k, few, seeds).view(np.int64))
+                    bags.append(np.minimum(np.bincount((mine >> np.uint64(20)).astype(np.int64) % BINS, minlength=BINS), 65535).astype("<u2").tobytes())
                     place = mix(np.arange(len(mine), dtype=np.uint64))
                     classes.append([np.add.reduce(mix(mine + place)), np.add.reduce(mix(mine ^ (place * np.uint64(3))))])
                 c = np.array(classes, np.uint64).reshape(-1, 2).view(np.int64)
                 offsets = pa.array(np.arange(len(has) + 1, dtype=np.int32) * count)
                 flat = pa.array(np.concatenate(out) if out else np.empty(0, np.int64))
                 yield pa.record_batch([part.column("doc_id").take(pa.array(has)), pa.array(c[:, 0]), pa.array(c[:, 1]), pa.array(n[has].astype(np.int32)),
-                                       pa.ListArray.from_arrays(offsets, flat)], schema=SKETCHES)
+                                       pa.ListArray.from_arrays(offsets, flat), pa.array(bags, pa.binary())], schema=SKETCHES)
 
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    return narrow.mapInArrow(run, "doc_id long, class_hi long, class_lo long, n int, sketches array<long>")
+    return narrow.mapInArrow(run, "doc_id long, class_hi long, class_lo long, n int, sketches array<long>, bag binary")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -183,6 +190,7 @@ def crossing(rows: Iterator[pd.DataFrame], agree: int, least: float) -> Iterator
         group = group.sort_values(["root", "doc_id"], kind="stable")
         ids, roots, n, block = (group[c].to_numpy() for c in ("doc_id", "root", "n", "block"))
         sketches, j = np.stack(group["sketches"].to_numpy()), int(group["j"].iloc[0])
+        bags = np.frombuffer(b"".join(map(bytes, group["bag"])), "<u2").reshape(len(group), BINS)
         sizes = pd.Series(roots).value_counts()
         small = np.flatnonzero(roots != sizes.index[0])  # every pair across components has an end outside the largest
         x_block, y_block = int(group["x"].iloc[0]), int(group["y"].iloc[0])
@@ -196,6 +204,12 @@ def crossing(rows: Iterator[pd.DataFrame], agree: int, least: float) -> Iterator
             if x_block != y_block:
                 good &= block[mine][:, None] != block[None]
             p, q = np.nonzero(good)
+            near = np.empty(len(p), bool)
+            for at in range(0, len(p), 50_000):
+                x, y = mine[p[at:at + 50_000]], q[at:at + 50_000]
+                longest = np.maximum(n[x], n[y])
+                near[at:at + 50_000] = (longest - np.minimum(bags[x], bags[y]).sum(axis=1, dtype=np.int64) <= longest * (1 - least) + 1e-9) | (longest > 65_000)
+            p, q = p[near], q[near]
             out.append(np.stack([np.minimum(ids[mine[p]], ids[q]), np.maximum(ids[mine[p]], ids[q])], axis=1))
         pairs = np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
         return pd.DataFrame(pairs, columns=["a", "b"])
@@ -233,7 +247,7 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5
     buckets = slots.groupBy("j", "h").agg(F.min("doc_id").alias("head"), F.count("*").alias("m")).where("m > 1")
     members = stage(slots.join(buckets, ["j", "h"]), "members")
     near = members.select("doc_id").distinct()
-    sketches = stage(rows.join(near, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n", "sketches"), "near-sketches")
+    sketches = stage(rows.join(near, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n", "sketches", "bag"), "near-sketches")
     star = members.where("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
     star = stage(agreeing(star, sketches, agree, least), "star")
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(near, "doc_id", "left_semi").dropDuplicates(["doc_id"])
@@ -247,7 +261,7 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5
     apart = named.join(split, ["j", "h"], "left_semi").join(sketches, "doc_id").withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks).cast("int"))
     other = F.explode(F.sequence(F.lit(0), blocks - 1))
     apart = apart.withColumn("other", other).withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
-    shaped = apart.select("j", "h", "x", "y", "block", "doc_id", "root", "n", "sketches").repartition("j", "h", "x", "y").sortWithinPartitions("j", "h", "x", "y")
+    shaped = apart.select("j", "h", "x", "y", "block", "doc_id", "root", "n", "sketches", "bag").repartition("j", "h", "x", "y").sortWithinPartitions("j", "h", "x", "y")
     found = shaped.mapInPandas(lambda it: crossing(it, agree, least), "a long, b long").distinct()
     fresh = stage(found.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "fresh")
     more = stage(verify(fresh, texts, least), "tried").where("ok").select("a", "b")
