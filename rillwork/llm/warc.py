@@ -194,7 +194,8 @@ def _result(rows: DataFrame) -> DataFrame:
 
 def read_archives(index: DataFrame) -> DataFrame:
     """Every record of the bundles that the index names, read frame by frame: see RECORD. A revisit has no payload of its own."""
-    bundles = index.select("path").distinct()
+    tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bundles = index.select("path").distinct().repartition(tasks, "path")  # a given number is not merged into fewer tasks
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
