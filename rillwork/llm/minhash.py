@@ -8,6 +8,7 @@ MinHash follows set similarity. Texts that agree in a sketch are candidates; a b
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -143,7 +144,7 @@ def sketched(docs: DataFrame, doc_id: str, text: str, k: int, few: int, count: i
                 for i in has:
                     mine = h[ends[i] - n[i]:ends[i]]
                     out.append(sketch(mine, k, few, seeds).view(np.int64))
-                    bags.append(np.minimum(np.bincount((mine >> np.uint64(20)).astype(np.int64) % BINS, minlength=BINS), 65535).astype("<u2").tobytes())
+                    bags.append(zlib.compress(np.minimum(np.bincount((mine >> np.uint64(20)).astype(np.int64) % BINS, minlength=BINS), 65535).astype("<u2").tobytes(), 1))
                     place = mix(np.arange(len(mine), dtype=np.uint64))
                     classes.append([np.add.reduce(mix(mine + place)), np.add.reduce(mix(mine ^ (place * np.uint64(3))))])
                 c = np.array(classes, np.uint64).reshape(-1, 2).view(np.int64)
@@ -190,7 +191,7 @@ def crossing(rows: Iterator[pd.DataFrame], agree: int, least: float) -> Iterator
         group = group.sort_values(["root", "doc_id"], kind="stable")
         ids, roots, n, block = (group[c].to_numpy() for c in ("doc_id", "root", "n", "block"))
         sketches, j = np.stack(group["sketches"].to_numpy()), int(group["j"].iloc[0])
-        bags = np.frombuffer(b"".join(map(bytes, group["bag"])), "<u2").reshape(len(group), BINS)
+        bags = np.frombuffer(b"".join(map(zlib.decompress, group["bag"])), "<u2").reshape(len(group), BINS)
         sizes = pd.Series(roots).value_counts()
         small = np.flatnonzero(roots != sizes.index[0])  # every pair across components has an end outside the largest
         x_block, y_block = int(group["x"].iloc[0]), int(group["y"].iloc[0])
