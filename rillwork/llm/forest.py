@@ -8,28 +8,38 @@ hardly ever in all of many trees. Vectors that share a leaf are compared exactly
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillwork.llm.common import NO_ID, back, components, mix, table, whole
 from rillwork.session import stage
 
 
-def unit(rows: list) -> np.ndarray:
-    x = np.array([np.asarray(r, np.float64) for r in rows]).reshape(len(rows), -1)
-    return x / np.maximum(np.abs(x).max(axis=1, keepdims=True), 1e-300)
-
-
 def normal(rows: list) -> np.ndarray:
     """Unit vectors in double precision; scaled first, so that neither large nor small components overflow."""
-    x = unit(rows)
+    x = np.array([np.asarray(r, np.float64) for r in rows]).reshape(len(rows), -1)
+    x = x / np.maximum(np.abs(x).max(axis=1, keepdims=True), 1e-300)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def packed(column: str) -> Column:
+    """Each vector as the bytes of its unit vector, which tasks read without a conversion."""
+    @F.pandas_udf("binary")
+    def run(rows: pd.Series) -> pd.Series:
+        return pd.Series([normal([r])[0].tobytes() for r in rows], dtype=object)
+
+    return run(column)
+
+
+def unpacked(rows) -> np.ndarray:
+    return np.frombuffer(b"".join(rows), np.float64).reshape(len(rows), -1)
+
+
 def direction(tree: int, node: int, dim: int) -> np.ndarray:
     """The random unit direction of a node, made from its number wherever it is needed."""
     seed = int(mix(np.array([node], np.uint64) * np.uint64(64) + np.uint64(tree))[0])
@@ -76,13 +86,13 @@ def descend(x: np.ndarray, tree: int, root: int, cuts: dict[int, tuple[float, in
 
 
 def plant(vectors: DataFrame, trees: int, leaf: int, sample: int, spill: float) -> DataFrame:
-    """(tree, leaf, id) of every vector (id, label, vector): the leaves it reaches in every tree.
+    """(tree, leaf, id) of every vector (id, label, unit): the leaves it reaches in every tree.
 
     A round cuts every node of over ``leaf`` vectors into many: a task fits thresholds to a sample of about ``sample`` of the
     node's vectors, those with the smallest hashes, and all of them descend. Rounds go on until no node can be cut, so the trees
     deepen with the data while what a task fits stays bounded. Nodes of near-equal vectors stay as they are.
     """
-    start = vectors.select("id", "vector", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), F.shiftright(F.xxhash64("label"), 1).bitwiseAND(F.lit((1 << 62) - 1)).alias("node"))
+    start = vectors.select("id", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), F.shiftright(F.xxhash64("label"), 1).bitwiseAND(F.lit((1 << 62) - 1)).alias("node"))
     done, now = [], stage(start.select("id", "tree", "node"), "roots")
     while True:
         count = now.groupBy("tree", "node").agg(F.count("*").alias("m"))
@@ -97,26 +107,29 @@ def plant(vectors: DataFrame, trees: int, leaf: int, sample: int, spill: float)
         def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             depth = max(1, math.ceil(math.log2(max(2.0, 2 * float(pdf["m"].iloc[0]) / leaf))))
             pdf = pdf.sort_values("id")
-            cuts = grow(normal(pdf["vector"].tolist()), int(key[0]), int(key[1]), min(depth, int(math.log2(sample / 16))), spill)
-            return pd.DataFrame({"tree": [key[0]], "node": [key[1]], "cut_nodes": [list(cuts)], "cut_at": [[c for c, _ in cuts.values()]]})
+            cuts = grow(unpacked(pdf["unit"].tolist()), int(key[0]), int(key[1]), min(depth, int(math.log2(sample / 16))), spill)
+            return pd.DataFrame({"tree": [key[0]], "node": [key[1]], "cuts": [pickle.dumps(cuts) if cuts else None]})
 
-        fitted = drawn.join(vectors.select("id", "vector"), "id").select("tree", "node", "m", "id", "vector").groupBy("tree", "node").applyInPandas(
-            fit, "tree int, node long, cut_nodes array<long>, cut_at array<double>")
+        fitted = drawn.join(vectors.select("id", "unit"), "id").select("tree", "node", "m", "id", "unit").groupBy("tree", "node").applyInPandas(
+            fit, "tree int, node long, cuts binary")
         fitted = stage(fitted, "cuts")
-        cut = fitted.where(F.size("cut_nodes") > 0)
+        cut = fitted.where("cuts IS NOT NULL")
 
         def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
+                ids, trees_, leaves = [], [], []
                 for (tree, node), part in pdf.groupby(["tree", "node"]):
-                    first = part.iloc[0]
-                    cuts = {int(k): (float(c), 0) for k, c in zip(first["cut_nodes"], first["cut_at"])}
-                    ids = part["id"].to_numpy()
-                    for leaf_, at in descend(normal(part["vector"].tolist()), int(tree), int(node), cuts, spill):
-                        yield pd.DataFrame({"id": ids[at], "tree": np.int32(tree), "node": leaf_})
-
-        stuck = fitted.where(F.size("cut_nodes") == 0).select("tree", "node")
+                    cuts, own = pickle.loads(part["cuts"].iloc[0]), part["id"].to_numpy()
+                    for leaf_, at in descend(unpacked(part["unit"].tolist()), int(tree), int(node), cuts, spill):
+                        ids.append(own[at])
+                        trees_.append(np.full(len(at), tree, np.int32))
+                        leaves.append(np.full(len(at), leaf_, np.int64))
+                if ids:
+                    yield pd.DataFrame({"id": np.concatenate(ids), "tree": np.concatenate(trees_), "node": np.concatenate(leaves)})
+
+        stuck = fitted.where("cuts IS NULL").select("tree", "node")
         done.append(now.join(stuck, ["tree", "node"]).select("tree", F.col("node").alias("leaf"), "id"))
-        now = stage(big.join(cut, ["tree", "node"]).join(vectors.select("id", "vector"), "id").select("id", "tree", "node", "vector", "cut_nodes", "cut_at").mapInPandas(
+        now = stage(big.join(cut, ["tree", "node"]).join(vectors.select("id", "unit"), "id").select("id", "tree", "node", "unit", "cuts").sortWithinPartitions("tree", "node").mapInPandas(
             send, "id long, tree int, node long"), "nodes")
     out = done[0]
     for d in done[1:]:
@@ -135,7 +148,7 @@ def compare(rows: Iterator[pd.DataFrame], least: float) -> Iterator[pd.DataFrame
 
     def solve(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("id", kind="stable")
-        v, ids, copies, block = normal(group["vector"].tolist()), group["id"].to_numpy(), group["copies"].to_numpy(), group["block"].to_numpy()
+        v, ids, copies, block = unpacked(group["unit"].tolist()), group["id"].to_numpy(), group["copies"].to_numpy(), group["block"].to_numpy()
         code = np.int64(int(group["code"].iloc[0]))
         m, width = len(v), max(map(len, group["codes"]))
         codes = np.full((m, width), np.iinfo(np.int64).max)
@@ -216,19 +229,19 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embe
     keyed = stage(rows.where("good").select("vec_id", "label", "vector", key.alias("key")), "keyed")
     classes = keyed.groupBy("key").agg(F.coalesce(F.min(back("vec_id")), F.lit(NO_ID)).alias("low"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("vector").alias("vector"))
     # a class is named by its smallest vec_id; classes that share it (equal ids, other vectors) get numbers of their own
-    one = stage(classes.withColumn("id", F.xxhash64("key")).withColumn("label", F.concat_ws("|", F.size("vector").cast("string"), "label")), "classes")
+    one = stage(classes.withColumn("id", F.xxhash64("key")).withColumn("unit", packed("vector")).withColumn("label", F.concat_ws("|", F.size("vector").cast("string"), "label")), "classes")
     dim = one.agg(F.max(F.size("vector"))).first()[0] or 1
     half = spill * math.sqrt(2 - 2 * least) / math.sqrt(dim)
-    leaves = stage(plant(one.select("id", "label", "vector"), trees, leaf, sample, half), "leaves")
+    leaves = stage(plant(one.select("id", "label", "unit"), trees, leaf, sample, half), "leaves")
     code = F.shiftleft(F.col("tree").cast("long"), 58).bitwiseOR(F.col("leaf").bitwiseAND(F.lit((1 << 58) - 1)))
     coded = leaves.withColumn("code", code)
     codes = coded.groupBy("id").agg(F.sort_array(F.collect_set("code")).alias("codes"))  # a few dozen per vector
     full = coded.groupBy("code").agg(F.count("*").alias("m")).where("m > 1")
-    shared = coded.join(full, "code").join(codes, "id").join(one.select("id", "vector", "copies"), "id")
+    shared = coded.join(full, "code").join(codes, "id").join(one.select("id", "unit", "copies"), "id")
     blocks = F.ceil(F.col("m") / block).cast("int")
     shared = shared.withColumn("block", F.pmod(F.xxhash64("id", F.lit(5)), blocks).cast("int"))
     shared = shared.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
-    shaped = shared.select("tree", "leaf", "x", "y", "block", "code", "codes", "id", "copies", "vector").repartition("code", "x", "y").sortWithinPartitions("tree", "leaf", "x", "y")
+    shaped = shared.select("tree", "leaf", "x", "y", "block", "code", "codes", "id", "copies", "unit").repartition("code", "x", "y").sortWithinPartitions("tree", "leaf", "x", "y")
     found = stage(shaped.mapInPandas(lambda it: compare(it, least), "id long, n long, root long"), "found")
     linked = found.groupBy("id").agg(F.sum("n").alias("n"))
     roots = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
