@@ -119,3 +119,36 @@ def test_odd_rows(spark):
 @pytest.mark.parametrize("n", [1, 2, 5, 6])
 def test_short_sketches(n):
     assert len(minhash.sketch(np.arange(n, dtype=np.uint64), 5, 2, np.arange(1, 9, dtype=np.uint64))) == 8
+
+
+@pytest.mark.parametrize("share", [0.05, 0.1, 0.15, 0.2])
+def test_recall_against_brute_force(spark, share):
+    rng, rows, cell = np.random.default_rng(11), [], {}
+    for n in (10, 20, 50, 100, 125, 300):
+        for c in range(20):
+            words = [f"p{x}" for x in rng.integers(0, 10**7, n)]
+            other = list(words)
+            for at in rng.choice(n, int(n * share + 1e-9), replace=False):
+                other[at] = f"q{rng.integers(10**7)}"
+            cell[len(rows)] = n
+            rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(other))]
+            assert levenshtein(words, other) <= 0.2 * n + 1e-9
+    group = {r.doc_id: r.group_id for r in minhash.near_duplicates(frame(spark, rows)).collect()}
+    assert all(group[a] == a for a in cell)  # each pair has words of its own
+    found = {n: sum(group[a + 1] == a for a, m in cell.items() if m == n) for n in set(cell.values())}
+    assert min(found.values()) >= 19 and sum(found.values()) >= 0.98 * len(cell), found
+
+
+def test_both_alignments_agree(monkeypatch):
+    rng = np.random.default_rng(12)
+    for _ in range(60):
+        a = rng.integers(0, 300, int(rng.integers(50, 400))).astype(np.uint64)
+        b = a.copy()
+        for _ in range(int(rng.integers(0, 90))):
+            at = int(rng.integers(len(b)))
+            b = [np.delete(b, at), np.insert(b, at, 999), np.concatenate([b[:at], [np.uint64(7)], b[at + 1:]])][rng.integers(3)].astype(np.uint64)
+        most = int(rng.integers(1, 100))
+        whole = minhash.edit_distance(a, b, most)
+        with monkeypatch.context() as m:
+            m.setattr(minhash, "BITWISE", 0)
+            assert minhash.edit_distance(a, b, most) == whole
