@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillwork.llm import minhash, mixing, packing, quality, spans
-from rillwork.llm.common import table, whole
+from rillwork.llm.common import table
 from rillwork.session import stage
 
 
@@ -33,9 +33,10 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; rows that share a doc_id come as often as the one of them that is taken most."""
-    taken = mixing.mix_sources(docs).groupBy(whole("doc_id").alias("taken_id")).agg(F.max("copies").alias("copies")).where("copies > 0")
-    out = docs.join(taken, whole("doc_id") == F.col("taken_id")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    """Each row as often as the mix takes it; rows without a doc_id and rows that share one are drawn one by one."""
+    rows = stage(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    taken = mixing.mix_sources(rows, doc_id="__row").where("copies > 0").select(F.col("doc_id").alias("taken_row"), "copies")
+    out = rows.join(taken, rows["__row"] == taken["taken_row"]).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return out.select(*docs.columns)
 
 

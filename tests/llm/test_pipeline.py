@@ -83,3 +83,20 @@ def test_packing_holds_every_token(results):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_mix_draws_rows_that_share_an_id_or_have_none(spark):
+    rng, rows = np.random.default_rng(10), []
+    for i in range(1200):  # a third without an id, a third with one of five ids
+        n = int(rng.integers(50, 90))
+        rows.append(([None, i % 5, 1000 + i][i % 3], " ".join(f"r{i}w{k}" for k in range(n)), "en", ["a", "b", "c", "c", "c", "c"][int(rng.integers(6))], 0))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got, size, taken = corpus_pipeline.source_mix(spark, docs, "").collect(), Counter(), Counter()
+    for _, t, _, s, _ in rows:
+        size[s] += len(t.split())
+    for r in got:
+        taken[r.source] += len(r.text.split())
+    goal = test_mixing.water_fill(size)
+    assert all(abs(taken[s] - goal[s]) <= 250 for s in size), (taken, goal)
+    copies = Counter(r.text for r in got)
+    assert all(copies[t] in (int(goal[s] / size[s]), int(goal[s] / size[s]) + 1) for _, t, _, s, _ in rows if goal[s] / size[s] % 1)
