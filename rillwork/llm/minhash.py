@@ -255,10 +255,10 @@ def crossing(rows: Iterator[pd.DataFrame], least: float) -> Iterator[pd.DataFram
                 good &= block[mine][:, None] != block[None]
             p, q = np.nonzero(good)
             near = np.empty(len(p), bool)
-            for at in range(0, len(p), 50_000):
-                x, y = mine[p[at:at + 50_000]], q[at:at + 50_000]
+            for at in range(0, len(p), 4_000):
+                x, y = mine[p[at:at + 4_000]], q[at:at + 4_000]
                 longest = np.maximum(n[x], n[y])
-                near[at:at + 50_000] = (longest - np.minimum(bags[x], bags[y]).sum(axis=1, dtype=np.int64) <= longest * (1 - least) + 1e-9) | (longest > 65_000)
+                near[at:at + 4_000] = (longest - np.minimum(bags[x], bags[y]).sum(axis=1, dtype=np.int64) <= longest * (1 - least) + 1e-9) | (longest > 65_000)
             p, q = p[near], q[near]
             out.append(np.stack([np.minimum(ids[mine[p]], ids[q]), np.maximum(ids[mine[p]], ids[q])], axis=1))
         pairs = np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
