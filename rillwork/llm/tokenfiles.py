@@ -23,109 +23,107 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rillwork.llm.common import back, table, whole, worker_store
+from rillwork.llm.common import NO_ID, back, table, whole, worker_store
 from rillwork.llm.files import opened
 from rillwork.llm.packing import WordEncoder, binaries
 from rillwork.session import scratch_path, stage
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Documents whose offsets are one row between the two passes, and that one reading task takes at a time.
+#: How byte-level vocabularies write the space byte.
+SPACE = "\u0120"
+#: Documents that one reading task takes at a time.
 BLOCK = 4096
-ENCODED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
 WRITTEN = pa.schema([("shard", pa.int32()), ("path", pa.string()), ("block", pa.int64()), ("n_docs", pa.int64()), ("n", pa.int64()), ("docs", pa.binary()), ("sizes", pa.binary())])
 CLOSED = pa.schema([("path", pa.string()), ("base", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("width", pa.int32())])
 READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
 
 class JsonEncoder(WordEncoder):
-    """Ids by the ``tokenizers`` library; like its base it encodes every space-led chunk once and keeps the ids."""
+    """Ids by the ``tokenizers`` library; like its base it encodes every space-led chunk once and keeps the ids.
 
-    def __init__(self, vocabulary: str, most: int = 900_000):
+    For byte-level vocabularies of at most 65,536 ids. New chunks are encoded together: none has a space of its own, so
+    each begins at a token that begins with the space byte.
+    """
+
+    def __init__(self, vocabulary: str, most: int = 900_000, together: int = 500):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one worker per core already
         from tokenizers import Tokenizer
 
-        model = Tokenizer.from_file(vocabulary)
-        model.encode_special_tokens = True
-        self.one = lambda text: model.encode(text, add_special_tokens=False).ids
-        self.many = lambda texts: [e.ids for e in model.encode_batch_fast(texts, add_special_tokens=False)]
-        self.size = model.get_vocab_size()
-        self.most = most
+        self.model, self.most, self.together = Tokenizer.from_file(vocabulary), most, together
+        self.model.encode_special_tokens = True
+        if self.model.get_vocab_size() > 1 << 16:
+            raise ValueError("the vocabulary has more than 65,536 ids")
+        self.heads = np.zeros(1 << 16, bool)
+        self.heads[[i for token, i in self.model.get_vocab().items() if token[0] == SPACE]] = True
         self.clear()
 
-    def _keep(self, chunks: list[str]) -> None:
-        known = dict(zip(chunks, self.many([" " + c for c in chunks])))
-        one, self.one = self.one, lambda text: known[text[1:]]
-        try:
-            super()._keep(chunks)
-        finally:
-            self.one = one
-
-
-def encode(docs: DataFrame, doc_id: str, text: str, vocabulary: str, end_id: int) -> DataFrame:
-    """(doc_id, n, ids) of every row: unsigned 32-bit ids with the end id last."""
+    def one(self, text: str) -> list[int]:
+        return self.model.encode(text, add_special_tokens=False).ids
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = worker_store()
-        if ("json", vocabulary) not in kept:
-            kept["json", vocabulary] = JsonEncoder(vocabulary)
-        for whole_batch in batches:
-            for lo in range(0, whole_batch.num_rows, 1000):
-                batch = whole_batch.slice(lo, 1000)
-                ids = kept["json", vocabulary].encode(batch.column("text").to_pylist())
-                lengths = np.array([len(x) + 1 for x in ids], np.int64)
-                flat = np.concatenate([y for x in ids for y in (x, [end_id])]).astype("<u4")
-                yield pa.record_batch([batch.column("doc_id"), pa.array(lengths), binaries(flat, lengths)], schema=ENCODED)
-
-    return docs.select(whole(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, ids binary")
-
-
-def in_order(tokens: DataFrame, shards: int) -> DataFrame:
-    """Rows dealt to ranges in the order of their ids, null ids last. Rows that share an id are ordered by their content and
+    def _keep(self, chunks: list[str]) -> None:
+        lines = [" " + " ".join(chunks[k:k + self.together]) for k in range(0, len(chunks), self.together)]
+        flat = np.concatenate([np.array(e.ids, np.uint16) for e in self.model.encode_batch_fast(lines, add_special_tokens=False)])
+        heads = np.flatnonzero(self.heads[flat])
+        if len(heads) != len(chunks):
+            raise ValueError("not a byte-level vocabulary")
+        k, used = len(self.index), int(self.starts[len(self.index)])
+        while used + len(flat) > self.pool.size:
+            self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
+        while k + len(chunks) >= self.starts.size:
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+        self.pool[used:used + len(flat)] = flat
+        self.starts[k + 1:k + 1 + len(chunks)] = used + np.append(heads[1:], len(flat))
+        self.index.update(zip(chunks, range(k, k + len(chunks))))
+
+
+def in_order(rows: DataFrame, shards: int) -> DataFrame:
+    """Rows dealt to ranges in the order of their ids, null ids last. Rows that share an id are ordered by hashes of their texts and
     a range may begin among them, so an id that a third of all rows share fills many ranges."""
-    keyed = tokens.withColumns({"last": F.col("doc_id") == F.lit(-(1 << 63)), "content": F.xxhash64("ids"), "again": F.crc32("ids"), "any": F.monotonically_increasing_id()})
+    keyed = rows.withColumns({"last": F.col("doc_id") == F.lit(NO_ID), "content": F.xxhash64("text"), "again": F.crc32(F.col("text").cast("binary")), "any": F.monotonically_increasing_id()})
     keys = ["last", "doc_id", "content", "again", "any"]
-    return keyed.repartitionByRange(shards, *keys).sortWithinPartitions(*keys).select("doc_id", "n", "ids")
+    return keyed.repartitionByRange(shards, *keys).sortWithinPartitions(*keys).select("doc_id", "text")
 
 
 def write(docs: DataFrame, folder: str, vocabulary: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 0, width: int = 2,
           shards: int | None = None) -> DataFrame:
     """Encodes all rows, writes their ids below ``folder`` in ascending ``doc_id`` order and returns the manifest.
 
-    ``shards`` is the number of files, by default the session's shuffle partitions. ``width`` is the bytes of an id, 2 or 4; an id that does not fit raises an error. Null and empty texts are one end
+    ``shards`` is the number of files, by default the session's shuffle partitions. ``width`` is the bytes of an id, 2 or 4; an end id that does not fit raises an error. Null and empty texts are one end
     id; a null doc_id is written as the smallest long, behind all others; repeated rows are written each; rows that
-    share a doc_id with different texts lie in the order of a hash of their ids, so reruns give the same bytes; an empty
+    share a doc_id with different texts lie in the order of hashes of their texts, so reruns give the same bytes; an empty
     table writes no shard; other columns are not read. Texts of any length are written whole. Two passes: ids, then
     offsets, as their bases are prefix sums over what the first pass has written.
     """
     spark, kind = docs.sparkSession, {2: "<u2", 4: "<u4"}[width]
+    if end_id >> (8 * width):
+        raise ValueError(f"id {end_id} does not fit into {width} bytes")
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tokens = stage(encode(docs, doc_id, text, vocabulary, end_id), "tokens")
+    rows = docs.select(whole(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def ids_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, out, path, number = TaskContext.get().partitionId(), None, "", 0
+        shard, out, path, number, kept = TaskContext.get().partitionId(), None, "", 0, worker_store()
+        if ("json", vocabulary) not in kept:
+            kept["json", vocabulary] = JsonEncoder(vocabulary)
         for whole_batch in batches:
-            for lo in range(0, whole_batch.num_rows, BLOCK):
-                batch = whole_batch.slice(lo, BLOCK)
+            for lo in range(0, whole_batch.num_rows, 1000):
+                batch = whole_batch.slice(lo, 1000)
                 if out is None:
                     path = f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex}"
                     system, place = opened(path + ".ids")
                     system.create_dir(place.rpartition("/")[0], recursive=True)
                     out = system.open_output_stream(place, compression=None)
-                sizes = batch.column("n").to_numpy()
-                for blob in batch.column("ids"):
-                    flat = np.frombuffer(blob.as_buffer(), "<u4")
-                    if flat.max() >> (8 * width):
-                        raise ValueError(f"id {flat.max()} does not fit into {width} bytes")
-                    out.write(flat.astype(kind).tobytes())
-                row = [[shard], [path], [number], [batch.num_rows], [int(sizes.sum())], [batch.column("doc_id").to_numpy().astype("<i8").tobytes()], [sizes.astype("<i8").tobytes()]]
+                ids = kept["json", vocabulary].encode(batch.column("text").to_pylist())
+                sizes = np.array([len(x) + 1 for x in ids], "<i8")
+                out.write(np.concatenate([y for x in ids for y in (x, [end_id])]).astype(kind).tobytes())
+                row = [[shard], [path], [number], [batch.num_rows], [int(sizes.sum())], [batch.column("doc_id").to_numpy().astype("<i8").tobytes()], [sizes.tobytes()]]
                 yield pa.record_batch([pa.array(v, f.type) for v, f in zip(row, WRITTEN)], schema=WRITTEN)
                 number += 1
         if out:
             out.close()
 
-    blocks = stage(in_order(tokens, shards).mapInArrow(ids_files, "shard int, path string, block long, n_docs long, n long, docs binary, sizes binary"), "token-blocks")
+    blocks = stage(in_order(rows, shards).mapInArrow(ids_files, "shard int, path string, block long, n_docs long, n long, docs binary, sizes binary"), "token-blocks")
     totals = blocks.groupBy("shard").agg(F.sum("n").alias("total"))
     bases = totals.select(F.col("shard").alias("of"), (F.sum("total").over(Window.orderBy("shard")) - F.col("total")).alias("base"))  # one row per shard
 

@@ -65,6 +65,13 @@ def test_wide_ids_need_wide_files(spark):
     assert round_trip(spark, [(1, "a")], end_id=1 << 16, width=4)[1][0][2][-1] == 1 << 16
 
 
+def test_encoder_keeps_chunks(oracle):
+    encoder = tokenfiles.JsonEncoder(public_tokenizers.path(tokenfiles.VOCABULARY), most=5, together=2)
+    texts = ["a b c a b c", None, "", "it's we'll don't x", "a  b", " a", "one\ntwo three.\nfour five", "1234 ab12 \u00a0z", "日本 語 é", "the the <|endoftext|> the", "tail "]
+    for _ in range(2):
+        assert [x.tolist() for x in encoder.encode(texts)] == [oracle(t)[:-1] for t in texts]
+
+
 def test_empty_table_and_query(spark, oracle):
     assert round_trip(spark, []) == ([], [])
     docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
