@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["packing", "mixing", "warc", "spans", "language", "toxicity", "quality", "minhash", "forest", "substrings", "tokenfiles"]
+MODULES = ["packing", "mixing", "warc", "spans", "language", "toxicity", "quality", "minhash", "forest", "substrings", "variants", "divergence", "tokenfiles"]
 
 
 def load():
