@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -13,7 +14,7 @@ from rillwork.catalog.base import RANKED, SERIES, WIDE, build_wide, monthly, que
 from rillwork.operators import facts
 from rillwork.plans import county
 from rillwork.session import scratch_path
-from rillwork.sources import geo, records, tables
+from rillwork.sources import documents, geo, records, tables
 from rillwork.streaming import ingest
 
 
@@ -21,10 +22,13 @@ from rillwork.streaming import ingest
        "count(*) AS n, round(sum(p_retailprice), 2) AS total FROM part GROUP BY 1, 2")
 def s1(spark, d):
     path = scratch_path(spark, "records")
-    table(spark, d, "part").select(
-        F.col("p_type").alias("commodity_desc"), F.when(F.col("p_size") <= 25, "$ / BU").otherwise("PCT").alias("unit_desc"),
-        F.format_number("p_retailprice", 2).alias("Value")).write.json(path)
-    rows = records.json_records(spark, path, lines=True)
+    part = table(spark, d, "part").select(
+        "p_partkey", F.col("p_type").alias("commodity_desc"), F.when(F.col("p_size") <= 25, "$ / BU").otherwise("PCT").alias("unit_desc"),
+        F.format_number("p_retailprice", 2).alias("Value"))
+    # half of the records as lines, half as arrays: one for each task that writes
+    part.where("p_partkey % 2 = 0").drop("p_partkey").write.json(f"{path}/lines")
+    documents.write_documents(part.where("p_partkey % 2 = 1").select(F.to_json(F.struct("commodity_desc", "unit_desc", "Value")).alias("value")), f"{path}/arrays")
+    rows = records.json_records(spark, f"{path}/lines", lines=True).unionByName(records.json_records(spark, f"{path}/arrays"))
     from rillwork.functions.columns import parse_number
     return rows.groupBy("commodity_desc", "unit_desc").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(parse_number("Value")), 2).alias("total"))
 
@@ -45,20 +49,18 @@ def s2(spark, d):
 def s3(spark, d):
     from rillwork.functions.columns import zfill
     path = scratch_path(spark, "keyed")
-    doc = F.to_json(F.create_map(zfill("c_custkey", 5), F.struct(F.round("c_acctbal", 2).alias("elevation_ft"))))
-    table(spark, d, "customer").select(doc.alias("value")).write.text(path)
-    lines = spark.read.text(path).select(F.explode(F.from_json("value", "map<string,struct<elevation_ft: double>>")).alias("fips", "v"))
-    return lines.select("fips", F.col("v.elevation_ft").alias("elevation_ft"))
+    entry = F.concat(F.to_json(F.struct(zfill("c_custkey", 5).alias("k"))).substr(F.lit(6), F.lit(100)), F.lit(":"), F.to_json(F.struct(F.round("c_acctbal", 2).alias("elevation_ft"))))
+    documents.write_documents(table(spark, d, "customer").select(F.regexp_replace(entry, "}:", ":").alias("value")), path, "{", "}")
+    return records.keyed_object(spark, path, "struct<elevation_ft: double>", "fips").select("fips", "value.elevation_ft")
 
 
 @query("s4_header_matrix", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem")
 def s4(spark, d):
-    li = table(spark, d, "lineitem")
-    text = F.to_json(F.array(F.array(F.lit("key"), F.lit("line"), F.lit("qty")),
-                             F.array(F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_quantity").cast("string"))))
-    rows = li.select(F.explode(records.header_matrix(text)).alias("m"))
-    return rows.select(F.col("m")["key"].cast("long").alias("l_orderkey"), F.col("m")["line"].cast("int").alias("l_linenumber"),
-                       F.col("m")["qty"].cast("double").alias("l_quantity"))
+    path = scratch_path(spark, "matrix")
+    row = F.to_json(F.array(F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_quantity").cast("string")))
+    documents.write_documents(table(spark, d, "lineitem").select(row.alias("value")), path, '[["key","line","qty"],')
+    return records.header_matrix_rows(spark, path, ["qty", "key", "line"]).select(
+        F.col("key").cast("long").alias("l_orderkey"), F.col("line").cast("int").alias("l_linenumber"), F.col("qty").cast("double").alias("l_quantity"))
 
 
 @query("s5_csv_table", "SELECT c_custkey, c_name, round(c_acctbal, 2) AS c_acctbal FROM customer")
@@ -113,30 +115,33 @@ def a8(spark, d):
 
 @query("s8_zip_members", "SELECT c_custkey::VARCHAR AS c_custkey, c_name FROM customer")
 def s8(spark, d):
+    """Every task writes a zip file of many members; every member is read by a task of its own."""
+    folder = scratch_path(spark, "zips")
+
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        from pyarrow import fs
+        for i, pdf in enumerate(batches):
             buf = io.BytesIO()
             with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
                 z.writestr("readme.md", "x")
-                z.writestr("rows.csv", pdf.to_csv(index=False).encode("utf-8-sig"))
-            yield pd.DataFrame({"content": [buf.getvalue()]})
-    files = table(spark, d, "customer").select("c_custkey", "c_name").mapInPandas(pack, "content binary")
-    return records.unzip_rows(files, ["c_custkey", "c_name"])
+                for lo in range(0, len(pdf), 200):
+                    z.writestr(f"rows{lo}.csv", pdf.iloc[lo:lo + 200].to_csv(index=False).encode("utf-8-sig"))
+            system, path = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+            system.create_dir(path, recursive=True)
+            with system.open_output_stream(f"{path}/{uuid.uuid4().hex}.zip") as f:
+                f.write(buf.getvalue())
+            yield pd.DataFrame({"n": [len(pdf)]})
+    table(spark, d, "customer").select("c_custkey", "c_name").mapInPandas(pack, "n int").agg(F.sum("n")).collect()
+    return records.zipped_rows(spark, folder, ["c_custkey", "c_name"], every=True)
 
 
 def _sites(spark, d):
-    """Event readings as nested time-series documents, one per line."""
+    """Event readings as nested time-series documents of many series each."""
     path = scratch_path(spark, "series")
     reading = F.struct(F.col("value").cast("string").alias("value"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("dateTime"))
-    doc = F.struct(F.struct(F.array(F.struct(F.struct(F.col("event_type").alias("siteName")).alias("sourceInfo"),
-                                             F.array(F.struct(F.array(reading).alias("value"))).alias("values"))).alias("timeSeries")).alias("value"))
-    table(spark, d, "events").select(F.to_json(doc).alias("value")).write.text(path)
-    schema = ("value struct<timeSeries: array<struct<sourceInfo: struct<siteName: string>, "
-              "values: array<struct<value: array<struct<value: string, dateTime: string>>>>>>>")
-    s = spark.read.schema(schema).json(path).select(F.explode("value.timeSeries").alias("s"))
-    return s.select(F.col("s.sourceInfo.siteName").alias("site"), F.explode("s.values").alias("v")) \
-            .select("site", F.explode("v.value").alias("r")) \
-            .select("site", F.to_date(F.substring("r.dateTime", 1, 10)).alias("date"), F.col("r.value").try_cast("double").alias("value"))
+    series = F.struct(F.struct(F.col("event_type").alias("siteName")).alias("sourceInfo"), F.array(F.struct(F.array(reading).alias("value"))).alias("values"))
+    documents.write_documents(table(spark, d, "events").select(F.to_json(series).alias("value")), path, '{"name":"series","value":{"queryInfo":{"note":{}},"timeSeries":[', "]}}")
+    return records.time_series(spark, path)
 
 
 @query("s9_time_series", "SELECT event_type AS site, CAST(ts AS DATE) AS date, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
@@ -192,9 +197,11 @@ def _shapes(spark, d):
 
 
 def _features(spark, d):
-    path = scratch_path(spark, "geo")
-    geo.write_feature_lines(_shapes(spark, d), ["name", "segment"], path)
-    return geo.read_feature_lines(spark, path)
+    """Half of the shapes through feature collections, half through lines."""
+    path, shapes = scratch_path(spark, "geo"), _shapes(spark, d)
+    geo.write_collections(shapes.where("id % 2 = 0"), ["name", "segment"], f"{path}/collections")
+    geo.write_feature_lines(shapes.where("id % 2 = 1"), ["name", "segment"], f"{path}/lines")
+    return geo.read_features(spark, f"{path}/collections").unionByName(geo.read_feature_lines(spark, f"{path}/lines"))
 
 
 @query("s14_geojson", "SELECT c_custkey::VARCHAR AS id, c_name AS name, c_mktsegment AS segment, CASE WHEN c_nationkey >= 20 THEN 'MultiPolygon' ELSE 'Polygon' END AS kind, "
@@ -282,6 +289,37 @@ def s20(spark, d):
     return records.invalid_documents(wide(spark, d).select("fips", F.col("awc_mean").cast("string").alias("awc_mean")), "fips", "awc_mean")
 
 
+_SWEPT = ("SELECT *, CASE WHEN c_custkey % 11 = 0 THEN 'blank' WHEN c_custkey % 7 = 0 THEN 'broken' WHEN c_custkey % 5 = 0 THEN 'no key' WHEN c_mktsegment = 'HOUSEHOLD' OR c_custkey % 13 = 0 THEN 'placeholder' END AS reason, "
+          "round(c_acctbal, 2) AS v FROM customer")
+
+
+@query("s20b_quarantine", f"SELECT coalesce(reason, 'good') AS reason, count(*) AS n, count(DISTINCT CASE WHEN reason IS NULL OR reason = 'placeholder' THEN c_custkey END) AS keys, "
+       f"round(sum(CASE WHEN reason IS NULL THEN v END), 2) AS total FROM ({_SWEPT}) GROUP BY 1")
+def s20b(spark, d):
+    """Documents of which some are broken, blank, without key or without measure, swept into good rows and a quarantine."""
+    path, out = scratch_path(spark, "documents"), scratch_path(spark, "swept")
+    k, good = F.col("c_custkey"), F.to_json(F.struct(F.col("c_custkey").cast("string").alias("fips"), F.round("c_acctbal", 2).alias("awc_mean")))
+    text = (F.when(k % 11 == 0, "  ").when(k % 7 == 0, F.substring(good, 1, 12)).when(k % 5 == 0, '{"awc_mean": 1.5}').when(F.col("c_mktsegment") == "HOUSEHOLD", F.to_json(F.struct(k.cast("string").alias("fips"))))
+            .when(k % 13 == 0, F.to_json(F.struct(k.cast("string").alias("fips"), F.lit("oops").alias("awc_mean")))).otherwise(good))
+    table(spark, d, "customer").select(text.alias("value")).write.text(path)
+    records.quarantine(records.swept(spark, path, "fips", "awc_mean"), out)
+    kept = spark.read.schema("path string, fips string, awc_mean double, reason string, text string").parquet(out)
+    return kept.groupBy(F.coalesce("reason", F.lit("good")).alias("reason")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("fips").alias("keys"), F.round(F.sum(F.when(F.col("reason").isNull(), F.col("awc_mean"))), 2).alias("total"))
+
+
+@query("s17b_listed_load", "SELECT CAST(year(o_orderdate) AS INT) AS year, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")
+def s17b(spark, d):
+    """Order files are loaded from a listing; the first run is interrupted and the second goes on where it ended."""
+    root, out = scratch_path(spark, "objects"), scratch_path(spark, "loaded")
+    o = table(spark, d, "orders").select("o_totalprice", F.year("o_orderdate").alias("year"))
+    o.withColumn("part", F.col("year")).write.partitionBy("part").parquet(root)
+    schema = "o_totalprice double, year int"
+    ingest.load_listed(spark, root, out, schema, per_load=2, most_loads=1)
+    ingest.load_listed(spark, root, out, schema, per_load=4)
+    rows = ingest.read_loaded(spark, out, schema)
+    return rows.groupBy("year").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
 @query("s21_tagged_union", "SELECT l_returnflag AS sector, l_suppkey, l_quantity FROM lineitem")
 def s21(spark, d):
     li = table(spark, d, "lineitem")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rillwork.catalog.base import query, table
 from rillwork.session import scratch_path
-from rillwork.streaming import ingest
+from rillwork.streaming import ingest, store
 
 
 def _arriving(spark, d):
@@ -40,8 +40,8 @@ def x2b(spark, d):
     path, schema = _arriving(spark, d)
     out, mark = scratch_path(spark, "weekly"), scratch_path(spark, "mark")
     w = ingest.weekly_measures(ingest.file_stream(spark, path, schema), "ts", "value", ["event_type"], late="1 day")
-    ingest.upsert_measures(w, out, mark).awaitTermination()
-    got = ingest.read_measures(spark, out, w.schema, ["week_start", "event_type"])
+    ingest.upsert_measures(w, out, mark, ["week_start", "event_type"], buckets=8).awaitTermination()
+    got = store.read(spark, out, w.schema)
     return got.select(F.col("week_start").cast("timestamp_ntz").alias("week_start"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
@@ -49,5 +49,5 @@ def x2b(spark, d):
 def x3(spark, d):
     path, schema = _arriving(spark, d)
     root, mark = scratch_path(spark, "snapshot"), scratch_path(spark, "mark")
-    ingest.keep_snapshot(ingest.file_stream(spark, path, schema, files_per_batch=4), root, mark, "user_id", "ts").awaitTermination()
-    return ingest.read_snapshot(spark, root, schema, "user_id", "ts").select("user_id", "event_id", "event_type")
+    ingest.keep_snapshot(ingest.file_stream(spark, path, schema, files_per_batch=4), root, mark, "user_id", "ts", buckets=16).awaitTermination()
+    return store.read(spark, root, schema).select("user_id", "event_id", "event_type")

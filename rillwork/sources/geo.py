@@ -4,18 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from rillwork.sources import documents
+
 POLYGON = "array<array<array<double>>>"
 MULTI = "array<array<array<array<double>>>>"
 
 
 def _collections(spark: SparkSession, path: str) -> DataFrame:
-    feature = "struct<id: string, properties: map<string,string>, geometry: struct<type: string, coordinates: string>>"
-    return spark.read.text(path, wholetext=True).select(
-        F.explode(F.from_json("value", f"struct<features: array<{feature}>>")["features"]).alias("f"))
+    feature = "struct<type: string, id: string, properties: map<string,string>, geometry: struct<type: string, coordinates: string>>"
+    return documents.elements(spark, path, depth=2, outer="{").select(F.from_json("text", feature).alias("f")).where("f.type = 'Feature'")
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
-    """Feature collections to rows: id, properties, geometry type and rings (one array level for both kinds)."""
+    """Feature collections, of any size, to rows: id, properties, geometry type and rings (one array level for both kinds)."""
     return _typed(_collections(spark, path))
 
 
@@ -68,3 +69,8 @@ def feature_text(props: list[str], kind: str = "kind", coordinates: str = "coord
 def write_feature_lines(df: DataFrame, props: list[str], path: str) -> None:
     """Newline-delimited features, written in parallel."""
     df.select(feature_text(props).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_collections(df: DataFrame, props: list[str], path: str) -> None:
+    """A folder of feature collections, one from each task."""
+    documents.write_documents(df.select(feature_text(props).alias("value")), path, '{"type":"FeatureCollection","features":[', "]}")

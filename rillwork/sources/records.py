@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from rillwork.functions import columns as X
+from rillwork.sources import documents, files
 
 RECORD_FIELDS = ["source_desc", "sector_desc", "agg_level_desc", "statisticcat_desc", "prodn_practice_desc",
                  "util_practice_desc", "domain_desc", "domaincat_desc", "commodity_desc", "short_desc", "unit_desc",
@@ -29,9 +27,12 @@ def _or_empty(spark: SparkSession, schema: T.StructType | str, read) -> DataFram
 
 
 def json_records(spark: SparkSession, path: str, schema: T.StructType = RECORD_SCHEMA, lines: bool = False) -> DataFrame:
-    """JSON array of records (one document per file) or, with ``lines``, newline-delimited records that split freely."""
-    return _or_empty(spark, schema, lambda: spark.read.schema(schema).option("multiLine", not lines)
-                     .option("mode", "PERMISSIVE").json(path).dropna(how="all"))
+    """JSON array of records or, with ``lines``, newline-delimited records. Both split freely: an array is cut at its elements."""
+    def read() -> DataFrame:
+        if lines:
+            return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path).dropna(how="all")
+        return documents.elements(spark, path).select(F.from_json("text", schema).alias("r")).select("r.*").dropna(how="all")
+    return _or_empty(spark, schema, read)
 
 
 def json_objects(spark: SparkSession, glob: str, schema: T.StructType, key: str) -> DataFrame:
@@ -41,10 +42,10 @@ def json_objects(spark: SparkSession, glob: str, schema: T.StructType, key: str)
 
 
 def keyed_object(spark: SparkSession, path: str, value_type: str, key: str = "key") -> DataFrame:
-    """One object {key: value} per file to (key, value) rows."""
-    schema = f"{key} string, value {value_type}"
-    return _or_empty(spark, schema, lambda: spark.read.text(path, wholetext=True)
-                     .select(F.explode(F.from_json("value", f"map<string,{value_type}>")).alias(key, "value")))
+    """One object {key: {...}} per file, of any size, to (key, value) rows."""
+    entry = F.from_json(F.concat(F.lit("{"), F.col("text"), F.lit("}")), f"map<string,{value_type}>")
+    return _or_empty(spark, f"{key} string, value {value_type}", lambda: documents.elements(spark, path, outer="{", keyed=True)
+                     .select(F.explode(entry).alias(key, "value")))
 
 
 def nested_years(spark: SparkSession, path: str, key: str = "state") -> DataFrame:
@@ -62,11 +63,14 @@ def header_matrix(text: Column) -> Column:
 
 
 def header_matrix_rows(spark: SparkSession, path: str, cols: Sequence[str]) -> DataFrame:
-    """Header-row matrix files to records with the named columns."""
-    schema = ", ".join(f"`{c}` string" for c in cols)
-    return _or_empty(spark, schema, lambda: spark.read.text(path, wholetext=True)
-                     .select(F.explode(header_matrix(F.col("value"))).alias("m"))
-                     .select(*[F.try_element_at("m", F.lit(c)).alias(c) for c in cols]))
+    """Header-row matrix files, of any size, to records with the named columns. Each file's first row names its columns."""
+    def read() -> DataFrame:
+        rows = documents.elements(spark, path, end="]").select("path", "start", "k", F.from_json("text", "array<string>").alias("row"))
+        heads = rows.groupBy("path").agg(F.min_by("row", F.struct("start", "k")).alias("names"), F.min(F.struct("start", "k")).alias("top"))
+        body = rows.join(heads, "path").where((F.col("start") != F.col("top.start")) | (F.col("k") != F.col("top.k")))
+        place = lambda c: F.array_position("names", c)
+        return body.select(*[F.when(place(c) > 0, F.get("row", place(c).cast("int") - 1)).alias(c) for c in cols])
+    return _or_empty(spark, ", ".join(f"`{c}` string" for c in cols), read)
 
 
 def csv_table(spark: SparkSession, path: str, schema: str | T.StructType, encoding: str = "UTF-8",
@@ -120,40 +124,24 @@ def unemployment_lines(spark: SparkSession, path: str) -> DataFrame:
     return _or_empty(spark, "fips string, year int, rate double", read)
 
 
-def unzip_rows(files: DataFrame, columns: Sequence[str], suffix: str = ".csv", sep: str = ",",
-               encoding: str = "utf-8-sig", chunk: int = 50_000) -> DataFrame:
-    """Rows of the first matching member of each zip in a ``content`` column, as strings, read in chunks."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for content in pdf["content"]:
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    names = [m for m in z.namelist() if m.lower().endswith(suffix)]
-                    if not names:
-                        continue
-                    with z.open(names[0]) as member:
-                        reader = pd.read_csv(member, sep=sep, dtype=str, encoding=encoding, chunksize=chunk)
-                        for part in reader:
-                            part.columns = [c.strip() for c in part.columns]
-                            yield part.reindex(columns=list(columns)).astype(object).where(lambda d: d.notna(), None)
-
-    return files.select("content").mapInPandas(unpack, schema)
-
+def zipped_rows(spark: SparkSession, path: str, columns: Sequence[str], suffix: str = ".csv", every: bool = False, **options) -> DataFrame:
+    """Rows of the first matching member (or, with ``every``, of all) of each zip file below a path, as strings.
 
-def zipped_rows(spark: SparkSession, path: str, columns: Sequence[str], **options) -> DataFrame:
-    """Zip files below a path; every file is one task's work."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    return _or_empty(spark, schema, lambda: unzip_rows(spark.read.format("binaryFile").load(path), columns, **options))
+    The files' directories are an index; each member is one task's work and only its byte range is read.
+    """
+    def read() -> DataFrame:
+        members = files.zip_members(spark, path, suffix)
+        if not every:
+            members = members.groupBy("path").agg(F.min_by(F.struct("member", "packed", "size", "method", "offset"), "offset").alias("m")).select("path", "m.*")
+        return files.member_rows(members, columns, **options).drop("member")
+    return _or_empty(spark, T.StructType([T.StructField(c, T.StringType()) for c in columns]), read)
 
 
 def time_series(spark: SparkSession, path: str) -> DataFrame:
-    """Nested value.timeSeries[] documents to (site, date, value) rows."""
-    schema = ("value struct<timeSeries: array<struct<sourceInfo: struct<siteName: string>, "
-              "values: array<struct<value: array<struct<value: string, dateTime: string>>>>>>>")
+    """Nested value.timeSeries[] documents to (site, date, value) rows; a document is cut at its series."""
+    series = "sourceInfo struct<siteName: string>, values array<struct<value: array<struct<value: string, dateTime: string>>>>"
     flat = "site string, date date, value double"
-    return _or_empty(spark, flat, lambda: spark.read.schema(schema).option("multiLine", True).json(path)
-                     .select(F.explode("value.timeSeries").alias("s"))
+    return _or_empty(spark, flat, lambda: documents.elements(spark, path, depth=3, outer="{").select(F.from_json("text", series).alias("s"))
                      .select(F.col("s.sourceInfo.siteName").alias("site"), F.explode("s.values").alias("v"))
                      .select("site", F.explode("v.value").alias("r"))
                      .select("site", F.to_date(F.substring("r.dateTime", 1, 10)).alias("date"),
@@ -182,3 +170,26 @@ def optional(spark: SparkSession, read, schema: T.StructType | str) -> DataFrame
 def invalid_documents(docs: DataFrame, key: str, measure: str) -> DataFrame:
     """Placeholders: documents whose key measure is null or unreadable."""
     return docs.where(X.finite(F.col(measure).try_cast("double")).isNull()).select(key)
+
+
+def swept(spark: SparkSession, path: str, key: str, measure: str, whole: bool = False) -> DataFrame:
+    """(path, key, value, reason, text) of every document: JSON objects, one a line or, with ``whole``, one a file.
+
+    reason is null for a good one, else 'blank', 'broken' (no JSON object), 'no key' or 'placeholder' (the measure is
+    null, unreadable or infinite); text is kept for those that are not good.
+    """
+    schema = T.StructType([T.StructField(key, T.StringType()), T.StructField(measure, T.StringType()), T.StructField("_corrupt", T.StringType())])
+    raw = spark.read.text(path, wholetext=whole).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    doc = raw.withColumn("r", F.from_json("text", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+    number = X.finite(F.col(f"r.{measure}").try_cast("double"))
+    object_like = F.trim("text").startswith("{")
+    reason = (F.when(F.regexp_like("text", F.lit(r"^\s*$")), "blank").when(F.col("r").isNull() | F.col("r._corrupt").isNotNull() | ~object_like, "broken")
+              .when(F.coalesce(F.col(f"r.{key}"), F.lit("")) == "", "no key").when(number.isNull(), "placeholder"))
+    out = doc.select("path", F.col(f"r.{key}").alias(key), number.alias(measure), reason.alias("reason"), "text")
+    return out.withColumn("text", F.when(F.col("reason").isNotNull(), F.col("text")))
+
+
+def quarantine(documents: DataFrame, out: str) -> None:
+    """Writes swept documents once: good rows below ``state=good``, the others below ``state=bad``, with path and reason."""
+    state = F.when(F.col("reason").isNull(), "good").otherwise("bad")
+    documents.withColumn("state", state).write.mode("overwrite").partitionBy("state").parquet(out)

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
+
+from rillwork.sources import files
+from rillwork.streaming import store
 
 # -- work lists -------------------------------------------------------------------------------------------------
 
@@ -35,6 +41,42 @@ def completeness(targets: DataFrame, existing: DataFrame, source: str, on: Seque
     return agg.withColumn("pct", F.round(F.col("done") / F.col("total") * 100, 1))
 
 
+def load_listed(spark: SparkSession, root: str, out: str, schema: T.StructType | str, pattern: str = "*.parquet", per_load: int = 1000, most_loads: int | None = None) -> int:
+    """Loads the objects below ``root`` that no earlier load has committed; returns how many loads it made.
+
+    What is there is a listing of names, sizes and times; what is done is the table of committed loads. A load writes its rows,
+    then its list of objects, which is what makes it count: after an interruption the next run goes on with the rest, and rows
+    without a committed list are never read. An object whose size or time has changed is loaded anew.
+    """
+    loads = 0
+    while most_loads is None or loads < most_loads:
+        there, done = files.listing(spark, root, pattern), committed(spark, out)
+        todo = there.join(done, ["path", "length", "modified"], "left_anti").select(*there.columns).orderBy("path").limit(per_load).collect()  # one load's objects
+        if not todo:
+            break
+        name = uuid.uuid4().hex
+        spark.read.schema(schema).parquet(*[r["path"] for r in todo]).withColumn("object", F.col("_metadata.file_path")).write.parquet(f"{out}/rows/load={name}")
+        spark.createDataFrame(todo, there.schema).withColumn("load", F.lit(name)).coalesce(1).write.mode("append").parquet(f"{out}/done")
+        loads += 1
+    return loads
+
+
+def committed(spark: SparkSession, out: str) -> DataFrame:
+    """(path, object, length, modified, load) of every committed object; of one that was loaded again only the newest counts."""
+    schema = "path string, object string, length long, modified timestamp, load string"
+    try:
+        rows = spark.read.schema(schema).parquet(f"{out}/done")
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+    return rows.groupBy("path").agg(F.max_by(F.struct("object", "length", "modified", "load"), "modified").alias("o")).select("path", "o.*")
+
+
+def read_loaded(spark: SparkSession, out: str, schema: T.StructType | str) -> DataFrame:
+    """The rows of the newest committed load of every object."""
+    rows = spark.read.schema(spark.createDataFrame([], schema).schema.add("object", "string").add("load", "string")).parquet(f"{out}/rows")
+    return rows.join(committed(spark, out).select("load", "object"), ["load", "object"], "left_semi").drop("load", "object")
+
+
 # -- streams ------------------------------------------------------------------------------------------------------
 
 
@@ -60,22 +102,12 @@ def weekly_measures(df: DataFrame, ts: str, value: str, keys: Sequence[str] = ()
     return agg.select(F.col("w.start").alias("week_start"), *keys, "n", "total", "mean")
 
 
-def upsert_measures(measures: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+def upsert_measures(measures: DataFrame, out: str, checkpoint: str, keys: Sequence[str], buckets: int = 64) -> StreamingQuery:
     """Load streamed measures in update mode: every batch writes the groups it changed, open windows included.
 
-    A batch that is replayed overwrites its own folder; ``read_measures`` takes the newest row of every group.
+    A group's newest row is the one with the most rows counted, as counts only grow; ``store.read`` returns the groups.
     """
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-
-    return measures.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def read_measures(spark: SparkSession, out: str, schema: T.StructType, keys: Sequence[str]) -> DataFrame:
-    """The newest row per group of what ``upsert_measures`` wrote."""
-    rows = spark.read.schema(schema.add("batch", "long")).parquet(out)
-    rest = [f.name for f in schema.fields if f.name not in (*keys, "batch")]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("b")).select(*keys, "b.*")
+    return store.keep(measures, out, checkpoint, keys, store.largest(keys, "n"), buckets, mode="update")
 
 
 def merge_snapshot(current: DataFrame, batch: DataFrame, key: str, date: str) -> DataFrame:
@@ -86,25 +118,25 @@ def merge_snapshot(current: DataFrame, batch: DataFrame, key: str, date: str) ->
     return both.groupBy(key).agg(pick.alias("b")).select(key, "b.*")
 
 
-def keep_snapshot(stream: DataFrame, root: str, checkpoint: str, key: str, date: str) -> StreamingQuery:
-    """Maintain the latest row per key. Every batch writes a new version folder named by its id, so a batch that is
-    replayed after a failure overwrites its own version and nothing else."""
-    schema = stream.schema
-
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        if batch_id > 0:
-            current = spark.read.schema(schema).parquet(f"{root}/snapshot_version={batch_id - 1}")
-        else:
-            current = spark.createDataFrame([], schema)
-        merge_snapshot(current, batch, key, date).write.mode("overwrite").parquet(f"{root}/snapshot_version={batch_id}")
-
-    return (stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+def keep_snapshot(stream: DataFrame, root: str, checkpoint: str, key: str, date: str, buckets: int = 64) -> StreamingQuery:
+    """Maintain the latest row per key; a batch rewrites only the buckets its keys belong to. ``store.read`` returns the rows."""
+    return store.keep(stream, root, checkpoint, [key], store.largest([key], date), buckets)
 
 
-def read_snapshot(spark: SparkSession, root: str, schema: T.StructType, key: str, date: str) -> DataFrame:
-    """The newest stored version."""
-    versions = spark.read.schema(schema).parquet(root)  # the version is a partition column
-    newest = versions.agg(F.max("snapshot_version")).scalar()
-    return versions.where(F.col("snapshot_version") == newest).drop("snapshot_version")
+def latest_rows(stream: DataFrame, key: str, date: str) -> DataFrame:
+    """The second form: a stream that emits a key's row whenever a later one arrives. The state is one date per key."""
+    schema = stream.schema
+    names = [f.name for f in schema.fields]
+
+    def update(_, batches, state):
+        best = None
+        for pdf in batches:
+            row = pdf.sort_values(date, kind="stable").tail(1)
+            if best is None or row[date].iloc[0] >= best[date].iloc[0]:
+                best = row
+        if best is not None and (not state.exists or best[date].iloc[0] > state.get[0]):
+            state.update((best[date].iloc[0],))
+            yield best[names]
+
+    kind = T.StructType([T.StructField(date, schema[date].dataType)])
+    return stream.groupBy(key).applyInPandasWithState(update, schema, kind, "update", GroupStateTimeout.NoTimeout)

@@ -5,7 +5,8 @@ import zipfile
 from pyspark.sql import functions as F
 
 from conftest import rows
-from rillwork.sources import geo, records, tables
+from rillwork.sources import files, geo, records, tables
+from rillwork.streaming import ingest
 
 
 def put(folder, name, text, encoding="utf-8"):
@@ -68,6 +69,63 @@ def test_insurance_and_zip(spark, folder):
     assert rows(records.zipped_rows(spark, folder + "/n.zip", ["STCOFIPS", "RISK_SCORE", "OTHER"])) == [("01001", "5.5", None)]
 
 
+def test_every_member_of_many_zips(spark, folder):
+    for n in range(3):
+        with zipfile.ZipFile(f"{folder}/z{n}.zip", "w", zipfile.ZIP_DEFLATED if n else zipfile.ZIP_STORED) as z:
+            z.writestr("notes.md", "x")
+            z.writestr("dir/", "")
+            for m in range(4):
+                z.writestr(f"dir/m{m}.CSV", "a,b\n" + "".join(f"{n},{m * 1000 + i}\n" for i in range(m * 500)))
+            z.writestr("empty.csv", "")
+    index = files.zip_members(spark, folder)
+    assert index.count() == 15
+    got = files.member_rows(index, ["b", "a"])
+    assert got.count() == 3 * (0 + 500 + 1000 + 1500) and got.where("member = 'dir/m3.CSV'").agg(F.count_distinct("b")).first()[0] == 1500
+    assert records.zipped_rows(spark, folder, ["a"], suffix="m1.csv").count() == 1500
+    assert records.zipped_rows(spark, folder + "/none", ["a"]).count() == 0
+
+
+def test_swept_documents(spark, folder):
+    lines = ['{"fips": "1", "awc_mean": 0.5}', '{"fips": "2"', "", '{"awc_mean": 1}', '{"fips": "5", "awc_mean": null}', '{"fips": "6", "awc_mean": "oops"}', "[1]", "   ", '{"fips": "9", "awc_mean": "0.25", "more": {"x": 1}}']
+    got = records.swept(spark, put(folder, "d.json", "\n".join(lines)), "fips", "awc_mean")
+    want = [("1", 0.5, None), (None, None, "broken"), (None, None, "blank"), (None, 1.0, "no key"), ("5", None, "placeholder"), ("6", None, "placeholder"), (None, None, "broken"), (None, None, "blank"), ("9", 0.25, None)]
+    assert [r[2] for r in rows(got.select("fips", "awc_mean", "reason"))].count(None) == 2
+    assert sorted((str(r["reason"]), str(r["awc_mean"])) for r in got.collect()) == sorted((str(w[2]), str(w[1])) for w in want)
+    records.quarantine(got, folder + "/out")
+    bad = spark.read.parquet(folder + "/out/state=bad")
+    assert bad.count() == 7 and bad.where("path IS NULL").count() == 0 and bad.where("reason = 'placeholder'").agg(F.count_distinct("fips")).first()[0] == 2
+    sub = os.path.join(folder, "whole")
+    os.mkdir(sub)
+    put(sub, "a.json", '{"fips": "1",\n "awc_mean": 2}')
+    put(sub, "b.json", '{"fips": ')
+    assert rows(records.swept(spark, sub, "fips", "awc_mean", whole=True).select("fips", "awc_mean", "reason")) == [("1", 2.0, None), (None, None, "broken")]
+
+
+def test_a_load_goes_on_after_an_interruption(spark, folder):
+    for k in range(5):
+        spark.range(k * 10, k * 10 + 10).coalesce(1).write.parquet(f"{folder}/in/k{k}")
+    out = folder + "/out"
+    ids = lambda: sorted(r[0] for r in ingest.read_loaded(spark, out, "id long").collect())
+    assert ingest.load_listed(spark, folder + "/in", out, "id long", per_load=2, most_loads=1) == 1 and ids() == list(range(20))
+    spark.range(500, 510).write.parquet(f"{out}/rows/load=lost")  # rows of a load that was never committed
+    assert ingest.load_listed(spark, folder + "/in", out, "id long", per_load=2) == 2 and ids() == list(range(50))
+    assert ingest.load_listed(spark, folder + "/in", out, "id long") == 0
+    part = next(p for p in os.listdir(folder + "/in/k0") if p.endswith(".parquet"))
+    spark.range(900, 905).coalesce(1).write.parquet(folder + "/other")
+    new = next(p for p in os.listdir(folder + "/other") if p.endswith(".parquet"))
+    with open(f"{folder}/other/{new}", "rb") as a, open(f"{folder}/in/k0/{part}", "wb") as b:
+        b.write(a.read())
+    if os.path.exists(f"{folder}/in/k0/.{part}.crc"):
+        os.remove(f"{folder}/in/k0/.{part}.crc")
+    assert ingest.load_listed(spark, folder + "/in", out, "id long") == 1 and ids() == [*range(10, 50), *range(900, 905)]
+
+
+def test_a_listing_opens_nothing(spark, folder):
+    put(folder, "a.bin", "x" * 10)
+    plan = files.listing(spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan and rows(files.listing(spark, folder).select("length")) == [(10,)]
+
+
 def test_series_documents(spark, folder):
     doc = {"value": {"timeSeries": [{"sourceInfo": {"siteName": "w1"}, "values": [{"value": [{"value": "3.5", "dateTime": "2020-01-02T00:00:00"}, {"value": "x", "dateTime": "2020-01-03"}]}]}]}}
     path = put(folder, "g.json", json.dumps(doc))
