@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from rillwork.functions import columns as X
-from rillwork.operators import facts, screens
+from rillwork.operators import facts, ranks, screens
 from rillwork.session import scratch_path, stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -263,7 +263,23 @@ def wide(spark: SparkSession, d: str) -> DataFrame:
 
 def ranked(spark: SparkSession, d: str) -> DataFrame:
     """Feature table with the target percentile."""
-    return product(spark, d, "ranked", lambda: screens.with_percentile(wide(spark, d)))
+    return product(spark, d, "ranked", lambda: screens.with_percentile(wide(spark, d), index=wide_index(spark, d)))
+
+
+def wide_index(spark: SparkSession, d: str) -> DataFrame:
+    """Places of the values of all numeric columns of the feature table."""
+    def build() -> DataFrame:
+        x = wide(spark, d)
+        return ranks.value_index(x, [f.name for f in x.schema.fields if f.dataType.typeName() == "double"])
+    return product(spark, d, "wide-index", build)
+
+
+def target_index(spark: SparkSession, d: str) -> DataFrame:
+    """The same over the rows with a target, with the screens' intensity."""
+    def build() -> DataFrame:
+        x = screens.with_intensity(wide(spark, d).where("crop_water_eff IS NOT NULL"))
+        return ranks.value_index(x, [f.name for f in x.schema.fields if f.dataType.typeName() == "double"])
+    return product(spark, d, "target-index", build)
 
 
 RANKED = WIDE + """,

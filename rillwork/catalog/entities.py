@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rillwork import config
-from rillwork.catalog.base import LINES, RANKED, WIDE, build_wide, lines, query, ranked, table, wide
+from rillwork.catalog.base import LINES, RANKED, WIDE, build_wide, lines, query, ranked, table, target_index, wide
 from rillwork.functions import columns as X
 from rillwork.operators import effects, facts, metrics, ranks, screens
 
@@ -110,19 +110,23 @@ round(coalesce(ii, 0), 2) AS irr_intensity, 'Dual Exposure' AS insight FROM du2
 DM = RANKED + ", dm AS (SELECT * FROM ranked WHERE crop_water_eff IS NOT NULL)"
 
 
+def cuts(spark, d):
+    return screens.thresholds(ranked(spark, d), index=target_index(spark, d))
+
+
 @query("p1_low_hanging_fruit", f"WITH {DM}, {LHF} SELECT * FROM lhf")
 def p1(spark, d):
-    return screens.low_hanging_fruit(ranked(spark, d))
+    return screens.low_hanging_fruit(ranked(spark, d), cuts=cuts(spark, d))
 
 
 @query("p2_virtual_water_exporters", f"WITH {DM}, {VWE} SELECT * FROM vwe")
 def p2(spark, d):
-    return screens.virtual_water_exporters(ranked(spark, d))
+    return screens.virtual_water_exporters(ranked(spark, d), cuts=cuts(spark, d))
 
 
 @query("p3_dual_exposure", f"WITH {DM}, {DUAL} SELECT * FROM dual")
 def p3(spark, d):
-    return screens.dual_exposure(ranked(spark, d))
+    return screens.dual_exposure(ranked(spark, d), cuts=cuts(spark, d))
 
 
 FLAGS = """flags AS (SELECT r.*, CASE WHEN r.fips IN (SELECT fips FROM lhf) THEN 1 ELSE 0 END::INT AS is_lhf, CASE WHEN r.fips IN (SELECT fips FROM vwe) THEN 1 ELSE 0 END::INT AS is_vwe,
@@ -130,8 +134,8 @@ CASE WHEN r.fips IN (SELECT fips FROM dual) THEN 1 ELSE 0 END::INT AS is_dual FR
 
 
 def flagged(spark, d):
-    x = ranked(spark, d)
-    return screens.flagged(x, "fips", screens.low_hanging_fruit(x), screens.virtual_water_exporters(x), screens.dual_exposure(x))
+    x, q = ranked(spark, d), cuts(spark, d)
+    return screens.flagged(x, "fips", screens.low_hanging_fruit(x, cuts=q), screens.virtual_water_exporters(x, cuts=q), screens.dual_exposure(x, cuts=q))
 
 
 @query("p4_flags", f"WITH {DM}, {LHF}, {VWE}, {DUAL}, {FLAGS} SELECT fips, is_lhf, is_vwe, is_dual FROM flags")
@@ -146,8 +150,8 @@ def p5(spark, d):
 
 @query("t10_policy_top", f"WITH {DM}, {LHF}, {VWE}, {DUAL} SELECT insight, count(*) AS n, min(fips) AS first_fips FROM (SELECT insight, fips FROM lhf UNION ALL SELECT insight, fips FROM vwe UNION ALL SELECT insight, fips FROM dual) GROUP BY 1")
 def t10(spark, d):
-    x = ranked(spark, d)
-    every = [s(x).select("insight", "fips") for s in (screens.low_hanging_fruit, screens.virtual_water_exporters, screens.dual_exposure)]
+    x, q = ranked(spark, d), cuts(spark, d)
+    every = [s(x, cuts=q).select("insight", "fips") for s in (screens.low_hanging_fruit, screens.virtual_water_exporters, screens.dual_exposure)]
     return every[0].unionByName(every[1]).unionByName(every[2]).groupBy("insight").agg(F.count(F.lit(1)).alias("n"), F.min("fips").alias("first_fips"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rillwork import config
 from rillwork.catalog.base import CROPS, RANKED, SERIES, SURVEYS, WIDE, crops, fact_table, query, ranked, table, wide
-from rillwork.catalog.entities import _EFFECTS, DM, DUAL, FLAGS, LHF, VWE, flagged
+from rillwork.catalog.entities import _EFFECTS, DM, DUAL, FLAGS, LHF, VWE, cuts, flagged
 from rillwork.catalog.rollups import STATES, _A5, _YR, _YV, _shared_sql, states
 from rillwork.operators import facts, models, ranks, screens
 from rillwork.plans import serve
@@ -32,7 +32,7 @@ def e2(spark, d):
 
 @query("e3_opportunities", f"WITH {DM}, {LHF} SELECT * FROM lhf WHERE upper(state) = 'NATION_3' ORDER BY crop_water_eff, fips LIMIT 20")
 def e3(spark, d):
-    kinds = {"low_hanging_fruit": screens.low_hanging_fruit(ranked(spark, d))}
+    kinds = {"low_hanging_fruit": screens.low_hanging_fruit(ranked(spark, d), cuts=cuts(spark, d))}
     return serve.opportunities(kinds, state="nation_3", order=[F.col("crop_water_eff"), F.col("fips")])
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rillwork.catalog.base import CROPS, FACTS, GROUPS, PREFS, RANKED, SERIES, WIDE, crops, query, ranked, table, wi_area, wide, yearly
+from rillwork.catalog.base import CROPS, FACTS, GROUPS, PREFS, RANKED, SERIES, WIDE, crops, query, ranked, table, wi_area, wide, wide_index, yearly
 from rillwork.catalog.rollups import STATES, states
 from rillwork.functions import columns as X
 from rillwork.operators import facts, metrics, models, ranks, screens
@@ -19,7 +19,7 @@ def w1(spark, d):
 @query("w1b_rank_pre_round", f"WITH {RANKED} SELECT fips, CASE WHEN crop_water_eff IS NOT NULL THEN round(round((rank() OVER (ORDER BY crop_water_eff NULLS LAST) + (count(*) OVER (PARTITION BY crop_water_eff) - 1) / 2.0::DOUBLE) "
        "/ count(crop_water_eff) OVER (), 3) * 100, 1) END AS pct FROM wide")
 def w1b(spark, d):
-    return ranks.rank_pct(wide(spark, d), "crop_water_eff", "pct", scale=100.0, digits=1, pre_round=3).select("fips", "pct")
+    return ranks.rank_pct(wide(spark, d), "crop_water_eff", "pct", scale=100.0, digits=1, pre_round=3, index=wide_index(spark, d)).select("fips", "pct")
 
 
 @query("w2_best_year", f"WITH {CROPS} SELECT state, crop, year, round(wi, 6) AS wi, round(area, 6) AS area FROM best")
@@ -68,19 +68,19 @@ def d14(spark, d):
 @query("w5_pareto", f"""WITH {WIDE}, r AS (SELECT est_water_af AS v, row_number() OVER (ORDER BY est_water_af DESC, fips) AS i, sum(est_water_af) OVER (ORDER BY est_water_af DESC, fips ROWS UNBOUNDED PRECEDING) AS cum, sum(est_water_af) OVER () AS t FROM wide WHERE est_water_af > 0)
 SELECT min(CASE WHEN cum >= t * 0.5 THEN i END) AS top50pct, min(CASE WHEN cum >= t * 0.8 THEN i END) AS top80pct, count(*) AS total_entities, round(max(t), 2) AS total FROM r""")
 def w5(spark, d):
-    return ranks.pareto(wide(spark, d).where("est_water_af > 0"), "est_water_af").withColumn("total", F.round("total", 2))
+    return ranks.pareto(wide(spark, d), "est_water_af", index=ranks.positive(wide_index(spark, d), "est_water_af")).withColumn("total", F.round("total", 2))
 
 
 @query("w6_rank_and_share", f"WITH {WIDE} SELECT fips, CASE WHEN est_water_af IS NOT NULL THEN rank() OVER (ORDER BY est_water_af DESC NULLS LAST) END AS rank, round(est_water_af / sum(est_water_af) OVER () * 100, 6) AS share FROM wide")
 def w6(spark, d):
-    return ranks.rank_and_share(wide(spark, d), "est_water_af").select("fips", "rank", F.round(F.col("share") * 100, 6).alias("share"))
+    return ranks.rank_and_share(wide(spark, d), "est_water_af", index=wide_index(spark, d)).select("fips", "rank", F.round(F.col("share") * 100, 6).alias("share"))
 
 
 @query("w7c_county_norm", f"""WITH {WIDE}, q AS (SELECT list_sort(list(irrigated_area_ac)) AS s, count(irrigated_area_ac) AS n FROM wide WHERE irrigated_area_ac > 0)
 SELECT fips, CASE WHEN irrigated_area_ac IS NOT NULL THEN round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, (irrigated_area_ac - s[CAST(floor(n * 0.05::DOUBLE) AS BIGINT) + 1])
 / greatest(s[least(n - 1, CAST(floor(n * 0.95::DOUBLE) AS BIGINT)) + 1] - s[CAST(floor(n * 0.05::DOUBLE) AS BIGINT) + 1], 1e-6))), 3) END AS norm_area FROM wide, q""")
 def w7c(spark, d):
-    return ranks.robust_norm(wide(spark, d), {"irrigated_area_ac": "norm_area"}, positive_only=True).select("fips", "norm_area")
+    return ranks.robust_norm(wide(spark, d), {"irrigated_area_ac": "norm_area"}, positive_only=True, index=ranks.positive(wide_index(spark, d), "irrigated_area_ac")).select("fips", "norm_area")
 
 
 @query("w8_min_max_risk", f"""WITH {WIDE}, m AS (SELECT *, min(precip_deficit_in) OVER () AS a, max(precip_deficit_in) OVER () AS b, min(irrigated_area_ac) OVER () AS e, max(irrigated_area_ac) OVER () AS f FROM wide WHERE irrigated_area_ac IS NOT NULL)

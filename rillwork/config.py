@@ -119,6 +119,13 @@ HUMAN = ["centerpivot_ratio", "irr_dependency", "avg_farm_size_ac", "farm_count"
 TARGET, LOG_TARGET = "crop_water_eff", "log_crop_water_eff"
 CLUSTER_FEATURES = ["eto_avg_in", "precip_deficit_in", "drought_intensity", "elevation_ft", "avg_farm_size_ac",
                     "crop_diversity_hhi", "tenant_ratio", "poverty_rate", "irr_dependency"]
+# -- fixed values: treatments of the subgroup table and what they adjust for -------------------------------------
+_SUBGROUP_CONTROLS = [*CLIMATE, "awc_mean", "clay_pct", "median_income"]
+SUBGROUP_TREATMENTS = {
+    "poverty_rate": [*_SUBGROUP_CONTROLS, "avg_farm_size_ac"],
+    "avg_farm_size_ac": [*_SUBGROUP_CONTROLS, "poverty_rate"],
+    "crop_diversity_hhi": [*_SUBGROUP_CONTROLS, "poverty_rate", "avg_farm_size_ac"],
+}
 LABELS = {
     "crop_diversity_hhi": "Crop Diversity HHI", "high_water_crop_share": "High-Water Crop Share",
     "poverty_rate": "Poverty Rate", "median_income": "Median Income", "avg_farm_size_ac": "Avg Farm Size (ac)",

@@ -6,21 +6,19 @@ from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 from pyspark.ml import Estimator
-from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, Window, functions as F
 
 from rillwork import config
 from rillwork.functions import columns as X
-from rillwork.operators import ranks
+from rillwork.operators import gram, lloyd, ranks
 
 
-def impute_medians(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, list[str]]:
+def impute_medians(df: DataFrame, cols: Sequence[str], index: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
     """Fill nulls with exact column medians; columns without any value are left out of the returned list."""
-    med = ranks.quantile_row(df, {c: (c, 0.5) for c in cols}).first()
+    med = ranks.quantile_row(df, {c: (c, 0.5) for c in cols}, index=index).first()
     kept = [c for c in cols if med[c] is not None]
     return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(med[c])) for c in kept}), kept
 
@@ -84,23 +82,19 @@ def role_shares(importances: DataFrame) -> DataFrame:
     return ranks.with_scalars(by_role, total).select("role", (F.col("s") / F.col("_t")).alias("share"))
 
 
-def lasso(df: DataFrame, features: Sequence[str], target: str, fold: str = "fold", grid: int = 100, eps: float = 1e-3,
-          folds: int = 5, parallelism: int = 4):
-    """L1 regression on standardised columns, penalty chosen by cross-validated error on a log grid."""
-    top = df.agg(*[F.abs(F.covar_pop(c, target)).alias(f"c{i}") for i, c in enumerate(features)]).first()
-    alpha_max = max(v or 0.0 for v in top) or 1.0
-    alphas = [float(a) for a in np.geomspace(alpha_max * eps, alpha_max, grid)]
-    lr = LinearRegression(featuresCol="features", labelCol=target, elasticNetParam=1.0, standardization=False,
-                          maxIter=5000, tol=1e-8)
-    maps = ParamGridBuilder().addGrid(lr.regParam, alphas).build()
-    cv = CrossValidator(estimator=lr, estimatorParamMaps=maps, numFolds=folds, foldCol=fold, parallelism=parallelism,
-                        evaluator=RegressionEvaluator(labelCol=target, metricName="mse"))
-    return cv.fit(df).bestModel
+def lasso(df: DataFrame, features: Sequence[str], target: str, block: str = "block", folds: int = 5, grid: int = 100, eps: float = 1e-3) -> tuple[float, np.ndarray, float]:
+    """L1 regression on standardised columns: (penalty, coefficients, cross-validated R2), all from one scan.
 
+    ``block`` numbers the rows' consecutive blocks, ``folds`` squared of them, so that the folds inside a training part are whole blocks too.
+    """
+    parts = gram.collect_moments(df, [*features, target], block)
+    alpha, coefs = gram.lasso_cv(parts, folds, grid, eps)
+    return alpha, coefs, gram.lasso_r2(parts, folds, grid=grid, eps=eps)
 
-def coefficient_rows(df: DataFrame, model, features: Sequence[str], roles: Mapping[str, str]) -> DataFrame:
+
+def coefficient_rows(df: DataFrame, coefs: Sequence[float], features: Sequence[str], roles: Mapping[str, str]) -> DataFrame:
     """Non-zero coefficients, strongest first, with the sign."""
-    rows = [(f, roles.get(f, ""), float(c)) for f, c in zip(features, model.coefficients) if c != 0]
+    rows = [(f, roles.get(f, ""), float(c)) for f, c in zip(features, coefs) if c != 0]
     out = df.sparkSession.createDataFrame(rows, "feature string, role string, coef double")
     return out.withColumn("direction", F.when(F.col("coef") > 0, "positive").otherwise("negative")) \
               .orderBy(F.desc(F.abs("coef")), "feature")
@@ -140,14 +134,6 @@ def half_importances(df: DataFrame, by: str, features: Sequence[str], target: st
 # -- clusters ----------------------------------------------------------------------------------------------------
 
 
-def best_kmeans(df: DataFrame, k: int, restarts: int = 10, seed: int = 42, iterations: int = 100) -> tuple[KMeansModel, float]:
-    """Lowest cost over several starts."""
-    fits = [KMeans(featuresCol="features", predictionCol="cluster_id", k=k, seed=seed + r, maxIter=iterations).fit(df)
-            for r in range(restarts)]
-    best = min(fits, key=lambda m: m.summary.trainingCost)
-    return best, float(best.summary.trainingCost)
-
-
 def elbow(costs: Mapping[int, float]) -> int:
     """k with the largest second difference of the cost curve, shifted by one and clamped to the searched range."""
     ks = sorted(costs)
@@ -198,10 +184,11 @@ def cluster_entities(df: DataFrame, key: str, features: Sequence[str], target: s
     filled, kept = impute_medians(base, features)
     cols = [*kept, target]
     scaled, _ = standardize(filled, cols, "_z")
-    data = stage(scaled.select(key, *cols, *[c + "_z" for c in cols]))
-    vec = assemble(data, [c + "_z" for c in cols]).select(key, *cols, "features").cache()
-    costs = {k: best_kmeans(vec, k, restarts)[1] for k in k_range}
-    model, _ = best_kmeans(vec, elbow(costs), final_restarts)
-    assigned = model.transform(vec).select(key, *cols, "cluster_id")
+    data = stage(scaled.select(key, *cols, F.array(*[c + "_z" for c in cols]).alias("features")))
+    costs = {k: cost for k, (_, cost) in lloyd.best_of(data, key, list(k_range), restarts).items()}
+    k = elbow(costs)
+    centres = lloyd.best_of(data, key, [k], final_restarts, seed=43)[k][0]
+    centres = centres[np.lexsort(np.round(centres, 6).T)]  # numbered by the target's centre, so that a rerun gives the same ids
+    assigned = stage(lloyd.assigned(data, centres).select(key, *cols, "cluster_id"))
     curve = df.sparkSession.createDataFrame(sorted(costs.items()), "k int, cost double")
     return assigned, centre_rows(assigned, cols), curve

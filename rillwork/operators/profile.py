@@ -16,9 +16,9 @@ from rillwork.functions.stats import pearson_p
 from rillwork.operators import ranks
 
 
-def distribution(df: DataFrame, col: str, digits: int = 2) -> DataFrame:
+def distribution(df: DataFrame, col: str, digits: int = 2, index: DataFrame | None = None) -> DataFrame:
     """n, mean, median, sample deviation and five percentiles: one row."""
-    q = ranks.quantile_row(df, {"median": (col, 0.5), **{f"p{p}": (col, p / 100) for p in (10, 25, 50, 75, 90)}})
+    q = ranks.quantile_row(df, {"median": (col, 0.5), **{f"p{p}": (col, p / 100) for p in (10, 25, 50, 75, 90)}}, index=index)
     m = df.agg(F.count(col).alias("n"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"))
     return ranks.with_scalars(m, q).select(
         "n", *[F.round(c, digits).alias(c) for c in ("mean", "median", "std", "p10", "p25", "p50", "p75", "p90")])
@@ -116,10 +116,10 @@ def _r2(corr: np.ndarray, k: int) -> float:
     return float(corr[others, k] @ beta)
 
 
-def high_low(df: DataFrame, target: str, features: Sequence[str], lo: float = 0.33, hi: float = 0.66, first: int = 10) -> DataFrame:
+def high_low(df: DataFrame, target: str, features: Sequence[str], lo: float = 0.33, hi: float = 0.66, first: int = 10, index: DataFrame | None = None) -> DataFrame:
     """Medians of features in the top and the bottom third of the target, and their ratio."""
     feats = list(features)[:first]
-    cut = ranks.quantile_row(df, {"_lo": (target, lo), "_hi": (target, hi)}).first()
+    cut = ranks.quantile_row(df, {"_lo": (target, lo), "_hi": (target, hi)}, index=index).first()
     split = df.select(*[F.when(F.col(target) >= cut["_hi"], F.col(c)).alias(f"h{i}") for i, c in enumerate(feats)],
                       *[F.when(F.col(target) <= cut["_lo"], F.col(c)).alias(f"l{i}") for i, c in enumerate(feats)])
     med = ranks.quantile_row(split, {f"{s}{i}": (f"{s}{i}", 0.5) for s in "hl" for i in range(len(feats))})
@@ -130,11 +130,11 @@ def high_low(df: DataFrame, target: str, features: Sequence[str], lo: float = 0.
                        F.round(F.col("h") / F.col("l"), 2).alias("ratio"))
 
 
-def histogram(df: DataFrame, col: str, bins: int = 60, clip_q: float | None = 0.99) -> DataFrame:
+def histogram(df: DataFrame, col: str, bins: int = 60, clip_q: float | None = 0.99, index: DataFrame | None = None) -> DataFrame:
     """Equal-width counts between the smallest value and the (clipped) largest; the last bin is closed."""
     base = df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull())
     if clip_q is not None:
-        top = ranks.quantile_row(base, {"_top": ("v", clip_q)})
+        top = ranks.quantile_row(base, {"_top": (col if index is not None else "v", clip_q)}, index=index)
         base = ranks.with_scalars(base, top).select(F.least("v", "_top").alias("v"))
     edge = base.agg(F.min("v").alias("_a"), F.max("v").alias("_b"))
     x = ranks.with_scalars(base, edge)

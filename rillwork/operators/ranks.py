@@ -4,6 +4,9 @@ Spark runs ``Window.orderBy`` without a partition, and exact ``percentile``, in
 merged into (value, count), so that a value held by a third of all rows is one row; the merged values are dealt to
 value ranges and staged; the counts of the ranges, one row each, give every range its offset; and windows run inside
 a range only. The same plan serves every size: there are as many ranges as shuffle partitions.
+
+``value_index`` keeps the result for all columns of a frame. Functions that take ``index`` then read the few columns and
+rows they need from it, without a shuffle of the frame's values and without writing anything.
 """
 
 from __future__ import annotations
@@ -46,6 +49,23 @@ def _offsets(long: DataFrame, by: Sequence[str], descending: bool = False, sums:
     return joined.drop("_r", *[f"_{a}_start" for a in adds])
 
 
+def value_index(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Places of all values of ``cols``: feature, v, n, s (value times count), and their sums before the value and in total."""
+    return _offsets(_long(df, cols), ["feature"], sums=True)
+
+
+def positive(index: DataFrame, col: str) -> DataFrame:
+    """The index of the positive values of one column alone."""
+    mine = _of(index, [col])
+    below = mine.where("v <= 0").agg(F.coalesce(F.max(F.col("n_before") + F.col("n")), F.lit(0)).alias("_n"), F.coalesce(F.sum("s"), F.lit(0.0)).alias("_s"))
+    x = with_scalars(mine.where("v > 0"), below)
+    return x.select("feature", "v", "n", "s", *[(F.col(f"{a}_{k}") - F.col(f"_{a}")).alias(f"{a}_{k}") for a in ("n", "s") for k in ("before", "total")])
+
+
+def _of(index: DataFrame, cols: Sequence[str]) -> DataFrame:
+    return index.where(F.col("feature").isin(list(dict.fromkeys(cols))))
+
+
 # -- quantiles ------------------------------------------------------------------------------------------------
 
 def _pick(feature: str, p: float, rule: str) -> Column:
@@ -68,13 +88,16 @@ def _long(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFra
     return df.select(*by, F.explode(F.filter(pieces, lambda e: e["v"].isNotNull())).alias("e")).select(*by, "e.feature", "e.v")
 
 
-def quantile_row(df: DataFrame, wanted: Mapping[str, tuple[str, float]], rule: str = "linear") -> DataFrame:
-    """Exact quantiles as one row. ``wanted``: output name -> (column, probability).
+def quantile_row(df: DataFrame, wanted: Mapping[str, tuple[str, float]], rule: str = "linear", index: DataFrame | None = None, counts: Sequence[str] = ()) -> DataFrame:
+    """Exact quantiles as one row. ``wanted``: output name -> (column, probability); ``counts``: columns whose known values are counted as n_<column>.
 
     rule='linear' interpolates between neighbours; rule='index' takes the value at floor(n*p), clamped to the last.
+    ``index`` is the ``value_index`` of these rows.
     """
-    merged = _offsets(_long(df, list(dict.fromkeys(c for c, _ in wanted.values()))), ["feature"])
-    return merged.agg(*[_pick(c, p, rule).alias(name) for name, (c, p) in wanted.items()])
+    cols = list(dict.fromkeys([*(c for c, _ in wanted.values()), *counts]))
+    merged = _of(index, cols) if index is not None else _offsets(_long(df, cols), ["feature"])
+    known = [F.coalesce(F.max(F.when(F.col("feature") == c, F.col("n_total"))), F.lit(0)).alias(f"n_{c}") for c in counts]
+    return merged.agg(*[_pick(c, p, rule).alias(name) for name, (c, p) in wanted.items()], *known)
 
 
 def group_quantiles(df: DataFrame, by: str, wanted: Mapping[str, tuple[str, float]]) -> DataFrame:
@@ -95,8 +118,12 @@ def with_scalars(df: DataFrame, row: DataFrame) -> DataFrame:
 
 # -- prefix sums over distinct values ------------------------------------------------------------------------------
 
-def value_prefix(df: DataFrame, col: str, descending: bool = False, sums: bool = False) -> DataFrame:
+def value_prefix(df: DataFrame, col: str, descending: bool = False, sums: bool = False, index: DataFrame | None = None) -> DataFrame:
     """One row per distinct value of ``col``: its count ``n``, rows before it ``n_before``, ``n_total``; with ``sums`` also s, s_before, s_total."""
+    if index is not None:
+        adds = ["n", "s"] if sums else ["n"]
+        before = lambda a: (F.col(f"{a}_total") - F.col(f"{a}_before") - F.col(a) if descending else F.col(f"{a}_before")).alias(f"{a}_before")
+        return _of(index, [col]).select(F.col("v").alias(col), *[x for a in adds for x in (F.col(a), before(a), F.col(f"{a}_total"))])
     return _offsets(df.select(_number(F.col(col)).alias("v")), [], descending, sums).withColumnRenamed("v", col)
 
 
@@ -117,7 +144,7 @@ def attach_by_value(df: DataFrame, col: str, lookup: DataFrame, outs: Sequence[s
     return left.join(right, ["_key", "_salt"], "left").select(*df.columns, *[F.col(f"_got_{o}").alias(o) for o in outs])
 
 
-def rank_pct(df: DataFrame, col: str, out: str, scale: float = 1.0, digits: int | None = None, pre_round: int | None = None) -> DataFrame:
+def rank_pct(df: DataFrame, col: str, out: str, scale: float = 1.0, digits: int | None = None, pre_round: int | None = None, index: DataFrame | None = None) -> DataFrame:
     """Percentile rank: ties share their average rank, divided by the non-null count; nulls stay null."""
     pct = (F.col("n_before") + (F.col("n") + 1) / 2) / F.col("n_total")
     if pre_round is not None:
@@ -125,21 +152,21 @@ def rank_pct(df: DataFrame, col: str, out: str, scale: float = 1.0, digits: int
     pct = pct * scale
     if digits is not None:
         pct = F.round(pct, digits)
-    return attach_by_value(df, col, value_prefix(df, col).select(col, pct.alias(out)), [out])
+    return attach_by_value(df, col, value_prefix(df, col, index=index).select(col, pct.alias(out)), [out])
 
 
-def rank_and_share(df: DataFrame, col: str, rank_out: str = "rank", share_out: str | None = "share") -> DataFrame:
+def rank_and_share(df: DataFrame, col: str, rank_out: str = "rank", share_out: str | None = "share", index: DataFrame | None = None) -> DataFrame:
     """Competition rank from the top and, optionally, the share of the grand total."""
     outs = {rank_out: F.col("n_before") + 1}
     if share_out:
         outs[share_out] = F.col(col) / F.when(F.col("s_total") != 0, F.col("s_total"))
-    d = value_prefix(df, col, descending=True, sums=share_out is not None)
+    d = value_prefix(df, col, descending=True, sums=share_out is not None, index=index)
     return attach_by_value(df, col, d.select(col, *[e.alias(k) for k, e in outs.items()]), list(outs))
 
 
-def pareto(df: DataFrame, col: str, shares: Sequence[float] = (0.5, 0.8)) -> DataFrame:
+def pareto(df: DataFrame, col: str, shares: Sequence[float] = (0.5, 0.8), index: DataFrame | None = None) -> DataFrame:
     """How many of the largest entities reach each share of the total: one row."""
-    d = value_prefix(df, col, descending=True, sums=True)
+    d = value_prefix(df, col, descending=True, sums=True, index=index)
     aggs = []
     for share in shares:
         goal = F.col("s_total") * share
@@ -153,11 +180,11 @@ def pareto(df: DataFrame, col: str, shares: Sequence[float] = (0.5, 0.8)) -> Dat
 
 def robust_norm(df: DataFrame, cols: Mapping[str, str], lo: float = 0.05, hi: float = 0.95,
                 reverse: Sequence[str] = (), positive_only: bool = False, digits: int = 3,
-                shared: Sequence[Sequence[str]] = ()) -> DataFrame:
+                shared: Sequence[Sequence[str]] = (), index: DataFrame | None = None) -> DataFrame:
     """Scale to [0, 1] between two index percentiles, clamped; ``reverse`` columns run the other way.
 
     ``cols``: column -> output name. ``positive_only`` leaves zeros and negatives out of the percentile set.
-    ``shared``: lists of columns that use one common scale.
+    ``shared``: lists of columns that use one common scale. ``index`` is the ``value_index`` of the percentile set.
     """
     source = {c: c for c in cols}
     for i, grp in enumerate(shared):
@@ -172,7 +199,7 @@ def robust_norm(df: DataFrame, cols: Mapping[str, str], lo: float = 0.05, hi: fl
     else:
         base = df.select(*[as_value(c).cast("double").alias(c) for c in cols])
     wanted = {f"_{s}_{k}": (s, p) for s in names for k, p in (("lo", lo), ("hi", hi))}
-    out = with_scalars(df, quantile_row(base, wanted, rule="index"))
+    out = with_scalars(df, quantile_row(base, wanted, rule="index", index=index))
     for c, name in cols.items():
         s = source[c]
         width = F.greatest(F.col(f"_{s}_hi") - F.col(f"_{s}_lo"), F.lit(1e-6))

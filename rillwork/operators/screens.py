@@ -13,9 +13,9 @@ from rillwork.operators import ranks
 TOP_N = 200
 
 
-def with_percentile(df: DataFrame, target: str = config.TARGET, out: str = "eff_percentile") -> DataFrame:
+def with_percentile(df: DataFrame, target: str = config.TARGET, out: str = "eff_percentile", index: DataFrame | None = None) -> DataFrame:
     """Percentile of the target on a 0-100 scale, one decimal."""
-    return ranks.rank_pct(df, target, out, scale=100.0, digits=1)
+    return ranks.rank_pct(df, target, out, scale=100.0, digits=1, index=index)
 
 
 def screen_rows(df: DataFrame, extra: Mapping[str, tuple[str, int]], label: str, target: str = config.TARGET) -> DataFrame:
@@ -25,33 +25,43 @@ def screen_rows(df: DataFrame, extra: Mapping[str, tuple[str, int]], label: str,
                      *[z(c, k).alias(o) for o, (c, k) in extra.items()], F.lit(label).alias("insight"))
 
 
-def _cuts(dm: DataFrame, wanted: Mapping[str, tuple[str, float]]) -> dict[str, Column]:
-    """Thresholds as constants, so that the comparisons reach the scan."""
-    row = ranks.quantile_row(dm, wanted).first()
-    return {k: F.lit(row[k]).cast("double") for k in wanted}
+#: Thresholds of the screens: name -> (column, probability), over the rows with a target.
+CUTS = {"lhf_deficit": ("precip_deficit_in", 0.60), "soil": ("awc_mean", 0.40), "soil_mid": ("awc_mean", 0.50), "poverty": ("poverty_rate", 0.60), "size": ("avg_farm_size_ac", 0.70),
+        "vwe_deficit": ("precip_deficit_in", 0.70), "irr": ("irrigated_area_ac", 0.65), "dual_deficit": ("precip_deficit_in", 0.65), "irr_intensity": ("irr_intensity", 0.65)}
 
 
-def low_hanging_fruit(df: DataFrame, top: int = TOP_N, target: str = config.TARGET, min_soil: int = 100) -> DataFrame:
+def with_intensity(df: DataFrame) -> DataFrame:
+    """Irrigated area per unit of rain."""
+    return df.withColumn("irr_intensity", X.ratio("irrigated_area_ac", "precip_avg_in"))
+
+
+def thresholds(df: DataFrame, target: str = config.TARGET, index: DataFrame | None = None) -> dict[str, Column]:
+    """All thresholds of the three screens as constants, so that the comparisons reach the scan: one aggregate.
+
+    ``index`` is the ``ranks.value_index`` of the rows with a target.
+    """
+    dm = with_intensity(df.where(F.col(target).isNotNull()))
+    row = ranks.quantile_row(dm, CUTS, index=index, counts=["awc_mean"]).first()
+    return {k: F.lit(row[k]).cast("double") for k in CUTS} | {"n_soil": F.lit(row["n_awc_mean"])}
+
+
+def low_hanging_fruit(df: DataFrame, top: int = TOP_N, target: str = config.TARGET, min_soil: int = 100, cuts: Mapping[str, Column] | None = None) -> DataFrame:
     """Moderate climate and fair soil, but poverty or large farms and low efficiency; lowest efficiency first."""
-    dm = df.where(F.col(target).isNotNull())
-    q = _cuts(dm, {"deficit": ("precip_deficit_in", 0.60), "soil": ("awc_mean", 0.40), "soil_mid": ("awc_mean", 0.50),
-                   "poverty": ("poverty_rate", 0.60), "size": ("avg_farm_size_ac", 0.70)})
-    known_soil = dm.agg(F.count("awc_mean")).first()[0]
-    soil_ok = F.coalesce(F.col("awc_mean"), q["soil_mid"]) > q["soil"] if known_soil > min_soil else F.lit(True)
-    hit = ((F.col("precip_deficit_in") < q["deficit"]) & soil_ok & (F.col("eff_percentile") < 40)
+    q = cuts or thresholds(df, target)
+    soil_ok = (q["n_soil"] <= min_soil) | (F.coalesce(F.col("awc_mean"), q["soil_mid"]) > q["soil"])
+    hit = ((F.col("precip_deficit_in") < q["lhf_deficit"]) & soil_ok & (F.col("eff_percentile") < 40)
            & ((F.col("poverty_rate") > q["poverty"]) | (F.col("avg_farm_size_ac") > q["size"])))
-    sel = dm.where(hit).orderBy(target, "fips").limit(top)
+    sel = df.where(F.col(target).isNotNull() & hit).orderBy(target, "fips").limit(top)
     return screen_rows(sel, {"precip_deficit_in": ("precip_deficit_in", 1), "poverty_rate": ("poverty_rate", 1),
                              "avg_farm_size_ac": ("avg_farm_size_ac", 0)}, "Low-Hanging Fruit", target)
 
 
-def virtual_water_exporters(df: DataFrame, top: int = TOP_N, target: str = config.TARGET) -> DataFrame:
+def virtual_water_exporters(df: DataFrame, top: int = TOP_N, target: str = config.TARGET, cuts: Mapping[str, Column] | None = None) -> DataFrame:
     """Dry places with large irrigation and low efficiency; driest first."""
-    dm = df.where(F.col(target).isNotNull())
-    q = _cuts(dm, {"deficit": ("precip_deficit_in", 0.70), "irr": ("irrigated_area_ac", 0.65)})
-    hit = ((F.col("precip_deficit_in") > q["deficit"]) & (F.col("irrigated_area_ac") > q["irr"])
+    q = cuts or thresholds(df, target)
+    hit = ((F.col("precip_deficit_in") > q["vwe_deficit"]) & (F.col("irrigated_area_ac") > q["irr"])
            & (F.col("eff_percentile") < 45))
-    sel = dm.where(hit).orderBy(F.desc("precip_deficit_in"), "fips").limit(top)
+    sel = df.where(F.col(target).isNotNull() & hit).orderBy(F.desc("precip_deficit_in"), "fips").limit(top)
     return screen_rows(sel, {"precip_deficit_in": ("precip_deficit_in", 1)}, "Virtual Water Exporter", target)
 
 
@@ -60,11 +70,11 @@ def risk_score(df: DataFrame, a: str, b: str, out: str = "risk_score") -> DataFr
     return ranks.min_max(df, {a: "_na", b: "_nb"}).withColumn(out, F.col("_na") + F.col("_nb")).drop("_na", "_nb")
 
 
-def dual_exposure(df: DataFrame, top: int = TOP_N, target: str = config.TARGET) -> DataFrame:
+def dual_exposure(df: DataFrame, top: int = TOP_N, target: str = config.TARGET, cuts: Mapping[str, Column] | None = None) -> DataFrame:
     """Dry places with much irrigation per unit of rain and real output; highest combined score first."""
-    dm = df.where(F.col(target).isNotNull()).withColumn("irr_intensity", X.ratio("irrigated_area_ac", "precip_avg_in"))
-    q = _cuts(dm, {"deficit": ("precip_deficit_in", 0.65), "irr": ("irr_intensity", 0.65)})
-    hit = ((F.col("precip_deficit_in") > q["deficit"]) & (F.col("irr_intensity") > q["irr"]) & (F.col("eff_percentile") > 30))
+    q = cuts or thresholds(df, target)
+    dm = with_intensity(df.where(F.col(target).isNotNull()))
+    hit = ((F.col("precip_deficit_in") > q["dual_deficit"]) & (F.col("irr_intensity") > q["irr_intensity"]) & (F.col("eff_percentile") > 30))
     sel = risk_score(dm.where(hit), "precip_deficit_in", "irr_intensity").orderBy(F.desc(F.round("risk_score", 9)), "fips").limit(top)
     return screen_rows(sel, {"precip_deficit_in": ("precip_deficit_in", 1), "irrigated_area_ac": ("irrigated_area_ac", 0),
                              "irr_intensity": ("irr_intensity", 2)}, "Dual Exposure", target)

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
-from rillwork.operators import attribution, effects, models, profile, raster, screens
+from rillwork.functions.stats import poisson_one, t_p_value, t_two_sided
+from rillwork.operators import attribution, effects, gram, lloyd, models, newton, profile, raster, screens
 from rillwork.session import stage
 
 
@@ -64,10 +65,151 @@ def test_importances_and_folds(spark, sample):
 
 
 def test_lasso_finds_the_support(sample):
-    z, _ = models.standardize(models.contiguous_folds(sample, "key", 3), ["x1", "x2", "x3"])
-    model = models.lasso(models.assemble(z, ["x1", "x2", "x3"]), ["x1", "x2", "x3"], "y", grid=4, folds=3)
-    c = model.coefficients
-    assert c[0] > 1 and c[1] < -0.7 and abs(c[2]) < 0.2
+    z, _ = models.standardize(models.contiguous_folds(sample, "key", 25), ["x1", "x2", "x3"])
+    _, c, r2 = models.lasso(z, ["x1", "x2", "x3"], "y", "fold", grid=20)
+    assert c[0] > 1 and c[1] < -0.7 and abs(c[2]) < 0.2 and 0.5 < r2 < 1
+
+
+def proximal_lasso(x, y, alpha):
+    """Another way to the same minimum: accelerated proximal gradient steps on centred data."""
+    xc, yc, n = x - x.mean(0), y - y.mean(), len(y)
+    step, b, v, t = n / np.linalg.norm(xc, 2) ** 2, np.zeros(x.shape[1]), np.zeros(x.shape[1]), 1.0
+    for _ in range(20000):
+        g = v + step * xc.T @ (yc - xc @ v) / n
+        new = np.sign(g) * np.maximum(np.abs(g) - step * alpha, 0)
+        t, old = (1 + math.sqrt(1 + 4 * t * t)) / 2, t
+        v, b = new + (old - 1) / t * (new - b), new
+    return b
+
+
+def test_lasso_from_moments_equals_row_fits(sample):
+    cols = ["x1", "x2", "x3", "t"]
+    z, _ = models.standardize(models.contiguous_folds(sample, "key", 25), cols)
+    parts = gram.collect_moments(z, [*cols, "y"], "fold")
+    data = np.array([[*r] for r in z.orderBy("key").select(*cols, "y", "fold").collect()])
+    x, y, block = data[:, :4], data[:, 4], data[:, 5].astype(int)
+    alphas = gram.penalties(gram.total(parts), 30, 1e-3)
+    assert len(parts) == 25 and alphas[0] == pytest.approx(np.abs((x - x.mean(0)).T @ (y - y.mean())).max() / len(y))
+    errors = np.zeros((5, 30))
+    for f in range(5):
+        out = (block // 5) == f
+        path = gram.lasso_path(gram.total([p for i, p in enumerate(parts) if i // 5 != f]), alphas)
+        for k in (0, 7, 15, 29):
+            b = proximal_lasso(x[~out], y[~out], alphas[k])
+            assert path[k] == pytest.approx(b, abs=1e-6)
+        for k, b in enumerate(path):
+            errors[f, k] = ((y[out] - (y[~out].mean() - x[~out].mean(0) @ b) - x[out] @ b) ** 2).mean()
+    alpha, coefs = gram.lasso_cv(parts, grid=30)
+    assert alpha == pytest.approx(alphas[errors.mean(0).argmin()])
+    assert coefs == pytest.approx(proximal_lasso(x, y, alpha), abs=1e-6)
+
+
+def numpy_logistic(x, t, strength):
+    x1, b = np.column_stack([np.ones(len(t)), x]), np.zeros(x.shape[1] + 1)
+    pen = np.r_[0.0, np.full(x.shape[1], 1 / strength)]
+    for _ in range(200):
+        mu = 1 / (1 + np.exp(-x1 @ b))
+        b = b - 0.5 * np.linalg.solve((x1 * (mu * (1 - mu))[:, None]).T @ x1 + np.diag(pen + 1e-12), x1.T @ (mu - t) + pen * b)
+    return b
+
+
+def test_grouped_newton_equals_single_fits(spark):
+    rng, rows_, data = np.random.default_rng(8), [], {}
+    for m, n in (("a", 300), ("b|x", 120), ("c", 40)):
+        x = rng.normal(size=(n, 3))
+        t = (x @ [1.0, -0.5, 0.0] + rng.normal(size=n) > 0.3).astype(float)
+        fold = rng.integers(0, 5, n)
+        data[m] = (x, t, fold)
+        rows_ += [(m, int(f), float(a), [float(v) for v in r]) for f, a, r in zip(fold, t, x)]
+    frame = spark.createDataFrame(rows_, "model string, fold int, t double, x array<double>").repartition(7)
+    strengths = list(np.logspace(-4, 4, 10))
+    fits = newton.logistic_fits(frame, list(data), 3, strengths, 5)
+    for m, (x, t, fold) in data.items():
+        for c in (0, 4, 7):
+            for f in (0, -1):
+                use = fold != f
+                assert fits[m][c, f] == pytest.approx(numpy_logistic(x[use], t[use], strengths[c]), abs=1e-6)
+    for m, (strength, b) in newton.chosen_fits(frame, list(data), 3, strengths).items():
+        x, t, fold = data[m]
+        right = [[((np.column_stack([np.ones((fold == f).sum()), x[fold == f]]) @ fits[m][c, f] > 0) == (t[fold == f] > 0.5)).mean() for f in range(5)] for c in range(10)]
+        assert strength == strengths[int(np.argmax(np.round(np.mean(right, axis=1), 12)))]
+        assert b == pytest.approx(numpy_logistic(x, t, strength), abs=1e-6)
+
+
+def test_separable_arms_do_not_stop_the_fits(spark):
+    frame = spark.createDataFrame([("m", i % 5, float(i >= 20), [float(i), 0.0]) for i in range(40)] + [("one", i % 5, 1.0, [float(i), 1.0]) for i in range(10)], "model string, fold int, t double, x array<double>")
+    fits = newton.chosen_fits(frame, ["m", "one"], 2, [0.01, 1e3])
+    assert all(np.isfinite(b).all() for _, b in fits.values()) and fits["m"][1][1] > 0
+
+
+def test_many_models_equal_single_ones(spark, sample):
+    df = sample.withColumn("group", F.when(F.col("x3") > 0, "hi").otherwise("lo")).withColumn("x4", F.when(F.col("x1") > -1, F.col("x2") * 2)).withColumn("void", F.lit(None).cast("double"))
+    plan = {"t": ["x1", "x2", "x4", "void"], "x3": ["x1", "x2", "t"]}
+    both = {(r["treatment_col"], r["group"]): r for r in effects.weighted_models(df, "fips", "y", plan, group="group", estimator="hajek", replicates=20, min_n=40, min_arm=15, strengths=[0.1, 10.0]).collect()}
+    assert set(both) == {(t, g) for t in plan for g in ("hi", "lo")}
+    assert all(r["ate_se"] > 0 for r in both.values())
+    for t, g in (("t", "hi"), ("x3", "lo")):
+        r = both[t, g]
+        one = effects.ipw(df.where(F.col("group") == g), "fips", t, "y", plan[t], estimator="hajek", strengths=[0.1, 10.0])
+        assert {k: one[k] for k in one} == {k: r[k] for k in one}
+    pdf = df.where("group = 'hi'").toPandas()
+    cut = pdf["t"].median()
+    x = pdf[["x1", "x2", "x4"]].fillna(pdf[["x1", "x2", "x4"]].median()).to_numpy()
+    x = (x - x.mean(0)) / x.std(0)
+    t, y = (pdf["t"] > cut).to_numpy(float), pdf["y"].to_numpy()
+    best = None
+    for strength in (0.1, 10.0):
+        b = numpy_logistic(x, t, strength)
+        ps = 1 / (1 + np.exp(-(b[0] + x @ b[1:])))
+        w = np.where(t == 1, 1 / ps, 1 / (1 - ps))
+        w = np.minimum(w, np.percentile(w, 95))
+        ate = round(float(np.average(y[t == 1], weights=w[t == 1]) - np.average(y[t == 0], weights=w[t == 0])), 4)
+        best = best or ate == pytest.approx(both["t", "hi"]["ate"], abs=2e-4)
+    assert best  # the effect under one of the strengths; which one is chosen is tested above
+
+
+def test_bootstrap_error_matches_resampling(spark):
+    rng = np.random.default_rng(3)
+    n = 400
+    t, y = np.arange(n) % 2, rng.normal(size=n) * (1 + np.arange(n) % 3)
+    df = spark.createDataFrame([(f"{i:05d}", "g", float(t[i] + i * 1e-6), float(y[i] + t[i])) for i in range(n)], "fips string, group string, t double, y double")
+    got = effects.group_effects(df, "group", ["g"], "t", "y", key="fips", replicates=400).first()
+    draws = []
+    for _ in range(2000):
+        w = rng.poisson(1, n)
+        draws.append(np.average((y + t)[t == 1], weights=w[t == 1]) - np.average((y + t)[t == 0], weights=w[t == 0]))
+    assert got["ate_se"] == pytest.approx(np.std(draws, ddof=1), rel=0.12)
+    counts = spark.range(40000).select(poisson_one("id", "id").alias("k")).groupBy("k").count().collect()
+    for r in counts:
+        if r["k"] < 5:
+            assert r["count"] / 40000 == pytest.approx(math.exp(-1) / math.factorial(r["k"]), abs=0.01)
+
+
+def test_p_values_without_python(spark):
+    cases = [(t, dof) for t in (0.0, 1e-4, -0.3, 1.0, 1.7, 1.75, -2.5, 4.0, 9.0, 30.0) for dof in (1, 2, 3, 7, 30, 398, 10 ** 5, 10 ** 9)]
+    got = spark.createDataFrame([(float(t), float(d)) for t, d in cases], "t double, d double").select("t", "d", t_p_value(F.col("t"), F.col("d")).alias("p")).collect()
+    for r in got:
+        assert r["p"] == pytest.approx(t_two_sided(r["t"], r["d"]), rel=1e-6, abs=1e-14)
+    odd = spark.createDataFrame([(None, 3.0), (1.0, None), (1.0, 0.0), (float("inf"), 4.0), (float("nan"), 4.0)], "t double, d double").select(t_p_value(F.col("t"), F.col("d")).alias("p"))
+    assert [r["p"] for r in odd.collect()] == [None, None, None, 0.0, None]
+
+
+def test_batched_lloyd_equals_single_runs(spark):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(c, 0.8, size=(80, 3)) for c in (0, 3, 6)])
+    frame = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, features array<double>").repartition(5)
+    starts = {s: lloyd.spread_starts(x, k, rng) for s, k in enumerate([2, 3, 4, 3])}
+    starts[4] = np.array([[0.0, 0, 0], [99.0, 99, 99]])
+    for s, (centres, cost) in lloyd.lloyd(frame, starts).items():
+        c = starts[s].copy()
+        for _ in range(100):
+            near = ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
+            c = np.array([x[near == i].mean(0) if (near == i).any() else c[i] for i in range(len(c))])
+        assert centres == pytest.approx(c, abs=1e-6) and cost == pytest.approx(((x - c[((x[:, None] - c[None]) ** 2).sum(2).argmin(1)]) ** 2).sum())
+        near = ((x[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+        assert [r["cluster_id"] for r in lloyd.assigned(frame, centres).orderBy("id").collect()] == near.tolist()
+    best = lloyd.best_of(frame, "id", [2, 3], 5)
+    assert best[3][1] < best[2][1]
 
 
 def test_standardize_uses_population_deviation(spark):
