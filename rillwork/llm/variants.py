@@ -150,7 +150,9 @@ WITH RECURSIVE steps AS (SELECT list_transform(range(0, 256), lambda b: list_red
      word AS (SELECT word, sum(n)::BIGINT AS n
               FROM (SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2) ELSE w END AS word, n FROM summed)
               WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
-     near AS (SELECT a.word, b.word AS near, b.n AS near_n FROM word a JOIN word b ON abs(length(a.word) - length(b.word)) <= 1 AND a.word <> b.word AND levenshtein(a.word, b.word) = 1),
+     alpha AS (SELECT string_agg(chr((192 + i)::INT), '' ORDER BY i) AS wide, string_agg(chr((33 + i)::INT), '' ORDER BY i) AS narrow FROM range(64) AS r(i)),
+     coded AS (SELECT word, n, translate(word, wide, narrow) AS c FROM word, alpha),
+     near AS (SELECT a.word, b.word AS near, b.n AS near_n FROM coded a JOIN coded b ON abs(length(a.c) - length(b.c)) <= 1 AND a.c <> b.c AND levenshtein(a.c, b.c) = 1),
      best AS (SELECT word, count(*) AS n_near, min({'a': -near_n, 'b': encode(near), 'c': near}) AS top FROM near GROUP BY word),
      form AS (SELECT word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN -top.a >= 10 * n THEN top.c END AS form, CASE WHEN -top.a >= 10 * n THEN -top.a END::BIGINT AS form_n
               FROM word LEFT JOIN best USING (word)),
