@@ -2,7 +2,8 @@
 
 Vectors of one label are split along random directions, again and again, at the median of their projections. A vector
 whose projection lies near the median goes down both sides (spill), so that near vectors rarely part in one tree, and
-hardly ever in all of many trees. Vectors that share a leaf are compared exactly.
+hardly ever in all of many trees. A vector does so once in a tree, so it reaches two leaves of a tree at most, however
+deep the trees are. Vectors that share a leaf are compared exactly.
 """
 
 from __future__ import annotations
@@ -51,11 +52,17 @@ def child(node: int, side: int) -> int:
     return int(mix(np.array([node], np.uint64) * np.uint64(2) + np.uint64(side + 5))[0]) >> 1
 
 
-def grow(x: np.ndarray, tree: int, root: int, depth: int, spill: float) -> dict[int, tuple[float, int]]:
-    """Thresholds of the nodes below ``root``, fitted to a sample: {node: (threshold, depth)}. A node that would send over three quarters of its vectors both ways stays a leaf."""
-    out, todo = {}, [(root, np.arange(len(x)), 0)]
+def split(p: np.ndarray, spilt: np.ndarray, cut: float, spill: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(which vectors, whether they have been on both sides before or are now) of either side of a cut."""
+    both = (np.abs(p - cut) <= spill) & ~spilt
+    return [(side, (spilt | both)[side]) for side in ((p <= cut) | both, (p > cut) | both)]
+
+
+def grow(x: np.ndarray, spilt: np.ndarray, tree: int, root: int, depth: int, spill: float) -> dict[int, tuple[float, int]]:
+    """Thresholds of the nodes below ``root``, fitted to a sample: {node: (threshold, depth)}. A node with over three quarters of its vectors near the cut stays a leaf."""
+    out, todo = {}, [(root, np.arange(len(x)), spilt, 0)]
     while todo:
-        node, at, level = todo.pop()
+        node, at, done, level = todo.pop()
         if level >= depth or len(at) < 8:
             continue
         p = x[at] @ direction(tree, node, x.shape[1])
@@ -63,25 +70,22 @@ def grow(x: np.ndarray, tree: int, root: int, depth: int, spill: float) -> dict[
         if (np.abs(p - cut) <= spill).mean() > 0.75:
             continue
         out[node] = (cut, level)
-        todo.append((child(node, 0), at[p <= cut + spill], level + 1))
-        todo.append((child(node, 1), at[p >= cut - spill], level + 1))
+        todo += [(child(node, side), at[which], now, level + 1) for side, (which, now) in enumerate(split(p, done, cut, spill))]
     return out
 
 
-def descend(x: np.ndarray, tree: int, root: int, cuts: dict[int, tuple[float, int]], spill: float) -> list[tuple[int, np.ndarray]]:
-    """(leaf, indexes of its vectors) of all vectors sent down from ``root``."""
-    out, todo = [], [(root, np.arange(len(x)))]
+def descend(x: np.ndarray, spilt: np.ndarray, tree: int, root: int, cuts: dict[int, tuple[float, int]], spill: float) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(leaf, indexes of its vectors, whether they have spilt) of all vectors sent down from ``root``."""
+    out, todo = [], [(root, np.arange(len(x)), spilt)]
     while todo:
-        node, at = todo.pop()
+        node, at, done = todo.pop()
         if not len(at):
             continue
         if node not in cuts:
-            out.append((node, at))
+            out.append((node, at, done))
             continue
         p = x[at] @ direction(tree, node, x.shape[1])
-        cut = cuts[node][0]
-        todo.append((child(node, 0), at[p <= cut + spill]))
-        todo.append((child(node, 1), at[p >= cut - spill]))
+        todo += [(child(node, side), at[which], now) for side, (which, now) in enumerate(split(p, done, cuts[node][0], spill))]
     return out
 
 
@@ -92,8 +96,8 @@ def plant(vectors: DataFrame, trees: int, leaf: int, sample: int, spill: float)
     node's vectors, those with the smallest hashes, and all of them descend. Rounds go on until no node can be cut, so the trees
     deepen with the data while what a task fits stays bounded. Nodes of near-equal vectors stay as they are.
     """
-    start = vectors.select("id", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), F.shiftright(F.xxhash64("label"), 1).bitwiseAND(F.lit((1 << 62) - 1)).alias("node"))
-    done, now = [], stage(start.select("id", "tree", "node"), "roots")
+    start = vectors.select("id", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), F.shiftright(F.xxhash64("label"), 1).bitwiseAND(F.lit((1 << 62) - 1)).alias("node"), F.lit(False).alias("spilt"))
+    done, now = [], stage(start.select("id", "tree", "node", "spilt"), "roots")
     while True:
         count = now.groupBy("tree", "node").agg(F.count("*").alias("m"))
         large = stage(count.where(F.col("m") > leaf), "large")
@@ -107,30 +111,31 @@ def plant(vectors: DataFrame, trees: int, leaf: int, sample: int, spill: float)
         def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             depth = max(1, math.ceil(math.log2(max(2.0, 2 * float(pdf["m"].iloc[0]) / leaf))))
             pdf = pdf.sort_values("id")
-            cuts = grow(unpacked(pdf["unit"].tolist()), int(key[0]), int(key[1]), min(depth, int(math.log2(sample / 16))), spill)
+            cuts = grow(unpacked(pdf["unit"].tolist()), pdf["spilt"].to_numpy(bool), int(key[0]), int(key[1]), min(depth, int(math.log2(sample / 16))), spill)
             return pd.DataFrame({"tree": [key[0]], "node": [key[1]], "cuts": [pickle.dumps(cuts) if cuts else None]})
 
-        fitted = drawn.join(vectors.select("id", "unit"), "id").select("tree", "node", "m", "id", "unit").groupBy("tree", "node").applyInPandas(
+        fitted = drawn.join(vectors.select("id", "unit"), "id").select("tree", "node", "m", "id", "unit", "spilt").groupBy("tree", "node").applyInPandas(
             fit, "tree int, node long, cuts binary")
         fitted = stage(fitted, "cuts")
         cut = fitted.where("cuts IS NOT NULL")
 
         def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                ids, trees_, leaves = [], [], []
+                ids, trees_, leaves, spilt = [], [], [], []
                 for (tree, node), part in pdf.groupby(["tree", "node"]):
                     cuts, own = pickle.loads(part["cuts"].iloc[0]), part["id"].to_numpy()
-                    for leaf_, at in descend(unpacked(part["unit"].tolist()), int(tree), int(node), cuts, spill):
+                    for leaf_, at, now_ in descend(unpacked(part["unit"].tolist()), part["spilt"].to_numpy(bool), int(tree), int(node), cuts, spill):
                         ids.append(own[at])
+                        spilt.append(now_)
                         trees_.append(np.full(len(at), tree, np.int32))
                         leaves.append(np.full(len(at), leaf_, np.int64))
                 if ids:
-                    yield pd.DataFrame({"id": np.concatenate(ids), "tree": np.concatenate(trees_), "node": np.concatenate(leaves)})
+                    yield pd.DataFrame({"id": np.concatenate(ids), "tree": np.concatenate(trees_), "node": np.concatenate(leaves), "spilt": np.concatenate(spilt)})
 
         stuck = fitted.where("cuts IS NULL").select("tree", "node")
         done.append(now.join(stuck, ["tree", "node"]).select("tree", F.col("node").alias("leaf"), "id"))
-        now = stage(big.join(cut, ["tree", "node"]).join(vectors.select("id", "unit"), "id").select("id", "tree", "node", "unit", "cuts").sortWithinPartitions("tree", "node").mapInPandas(
-            send, "id long, tree int, node long"), "nodes")
+        now = stage(big.join(cut, ["tree", "node"]).join(vectors.select("id", "unit"), "id").select("id", "tree", "node", "spilt", "unit", "cuts").sortWithinPartitions("tree", "node").mapInPandas(
+            send, "id long, tree int, node long, spilt boolean"), "nodes")
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
@@ -149,11 +154,15 @@ def compare(rows: Iterator[pd.DataFrame], least: float) -> Iterator[pd.DataFrame
     def solve(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("id", kind="stable")
         v, ids, copies, block = unpacked(group["unit"].tolist()), group["id"].to_numpy(), group["copies"].to_numpy(), group["block"].to_numpy()
-        code = np.int64(int(group["code"].iloc[0]))
-        m, width = len(v), max(map(len, group["codes"]))
-        codes = np.full((m, width), np.iinfo(np.int64).max)
-        for i, c in enumerate(group["codes"]):
-            codes[i, :len(c)] = c
+        tree, code, m = int(group["tree"].iloc[0]), int(group["code"].iloc[0]), len(group)
+        # the one or two leaves of every vector in each tree up to this one; a second leaf it does not have is a number of its own
+        leaves = np.repeat(-1 - np.arange(m)[:, None], 2 * (tree + 1), 1)
+        size = group["codes"].map(len).to_numpy()
+        flat, of = np.concatenate(group["codes"].tolist()), np.repeat(np.arange(m), size)
+        place = 2 * (flat >> 58)
+        place[1:] += (flat[1:] >> 58 == flat[:-1] >> 58) & (of[1:] == of[:-1])
+        seen = place < 2 * (tree + 1)
+        leaves[of[seen], place[seen]] = flat[seen]
         n, root = np.zeros(m, np.int64), np.arange(m)
 
         def find(i):
@@ -169,18 +178,16 @@ def compare(rows: Iterator[pd.DataFrame], least: float) -> Iterator[pd.DataFrame
             near[np.arange(len(mine)), mine] = False
             if across:
                 near &= block[mine][:, None] != block[None]
-            p, q = np.nonzero(near)
-            for at in range(0, len(p), 200_000):
-                a, b = mine[p[at:at + 200_000]], q[at:at + 200_000]
-                first, open_ = np.full(len(a), np.iinfo(np.int64).max), np.arange(len(a))
-                for k in range(width):  # codes are sorted, so the first common one is the smallest
-                    shared = (codes[b[open_]] == codes[a[open_], k][:, None]).any(axis=1)
-                    first[open_[shared]] = codes[a[open_[shared]], k]
-                    open_ = open_[~shared]
-                    if not len(open_):
-                        break
-                own = first == code
-                np.add.at(n, a[own], copies[b[own]])
+            if near.any():
+                earlier = np.zeros(near.shape, bool)
+                for k in range(tree):
+                    for a in (2 * k, 2 * k + 1):
+                        for b in (2 * k, 2 * k + 1):
+                            earlier |= leaves[mine, a][:, None] == leaves[None, :, b]
+                for a in (2 * tree, 2 * tree + 1):  # a smaller leaf of this tree that both have
+                    low = leaves[mine, a]
+                    earlier |= ((low >= 0) & (low < code))[:, None] & ((low[:, None] == leaves[None, :, 2 * tree]) | (low[:, None] == leaves[None, :, 2 * tree + 1]))
+                n[mine] += (near & ~earlier) @ copies
             for a, b in zip(*(z[(near.any(axis=1))] for z in (mine, near.argmax(axis=1)))):  # one link of each vector, then all others by component
                 x, y = find(int(a)), find(int(b))
                 root[max(x, y)] = min(x, y)
@@ -235,13 +242,14 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embe
     leaves = stage(plant(one.select("id", "label", "unit"), trees, leaf, sample, half), "leaves")
     code = F.shiftleft(F.col("tree").cast("long"), 58).bitwiseOR(F.col("leaf").bitwiseAND(F.lit((1 << 58) - 1)))
     coded = leaves.withColumn("code", code)
-    codes = coded.groupBy("id").agg(F.sort_array(F.collect_set("code")).alias("codes"))  # a few dozen per vector
+    codes = coded.groupBy("id").agg(F.sort_array(F.collect_set("code")).alias("codes"))  # two of a tree at most
     full = coded.groupBy("code").agg(F.count("*").alias("m")).where("m > 1")
     shared = coded.join(full, "code").join(codes, "id").join(one.select("id", "unit", "copies"), "id")
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number is not merged into fewer tasks
     blocks = F.ceil(F.col("m") / block).cast("int")
     shared = shared.withColumn("block", F.pmod(F.xxhash64("id", F.lit(5)), blocks).cast("int"))
     shared = shared.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
-    shaped = shared.select("tree", "leaf", "x", "y", "block", "code", "codes", "id", "copies", "unit").repartition("code", "x", "y").sortWithinPartitions("tree", "leaf", "x", "y")
+    shaped = shared.select("tree", "leaf", "x", "y", "block", "code", "codes", "id", "copies", "unit").repartition(tasks, "code", "x", "y").sortWithinPartitions("tree", "leaf", "x", "y")
     found = stage(shaped.mapInPandas(lambda it: compare(it, least), "id long, n long, root long"), "found")
     linked = found.groupBy("id").agg(F.sum("n").alias("n"))
     roots = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))

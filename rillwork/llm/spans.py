@@ -1,13 +1,18 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences; every run of ``run`` consecutive sentences is hashed, equal runs are joined over all
-documents, and the sentences covered by any run that is not the first of its kind are removed. The first is the one with
-the smallest document id, then the smallest position.
+A text is cut into sentences; every run of consecutive sentences is hashed, equal runs are joined over all documents, and
+the sentences covered by any run that is not the first of its kind are removed. The first is the one with the smallest
+document id, then the smallest position.
+
+Text without sentence marks is cut by its own words: of every ``WINDOW`` words in a row within a sentence, the one with the
+smallest CRC-32, the last of equals, ends a piece. So where a passage is cut depends on the passage, not on where it was
+pasted, and any 50 words that two documents share hold three whole pieces of both. Short sentences are taken together: a run
+goes on beyond ``run`` sentences until it has ``min_words`` words.
 """
 
 from __future__ import annotations
 
-import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,28 +22,59 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillwork.llm.common import mix, table
+from rillwork.llm.common import mix, raw, table
+from rillwork.session import stage
 
-#: A sentence ends with a word that ends in a full stop, exclamation or question mark, at a line break or after 16 words.
-#: It keeps the white space behind it, so a text with a word is the concatenation of its sentences.
-SENTENCE = r"[ \x09-\x0D]*(?:[^ \x09-\x0D]*[^ \x09-\x0D.!?][ \x09\x0B-\x0D]+){0,15}[^ \x09-\x0D]+[ \x09-\x0D]*"
+#: Words of which one ends a piece, where no sentence ends among them.
+WINDOW = 10
 SPANS = pa.schema([("doc_id", pa.int64()), ("at", pa.int32()), ("h", pa.int64()), ("g", pa.int32())])
 
 
-def hashes(text: str, run: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, 64-bit hashes) of the runs of sentences of a text; words count, white space between them does not."""
-    words = [p.encode("utf-8", "surrogatepass").split() for p in re.findall(SENTENCE, text)]
-    n = len(words) - run + 1
-    if n < 1:
-        return np.empty(0, np.int32), np.empty(0, np.uint64)
-    one = np.fromiter((xxhash.xxh3_64_intdigest(b" ".join(w)) for w in words), np.uint64, len(words))
-    count = np.fromiter(map(len, words), np.int64, len(words))
-    key, size = np.zeros(n, np.uint64), np.zeros(n, np.int64)
-    for k in range(run):
-        key = mix(key + one[k:k + n])
-        size += count[k:k + n]
-    at = np.flatnonzero(size >= min_words)
-    return at.astype(np.int32), key[at]
+def pieces(data: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(words, number of the first word, first byte) of every piece of a UTF-8 text; a piece keeps the white space behind it.
+
+    A sentence ends with a word that ends in a full stop, exclamation or question mark, and at a line break.
+    """
+    words = data.split()
+    if not words:
+        return [], np.empty(0, np.int64), np.empty(0, np.int64)
+    d = np.frombuffer(data, np.uint8)
+    solid = np.zeros(len(d) + 2, bool)
+    solid[1:-1] = ~((d == 32) | ((d >= 9) & (d <= 13)))
+    start, end = np.flatnonzero(solid[1:] & ~solid[:-1]), np.flatnonzero(~solid[1:] & solid[:-1])
+    breaks = np.concatenate([[0], np.cumsum(d == 10)])
+    closes = np.isin(d[end - 1], np.frombuffer(b".!?", np.uint8))
+    closes[:-1] |= breaks[start[1:]] > breaks[end[:-1]]
+    closes[-1] = True
+    cut, n = closes.copy(), len(words) - WINDOW + 1
+    if n > 0:
+        sums = np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
+        sentence = np.cumsum(closes) - closes
+        inside = np.flatnonzero(sentence[:n] == sentence[WINDOW - 1:])
+        least = np.lib.stride_tricks.sliding_window_view(sums, WINDOW)[inside, ::-1].argmin(1)
+        cut[inside + WINDOW - 1 - least] = True
+    first = np.concatenate([[0], np.flatnonzero(cut[:-1]) + 1])
+    at = start[first]
+    at[0] = 0
+    return words, first, at
+
+
+def runs(words: list[bytes], first: np.ndarray, run: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first piece, number of pieces, 64-bit hash) of the run that begins at each piece; runs that the text ends too early have none."""
+    n = len(first)
+    if n < run:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+    edge = [*first.tolist(), len(words)]
+    one = np.fromiter((xxhash.xxh3_64_intdigest(b" ".join(words[a:b])) for a, b in zip(edge, edge[1:])), np.uint64, n)
+    before = np.array(edge, np.int64)
+    # the first number of pieces, ``run`` at least, that reaches the words asked for
+    last = np.maximum(np.searchsorted(before, before[:-1] + min_words, "left"), np.arange(n) + run)
+    at = np.flatnonzero(last <= n)
+    count, key = last[at] - at, np.zeros(len(at), np.uint64)
+    for k in range(int(count.max()) if len(count) else 0):
+        live = count > k
+        key[live] = mix(key[live] + one[at[live] + k])
+    return at, count, key
 
 
 def spans(docs: DataFrame, run: int, min_words: int) -> DataFrame:
@@ -48,10 +84,10 @@ def spans(docs: DataFrame, run: int, min_words: int) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
-                found = [hashes(t, run, min_words) for t in part.column("text").to_pylist()]
-                ids = np.repeat(part.column("doc_id").to_numpy(), [len(a) for a, _ in found])
-                key = np.concatenate([k for _, k in found])
-                yield pa.record_batch([pa.array(ids), pa.array(np.concatenate([a for a, _ in found])), pa.array(key.view(np.int64)),
+                found = [runs(*pieces(raw(t))[:2], run, min_words) for t in part.column("text").to_pylist()]
+                ids = np.repeat(part.column("doc_id").to_numpy(), [len(a) for a, _, _ in found])
+                key = np.concatenate([k for _, _, k in found])
+                yield pa.record_batch([pa.array(ids), pa.array(np.concatenate([a for a, _, _ in found]).astype(np.int32)), pa.array(key.view(np.int64)),
                                        pa.array((mix(key + np.uint64(1)) >> np.uint64(33)).astype(np.int32))], schema=SPANS)
 
     return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(cut, "doc_id long, at int, h long, g int")
@@ -63,7 +99,7 @@ def removals(docs: DataFrame, run: int, min_words: int) -> DataFrame:
     Keys are grouped with map-side minima, so a run that a third of all documents holds is a few rows per task; the
     join back has one row per key on one side and is split by adaptive execution on the other.
     """
-    all_spans = spans(docs, run, min_words)
+    all_spans = stage(spans(docs, run, min_words), "spans")
     first = all_spans.groupBy("h", "g").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "g", "first")
     later = all_spans.join(first, ["h", "g"]).where("doc_id <> first.doc_id OR at <> first.at")
     return later.groupBy("doc_id").agg(F.sort_array(F.collect_set("at")).alias("starts"))
@@ -72,10 +108,10 @@ def removals(docs: DataFrame, run: int, min_words: int) -> DataFrame:
 def drop_repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run: int = 3, min_words: int = 12) -> DataFrame:
     """All columns of ``docs`` with ``text`` less its repeated sentences, and n_sentences, n_removed, n_spans (maximal removed runs).
 
-    A run counts if it has ``min_words`` words at least, so that short phrases that occur by chance stay. Null, empty and
-    wordless texts, and texts with fewer than ``run`` sentences, come back as they are; a null doc_id takes no part;
-    rows that share a doc_id are one document and get the same removals; an empty table gives no rows. The added columns
-    replace columns of the same names.
+    A run has ``run`` sentences, or as many more as it takes to reach ``min_words`` words, so that short phrases that occur by
+    chance stay. Null, empty and wordless texts, and texts too short for a run, come back as they are; a null doc_id takes no
+    part; rows that share a doc_id are one document and get the same removals; an empty table gives no rows. The added
+    columns replace columns of the same names.
     """
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     gone = removals(narrow, run, min_words).withColumnsRenamed({"doc_id": "__doc", "starts": "__starts"})
@@ -85,15 +121,20 @@ def drop_repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", r
     def cut(texts: pd.Series, starts: pd.Series) -> pd.DataFrame:
         out = []
         for t, s in zip(texts, starts):
-            parts = re.findall(SENTENCE, t) if t is not None else []
-            covered = np.zeros(len(parts) + 1, bool)
-            if s is not None:
-                for k in range(run):
-                    covered[np.minimum(np.asarray(s, np.int64) + k, len(parts))] = True
-                covered[-1] = False
-            edges = int(np.count_nonzero(covered[:-1] & ~np.concatenate([[False], covered[:-2]]))) if parts else 0
-            n = int(covered.sum())
-            out.append((t if not n else "".join(p for p, c in zip(parts, covered) if not c), len(parts), n, edges))
+            data = raw(t)
+            words, first, at = pieces(data)
+            if s is None or not len(first):
+                out.append((t, len(first), 0, 0))
+                continue
+            begin, count, _ = runs(words, first, run, min_words)
+            change = np.zeros(len(first) + 1, np.int64)
+            hit = np.isin(begin, np.asarray(s, np.int64))
+            np.add.at(change, begin[hit], 1)
+            np.add.at(change, begin[hit] + count[hit], -1)
+            covered = np.cumsum(change[:-1]) > 0
+            edge = np.append(at, len(data))
+            kept = b"".join(data[a:b] for a, b, c in zip(edge[:-1].tolist(), edge[1:].tolist(), covered) if not c)
+            out.append((kept.decode("utf-8", "surrogatepass"), len(first), int(covered.sum()), int(np.count_nonzero(covered & ~np.concatenate([[False], covered[:-1]])))))
         return pd.DataFrame(out, columns=["text", "n_sentences", "n_removed", "n_spans"])
 
     done = joined.withColumn("__cut", cut(F.col(text), F.col("__starts")))
@@ -106,17 +147,30 @@ def op3_sentence_spans(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op3_sentence_spans": op3_sentence_spans}
-ORACLES = {"op3_sentence_spans": rf"""
-WITH cut AS (SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '{SENTENCE}') AS parts FROM documents),
-     norm AS (SELECT doc_id, list_transform(parts, lambda p: regexp_extract_all(p, '[^ \x09-\x0D]+')) AS words FROM cut),
-     span AS (SELECT doc_id, i AS pos, array_to_string(words[i], ' ') || chr(10) || array_to_string(words[i + 1], ' ') || chr(10) || array_to_string(words[i + 2], ' ') AS key,
-                     len(words[i]) + len(words[i + 1]) + len(words[i + 2]) AS n
-              FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM norm)),
-     later AS (SELECT doc_id, pos FROM span WHERE n >= 12 QUALIFY row_number() OVER (PARTITION BY key ORDER BY doc_id, pos) > 1),
-     gone AS (SELECT doc_id, list(DISTINCT pos + k) AS covered FROM later, range(0, 3) AS r(k) GROUP BY doc_id),
-     marked AS (SELECT doc_id, text, parts, coalesce(covered, []) AS covered FROM cut LEFT JOIN gone USING (doc_id))
-SELECT doc_id, CASE WHEN len(covered) = 0 THEN text ELSE
-           array_to_string(list_transform(list_filter(range(1, len(parts) + 1), lambda i: NOT list_contains(covered, i)), lambda i: parts[i]), '') END AS text,
-       len(parts)::BIGINT AS n_sentences, len(covered)::BIGINT AS n_removed,
-       len(list_filter(covered, lambda i: NOT list_contains(covered, i - 1)))::BIGINT AS n_spans
-FROM marked"""}
+ORACLES = {"op3_sentence_spans": r"""
+WITH steps AS (SELECT list_transform(range(0, 256), lambda b: list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0],
+                   lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+     part AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^ \x09-\x0D]+[ \x09-\x0D]*')) AS raw, generate_subscripts(regexp_extract_all(text, '[^ \x09-\x0D]+[ \x09-\x0D]*'), 1) AS pos FROM documents),
+     word AS (SELECT doc_id, pos, raw, regexp_extract(raw, '^[^ \x09-\x0D]+') AS w FROM part),
+     code AS (SELECT w, xor(list_reduce([4294967295] || list_transform(range(0, strlen(w)), lambda i: ('0x' || substr(hex(w), (2 * i + 1)::INT, 2))::BIGINT),
+                     lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) AS crc FROM (SELECT DISTINCT w FROM word), steps),
+     marked AS (SELECT doc_id, pos, raw, w, crc, regexp_matches(w, '[.!?]$') OR contains(raw, chr(10)) OR lead(pos) OVER d IS NULL AS closes
+                FROM word JOIN code USING (w) WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
+     placed AS (SELECT *, coalesce(sum(closes::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sentence FROM marked),
+     least_of AS (SELECT doc_id, (16777215 - min(crc * 16777216 + 16777215 - pos) OVER win % 16777216) AS chosen, count(*) OVER win AS n
+                  FROM placed WINDOW win AS (PARTITION BY doc_id, sentence ORDER BY pos ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING)),
+     cuts AS (SELECT DISTINCT doc_id, chosen AS pos FROM least_of WHERE n = 10),
+     numbered AS (SELECT p.doc_id, p.pos, raw, w, coalesce(sum((closes OR c.pos IS NOT NULL)::INT) OVER (PARTITION BY p.doc_id ORDER BY p.pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS piece
+                  FROM placed p LEFT JOIN cuts c ON c.doc_id = p.doc_id AND c.pos = p.pos),
+     piece AS (SELECT doc_id, piece, string_agg(w, ' ' ORDER BY pos) AS key, string_agg(raw, '' ORDER BY pos) AS raw, min(pos) - 1 AS before, max(pos) AS upto FROM numbered GROUP BY ALL),
+     run AS (SELECT a.doc_id, a.piece, min(b.piece) AS last FROM piece a JOIN piece b ON a.doc_id = b.doc_id AND b.piece BETWEEN a.piece + 2 AND a.piece + 11 AND b.upto - a.before >= 12 GROUP BY ALL),
+     span AS (SELECT r.doc_id, r.piece, r.last, string_agg(p.key, chr(10) ORDER BY p.piece) AS key FROM run r JOIN piece p ON p.doc_id = r.doc_id AND p.piece BETWEEN r.piece AND r.last GROUP BY ALL),
+     later AS (SELECT doc_id, piece, last FROM span QUALIFY row_number() OVER (PARTITION BY key ORDER BY doc_id, piece) > 1),
+     gone AS (SELECT DISTINCT doc_id, unnest(range(piece, last + 1)) AS piece FROM later),
+     cover AS (SELECT p.doc_id, p.piece, raw, g.piece IS NOT NULL AS cut, coalesce(lag(g.piece IS NOT NULL) OVER (PARTITION BY p.doc_id ORDER BY p.piece), false) AS cut_before
+               FROM piece p LEFT JOIN gone g ON g.doc_id = p.doc_id AND g.piece = p.piece),
+     done AS (SELECT doc_id, count(*) AS n_sentences, count(*) FILTER (cut) AS n_removed, count(*) FILTER (cut AND NOT cut_before) AS n_spans,
+                     coalesce(string_agg(raw, '' ORDER BY piece) FILTER (NOT cut), '') AS kept, bool_or(cut AND piece = 0) AS head FROM cover GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN coalesce(n_removed, 0) = 0 THEN d.text WHEN head THEN kept ELSE regexp_extract(d.text, '^[ \x09-\x0D]*') || kept END AS text,
+       coalesce(n_sentences, 0)::BIGINT AS n_sentences, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans
+FROM documents d LEFT JOIN done USING (doc_id)"""}

@@ -71,8 +71,11 @@ def test_null_ids_and_empty(spark):
     assert forest.near_vectors(frame(spark, [])).count() == 0
 
 
-def test_descend_reaches_both_sides():
-    x = forest.normal(list(np.random.default_rng(2).normal(size=(200, 8))))
-    cuts = forest.grow(x, 0, 99, 3, 0.05)
-    leaves = forest.descend(x, 0, 99, cuts, 0.05)
-    assert len(leaves) > 2 and sum(len(a) for _, a in leaves) > 200 and len(set(np.concatenate([a for _, a in leaves]).tolist())) == 200
+def test_descend_reaches_both_sides_once():
+    x, fresh = forest.normal(list(np.random.default_rng(2).normal(size=(200, 8)))), np.zeros(200, bool)
+    cuts = forest.grow(x, fresh, 0, 99, 4, 0.05)
+    leaves = forest.descend(x, fresh, 0, 99, cuts, 0.05)
+    count = np.bincount(np.concatenate([a for _, a, _ in leaves]), minlength=200)
+    assert len(leaves) > 4 and set(count.tolist()) == {1, 2}
+    spilt = {int(i) for _, a, s in leaves for i, now in zip(a, s) if now}
+    assert spilt == set(np.flatnonzero(count == 2).tolist())
