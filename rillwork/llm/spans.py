@@ -6,7 +6,7 @@ document id, then the smallest position.
 
 Text without sentence marks is cut by its own words: of every ``WINDOW`` words in a row within a sentence, the one with the
 smallest CRC-32, the last of equals, ends a piece. So where a passage is cut depends on the passage, not on where it was
-pasted, and any 50 words that two documents share hold three whole pieces of both. Short sentences are taken together: a run
+pasted. A piece has about six words; any 64 words that two documents share hold three whole pieces of both, and nearly any 50. Short sentences are taken together: a run
 goes on beyond ``run`` sentences until it has ``min_words`` words.
 """
 
@@ -26,8 +26,8 @@ from rillwork.llm.common import mix, raw, table
 from rillwork.session import stage
 
 #: Words of which one ends a piece, where no sentence ends among them.
-WINDOW = 10
-SPANS = pa.schema([("doc_id", pa.int64()), ("at", pa.int32()), ("h", pa.int64()), ("g", pa.int32())])
+WINDOW = 11
+SPANS = pa.schema([("doc_id", pa.int64()), ("at", pa.int32()), ("h", pa.int64()), ("g", pa.int32()), ("again", pa.bool_())])
 
 
 def pieces(data: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -78,7 +78,12 @@ def runs(words: list[bytes], first: np.ndarray, run: int, min_words: int) -> tup
 
 
 def spans(docs: DataFrame, run: int, min_words: int) -> DataFrame:
-    """(doc_id, at, h, g) of every run; h and g together are a 96-bit key."""
+    """(doc_id, at, h, g, again) of every run; h and g together are a 96-bit key, again says that it stands further up in the same text too."""
+
+    def repeated(key: np.ndarray) -> np.ndarray:
+        out = np.ones(len(key), bool)
+        out[np.unique(key, return_index=True)[1]] = False
+        return out
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,21 +93,25 @@ def spans(docs: DataFrame, run: int, min_words: int) -> DataFrame:
                 ids = np.repeat(part.column("doc_id").to_numpy(), [len(a) for a, _, _ in found])
                 key = np.concatenate([k for _, _, k in found])
                 yield pa.record_batch([pa.array(ids), pa.array(np.concatenate([a for a, _, _ in found]).astype(np.int32)), pa.array(key.view(np.int64)),
-                                       pa.array((mix(key + np.uint64(1)) >> np.uint64(33)).astype(np.int32))], schema=SPANS)
+                                       pa.array((mix(key + np.uint64(1)) >> np.uint64(33)).astype(np.int32)),
+                                       pa.array(np.concatenate([repeated(k) for _, _, k in found]))], schema=SPANS)
 
-    return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(cut, "doc_id long, at int, h long, g int")
+    return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(cut, "doc_id long, at int, h long, g int, again boolean")
 
 
 def removals(docs: DataFrame, run: int, min_words: int) -> DataFrame:
     """(doc_id, starts): where the runs begin that are not the first of their kind.
 
-    Keys are grouped with map-side minima, so a run that a third of all documents holds is a few rows per task; the
-    join back has one row per key on one side and is split by adaptive execution on the other.
+    A run that its own text repeats needs no other document. The first of each text are grouped with map-side minima, so a
+    run that a third of all documents holds is a few rows per task; the join back has one row per key on one side and is
+    split by adaptive execution on the other.
     """
     all_spans = stage(spans(docs, run, min_words), "spans")
-    first = all_spans.groupBy("h", "g").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "g", "first")
-    later = all_spans.join(first, ["h", "g"]).where("doc_id <> first.doc_id OR at <> first.at")
-    return later.groupBy("doc_id").agg(F.sort_array(F.collect_set("at")).alias("starts"))
+    own = all_spans.where("NOT again").select("doc_id", "at", "h", "g")
+    first = own.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h", "g", "first")
+    later = own.join(first, ["h", "g"]).where("doc_id > first").select("doc_id", "at")
+    both = later.unionByName(all_spans.where("again").select("doc_id", "at"))
+    return both.groupBy("doc_id").agg(F.sort_array(F.collect_set("at")).alias("starts"))
 
 
 def drop_repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run: int = 3, min_words: int = 12) -> DataFrame:
@@ -110,7 +119,7 @@ def drop_repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", r
 
     A run has ``run`` sentences, or as many more as it takes to reach ``min_words`` words, so that short phrases that occur by
     chance stay. Null, empty and wordless texts, and texts too short for a run, come back as they are; a null doc_id takes no
-    part; rows that share a doc_id are one document and get the same removals; an empty table gives no rows. The added
+    part; rows that share a doc_id are judged against smaller ids, not against each other; an empty table gives no rows. The added
     columns replace columns of the same names.
     """
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -158,8 +167,8 @@ WITH steps AS (SELECT list_transform(range(0, 256), lambda b: list_reduce([b, 0,
                 FROM word JOIN code USING (w) WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
      placed AS (SELECT *, coalesce(sum(closes::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sentence FROM marked),
      least_of AS (SELECT doc_id, (16777215 - min(crc * 16777216 + 16777215 - pos) OVER win % 16777216) AS chosen, count(*) OVER win AS n
-                  FROM placed WINDOW win AS (PARTITION BY doc_id, sentence ORDER BY pos ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING)),
-     cuts AS (SELECT DISTINCT doc_id, chosen AS pos FROM least_of WHERE n = 10),
+                  FROM placed WINDOW win AS (PARTITION BY doc_id, sentence ORDER BY pos ROWS BETWEEN CURRENT ROW AND 10 FOLLOWING)),
+     cuts AS (SELECT DISTINCT doc_id, chosen AS pos FROM least_of WHERE n = 11),
      numbered AS (SELECT p.doc_id, p.pos, raw, w, coalesce(sum((closes OR c.pos IS NOT NULL)::INT) OVER (PARTITION BY p.doc_id ORDER BY p.pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS piece
                   FROM placed p LEFT JOIN cuts c ON c.doc_id = p.doc_id AND c.pos = p.pos),
      piece AS (SELECT doc_id, piece, string_agg(w, ' ' ORDER BY pos) AS key, string_agg(raw, '' ORDER BY pos) AS raw, min(pos) - 1 AS before, max(pos) AS upto FROM numbered GROUP BY ALL),

@@ -100,3 +100,18 @@ def test_mix_draws_rows_that_share_an_id_or_have_none(spark):
     assert all(abs(taken[s] - goal[s]) <= 250 for s in size), (taken, goal)
     copies = Counter(r.text for r in got)
     assert all(copies[t] in (int(goal[s] / size[s]), int(goal[s] / size[s]) + 1) for _, t, _, s, _ in rows if goal[s] / size[s] % 1)
+
+
+def test_columns_that_clash_and_empty_tables(spark):
+    names = ["copies", "copy", "n_removed", "n_spans", "n_sentences", "kept", "starts", "size", "gone", "h", "entropy"]
+    schema = SCHEMA + "".join(f", {c} string" for c in names)
+    rows = [(*r[:5], *(f"{c}{r[0]}" for c in names)) for r in corpus()[:60]]
+    docs = spark.createDataFrame(rows, schema)
+    extra = {r[0]: r[5:] for r in rows}
+    for name, function in corpus_pipeline.STAGES[:-1]:
+        out = function(spark, docs, "")
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert got and all(tuple(r)[5:] == extra[r.doc_id] for r in got), name
+        assert function(spark, docs.limit(0), "").count() == 0
+    assert corpus_pipeline.pack_sequences(spark, docs, "").count() > 0 and corpus_pipeline.pack_sequences(spark, docs.limit(0), "").count() == 0
