@@ -94,6 +94,18 @@ def lines(spark: SparkSession, d: str) -> DataFrame:
             .withColumn("year", F.year("l_shipdate")))
 
 
+def supplier_states(spark: SparkSession, d: str) -> DataFrame:
+    s, n = table(spark, d, "supplier"), table(spark, d, "nation")
+    return s.join(n, s.s_nationkey == n.n_nationkey).select(F.col("s_suppkey").alias("l_suppkey"), F.col("n_name").alias("state"))
+
+
+def line_sums(spark: SparkSession, d: str) -> DataFrame:
+    """(l_suppkey, crop, year, qty, n, state): lines are merged per supplier, crop and year before they meet the suppliers."""
+    li, p = table(spark, d, "lineitem"), table(spark, d, "part").select("p_partkey", F.col("p_type").alias("crop"))
+    merged = li.join(p, li.l_partkey == p.p_partkey).groupBy("l_suppkey", "crop", F.year("l_shipdate").alias("year")).agg(F.sum("l_quantity").alias("qty"), F.count(F.lit(1)).alias("n"))
+    return merged.join(supplier_states(spark, d), "l_suppkey")
+
+
 def water_records(spark: SparkSession, d: str) -> DataFrame:
     """Intensity records: text values with thousands commas, one per line item."""
     return lines(spark, d).where(F.col("l_returnflag") != "A").select(

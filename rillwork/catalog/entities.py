@@ -17,16 +17,17 @@ def d1(spark, d):
     return agg.select("o_custkey", metrics.poverty_rate("below", "population").alias("poverty_rate"))
 
 
-_PRICES = {"ECONOMY": 6.54, "STANDARD": 14.2, "MEDIUM": 9.0, "PROMO": 12.0}
+_PRICES = {"ECONOMY": 6.54, "STANDARD": 14.2, "MEDIUM": 9.0, "LARGE": 398.4, "PROMO": 12.0, "SMALL": 200.0}  # six crops feed revenue, the first four the composite value
+_PER_CROP = ", ".join(f"coalesce(sum(l_quantity) FILTER (p_type = '{t}'), 0) * {v!r}::DOUBLE AS v{i}" for i, (t, v) in enumerate(_PRICES.items()))
+_ALL6, _SQ6 = " + ".join(f"v{i}" for i in range(6)), " + ".join(f"v{i} * v{i}" for i in range(6))
 
 
-@query("d2_crop_structure", """WITH q AS (SELECT l_suppkey, sum(l_quantity) FILTER (p_type = 'ECONOMY') * 6.54::DOUBLE AS a, sum(l_quantity) FILTER (p_type = 'STANDARD') * 14.2::DOUBLE AS b,
-sum(l_quantity) FILTER (p_type = 'MEDIUM') * 9.0::DOUBLE AS c, sum(l_quantity) FILTER (p_type = 'PROMO') * 12.0::DOUBLE AS e FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1),
-z AS (SELECT l_suppkey, coalesce(a, 0) AS a, coalesce(b, 0) AS b, coalesce(c, 0) AS c, coalesce(e, 0) AS e FROM q)
-SELECT l_suppkey, round((a * a + b * b + c * c + e * e) / nullif((a + b + c + e) * (a + b + c + e), 0), 3) AS crop_diversity_hhi, round((b + e) / nullif(a + b + c + e, 0), 3) AS high_water_crop_share FROM z""")
+@query("d2_crop_structure", f"""WITH z AS (SELECT l_suppkey, {_PER_CROP} FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1)
+SELECT l_suppkey, round(({_SQ6}) / nullif(({_ALL6}) * ({_ALL6}), 0), 3) AS crop_diversity_hhi, round((v4 + v5) / nullif({_ALL6}, 0), 3) AS high_water_crop_share FROM z""")
 def d2(spark, d):
-    prod = lines(spark, d).groupBy("l_suppkey", "crop").agg(F.sum("l_quantity").alias("production"))
-    return metrics.crop_structure(prod, "l_suppkey", _PRICES, ["STANDARD", "PROMO"])
+    li, p = table(spark, d, "lineitem"), table(spark, d, "part")
+    prod = li.join(p, li.l_partkey == p.p_partkey).groupBy("l_suppkey", F.col("p_type").alias("crop")).agg(F.sum("l_quantity").alias("production"))
+    return metrics.crop_structure(prod, "l_suppkey", _PRICES, ["PROMO", "SMALL"])
 
 
 @query("d3_estimated_water", f"WITH {WIDE} SELECT fips, round(irrigated_area_ac * eto_avg_in / 12, 0) AS water FROM wide")
@@ -34,13 +35,16 @@ def d3(spark, d):
     return wide(spark, d).select("fips", metrics.estimated_water("irrigated_area_ac", "eto_avg_in").alias("water"))
 
 
-@query("d4_composite_value", """WITH q AS (SELECT l_orderkey, sum(l_quantity) FILTER (p_type = 'ECONOMY') AS a, sum(l_quantity) FILTER (p_type = 'STANDARD') AS b FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1)
-SELECT l_orderkey, CASE WHEN a IS NOT NULL OR b IS NOT NULL THEN round(coalesce(a, 0) * 6.54::DOUBLE + coalesce(b, 0) * 14.2::DOUBLE, 0) END AS value FROM q""")
+_FOUR = list(_PRICES.items())[:4]
+
+
+@query("d4_composite_value", f"""WITH q AS (SELECT l_orderkey, {", ".join(f"sum(l_quantity) FILTER (p_type = '{t}') AS v{i}" for i, (t, _) in enumerate(_FOUR))} FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1)
+SELECT l_orderkey, CASE WHEN {" OR ".join(f"v{i} IS NOT NULL" for i in range(4))} THEN round({" + ".join(f"coalesce(v{i}, 0) * {v!r}::DOUBLE" for i, (_, v) in enumerate(_FOUR))}, 0) END AS value FROM q""")
 def d4(spark, d):
     li, p = table(spark, d, "lineitem"), table(spark, d, "part")
     q = li.join(p, li.l_partkey == p.p_partkey).groupBy("l_orderkey").agg(
-        F.sum(F.when(F.col("p_type") == "ECONOMY", F.col("l_quantity"))).alias("a"), F.sum(F.when(F.col("p_type") == "STANDARD", F.col("l_quantity"))).alias("b"))
-    return q.select("l_orderkey", metrics.composite_value({"a": 6.54, "b": 14.2}).alias("value"))
+        *[F.sum(F.when(F.col("p_type") == t, F.col("l_quantity"))).alias(t) for t, _ in _FOUR])
+    return q.select("l_orderkey", metrics.composite_value(dict(_FOUR)).alias("value"))
 
 
 @query("d5_target", f"WITH {WIDE} SELECT fips, round(composite_crop_value / nullif(est_water_af, 0), 2) AS crop_water_eff, round(ln(1 + greatest(round(composite_crop_value / nullif(est_water_af, 0), 2), 0)), 6) AS log_crop_water_eff FROM wide WHERE est_water_af IS NOT NULL")
@@ -63,13 +67,17 @@ def d7(spark, d):
 _GRP = "CASE WHEN p_type = 'ECONOMY' THEN 'FORAGE' WHEN p_type IN ('STANDARD', 'SMALL') THEN 'GRAIN' WHEN p_type = 'MEDIUM' THEN 'OIL' WHEN p_type = 'LARGE' THEN 'VEGETABLE' ELSE 'OTHER' END"
 
 
-@query("d13_county_rollup", f"""WITH b AS (SELECT o_custkey, p_type, sum(l_quantity) AS v FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
+_COUNTY = f"""b AS (SELECT o_custkey, p_type, sum(l_quantity) AS v FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
 t AS (SELECT o_custkey, sum(v) AS total_area, sum(CASE WHEN p_type IN ('ECONOMY', 'STANDARD', 'SMALL', 'MEDIUM') THEN v ELSE 0 END) AS low_area FROM b GROUP BY 1),
 c AS (SELECT o_custkey, p_type AS top_crop, {_GRP} AS grp FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY v DESC, p_type) AS rn FROM b) WHERE rn = 1),
 s AS (SELECT n_nationkey, n_name, CASE WHEN n_nationkey = 3 THEN NULL ELSE 0.5 + n_nationkey / 10.0 END::DOUBLE AS wi, CASE WHEN n_nationkey = 4 THEN NULL ELSE 0.002 END::DOUBLE AS dpg FROM nation)
 SELECT lpad(CAST(c_custkey AS VARCHAR), greatest(5, length(CAST(c_custkey AS VARCHAR)))::INT, '0') AS fips, n_name AS state, total_area, top_crop, grp AS "group", round(total_area * coalesce(wi, 1.0), 0) AS est_water_af,
 round(low_area * coalesce(wi, 1.0::DOUBLE) * 325851 * greatest(0, 0.015::DOUBLE - CASE grp WHEN 'GRAIN' THEN 0.0003::DOUBLE ELSE 0.0004::DOUBLE END) / 1e6, 1) AS opp_value_m, round(coalesce(dpg, 0.001) * 100, 3) AS st_dpg_cents
-FROM t JOIN c ON c.o_custkey = t.o_custkey JOIN customer ON c_custkey = t.o_custkey JOIN s ON c_nationkey = n_nationkey""")
+FROM t JOIN c ON c.o_custkey = t.o_custkey JOIN customer ON c_custkey = t.o_custkey JOIN s ON c_nationkey = n_nationkey"""
+COUNTY = _COUNTY.replace('SELECT lpad(CAST(c_custkey', 'county AS (SELECT lpad(CAST(c_custkey') + ")"
+
+
+@query("d13_county_rollup", f"WITH {COUNTY} SELECT * FROM county")
 def d13(spark, d):
     from rillwork.catalog.base import GROUPS
     li, p, o, c, n = (table(spark, d, t) for t in ("lineitem", "part", "orders", "customer", "nation"))

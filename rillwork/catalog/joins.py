@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rillwork.catalog.base import CROPS, FACTS, LINES, WIDE, area_records, crops, lines, price_records, query, table, water_records, wi_area, wide
+from rillwork.catalog.base import CROPS, FACTS, LINES, WIDE, area_records, crops, line_sums, price_records, query, table, water_records, wi_area, wide
 from rillwork import config
 from rillwork.operators import facts, models, profile, ranks
+from rillwork.session import stage
 from rillwork.functions import columns as X
 
 
@@ -140,18 +141,26 @@ def j12(spark, d):
     return out.select(F.col("id").alias("vec_id"), F.col("cluster_id").alias("label"), F.col("cluster_name").alias("name"))
 
 
+@query("j12b_labelled_entities")
+def j12b(spark, d):
+    """Entities with the cluster of the fit and its name."""
+    from rillwork.catalog.statistics import _centres, _clusters
+    from rillwork.operators import models
+    return models.label_entities(wide(spark, d).select("fips", "county"), _clusters(spark, d), _centres(spark, d), "fips")
+
+
 @query("j13_crop_presence", f"WITH {LINES}, h AS (SELECT DISTINCT state FROM lines WHERE crop = 'ECONOMY') "
        "SELECT n_name AS state, CASE WHEN h.state IS NOT NULL THEN 1 ELSE 0 END::INT AS has_crop FROM nation LEFT JOIN h ON n_name = h.state")
 def j13(spark, d):
-    grown = lines(spark, d).select("state", "crop")
+    grown = line_sums(spark, d).select("state", "crop")
     return facts.presence(table(spark, d, "nation").select(F.col("n_name").alias("state")), grown, "ECONOMY")
 
 
 @query("u1_union_years", f"WITH {LINES} SELECT state, crop, year, sum(l_quantity) AS qty FROM lines WHERE year IN (1996, 1998, 2000) GROUP BY 1, 2, 3")
 def u1(spark, d):
-    x = lines(spark, d).select("state", "crop", "year", "l_quantity")
+    x = stage(line_sums(spark, d).select("state", "crop", "year", "qty"), "line-sums")  # one scan of the lines for the three parts
     parts = [x.where(F.col("year") == y) for y in (1996, 1998, 2000)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("state", "crop", "year").agg(F.sum("l_quantity").alias("qty"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("state", "crop", "year").agg(F.sum("qty").alias("qty"))
 
 
 @query("u2_key_union", f"WITH {FACTS} SELECT state, crop, year FROM wi UNION SELECT state, crop, year FROM area")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rillwork.catalog.base import CROPS, GROUPS, RANKED, WIDE, crops, query, ranked, table, wide
 from rillwork import config
+from rillwork.catalog.entities import COUNTY, d13
 from rillwork.catalog.rollups import SALES, STATES, _NATIONAL, paid_states, states
 from rillwork.functions import columns as X
 from rillwork.operators import facts, ranks, screens
@@ -66,6 +67,25 @@ def t7(spark, d):
     return screens.top_list(wide(spark, d), "est_water_af", "fips", bar=True, positive=True, extra=["county", "state"])
 
 
+@query("t6d_dollars_per_af", f"{SALES} SELECT row_number() OVER (ORDER BY ag_per_af DESC, state)::INT AS rank, state, ag_per_af, round(ag_per_af / max(ag_per_af) OVER () * 100, 0) AS bar FROM paid WHERE ag_per_af > 0 ORDER BY 1 LIMIT 12")
+def t6d(spark, d):
+    return screens.top_list(paid_states(spark, d), "ag_per_af", "state", bar=True, positive=True)
+
+
+def _county_list(measure: str, extra: str) -> str:
+    return f"WITH {COUNTY} SELECT row_number() OVER (ORDER BY {measure} DESC, fips)::INT AS rank, fips, {measure}, round({measure} / max({measure}) OVER () * 100, 0) AS bar, {extra} FROM county WHERE {measure} > 0 ORDER BY 1 LIMIT 12"
+
+
+@query("t7b_county_opportunity", _county_list("opp_value_m", "state, top_crop"))
+def t7b(spark, d):
+    return screens.top_list(d13(spark, d), "opp_value_m", "fips", bar=True, positive=True, extra=["state", "top_crop"])
+
+
+@query("t7c_county_area", _county_list("total_area", 'top_crop, "group"'))
+def t7c(spark, d):
+    return screens.top_list(d13(spark, d), "total_area", "fips", bar=True, positive=True, extra=["top_crop", "group"])
+
+
 _GRID = [200.0, 400.0, 600.0, 800.0]
 
 
@@ -81,6 +101,11 @@ def t8b(spark, d):
     return screens.sensitivity_curve(states(spark, d), spark.createDataFrame([(p,) for p in _GRID], "price double"))
 
 
+@query("t8c_profit_flags", f"{STATES} SELECT state, price, avg_breakeven <= price AS profitable, round(price - avg_breakeven, 1) AS margin FROM states, (SELECT unnest([200.0, 400.0, 600.0, 800.0])::DOUBLE AS price) WHERE avg_breakeven IS NOT NULL")
+def t8c(spark, d):
+    return screens.profit_flags(states(spark, d), spark.createDataFrame([(p,) for p in _GRID], "price double"))
+
+
 _DROUGHT = "dr AS (SELECT event_type, round(100 * sum(value) / sum(sum(value)) OVER (), 1) AS drought_pct FROM events GROUP BY 1)"
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rillwork import config
-from rillwork.catalog.base import (CROPS, FACTS, GROUPS, LINES, PREFS, SERIES, SURVEYS, TYPES, WIDE, YIELDS, area_records, build_wide, crops, crops_of, fact_plan, fact_table, lines,
-                                   month_means, monthly, monthly_sums, nation_orders, price_records, product, query, table, water_records, wi_area, wide, year_means, yearly)
+from rillwork.catalog.base import (CROPS, FACTS, GROUPS, LINES, PREFS, SERIES, SURVEYS, TYPES, WIDE, YIELDS, area_records, build_wide, crops, crops_of, fact_plan, fact_table,
+                                   month_means, monthly, monthly_sums, nation_orders, price_records, product, query, supplier_states, table, water_records, wi_area, wide, year_means, yearly)
 from rillwork.functions import columns as X
 from rillwork.operators import facts, metrics, profile, ranks
 from rillwork.plans import county
@@ -121,7 +121,8 @@ def a25(spark, d):
 @query("a26p_station_years", """WITH s AS (SELECT n_name AS state, s_suppkey, CAST(year(l_shipdate) AS INT) AS year, sum(l_quantity) AS v FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2, 3)
 SELECT state, year, round(avg(v), 4) AS inches FROM s GROUP BY 1, 2""")
 def a26p(spark, d):
-    return facts.station_years(lines(spark, d), "state", "l_suppkey", "l_shipdate", "l_quantity", "inches").withColumn("inches", F.round("inches", 4))
+    merged = table(spark, d, "lineitem").groupBy("l_suppkey", F.trunc("l_shipdate", "year").alias("date")).agg(F.sum("l_quantity").alias("v"))
+    return facts.station_years(merged.join(supplier_states(spark, d), "l_suppkey"), "state", "l_suppkey", "date", "v", "inches").withColumn("inches", F.round("inches", 4))
 
 
 _SNAP = f"""WITH {SERIES}, k AS (SELECT *, row_number() OVER (PARTITION BY state ORDER BY month DESC) AS rn FROM monthly), p AS (SELECT * FROM k WHERE rn <= 60), y AS (SELECT state, max(year(month)) AS y FROM p GROUP BY 1)

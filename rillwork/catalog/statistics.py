@@ -107,6 +107,20 @@ def a21(spark, d):
     return profile.histogram(wide(spark, d), "crop_water_eff", index=wide_index(spark, d))
 
 
+@query("a21b_log_histogram", f"""WITH {WIDE}, v AS (SELECT {LOG} AS v FROM wide WHERE {LOG} IS NOT NULL), e AS (SELECT min(v) AS a, max(v) AS b FROM v)
+SELECT least(floor((v - a) / ((b - a) / 60)), 59)::INT AS bin, count(*) AS n FROM v, e GROUP BY 1""")
+def a21b(spark, d):
+    return profile.histogram(wide(spark, d), LOG, clip_q=None)
+
+
+@query("a22b_mean_marker", """WITH v AS (SELECT c_acctbal AS v FROM customer), s AS (SELECT min(v) AS a, max(v) AS b, avg(v) AS mean, 0.25 * stddev_samp(v) AS h FROM v), g AS (SELECT a + i * (b - a) / 499 AS x FROM s, range(0, 500) AS r(i)),
+k AS (SELECT x, sum(exp(-0.5 * ((x - v) / h) * ((x - v) / h))) AS d FROM g, s, v GROUP BY x), m AS (SELECT mean, sum(exp(-0.5 * ((mean - v) / h) * ((mean - v) / h))) AS d FROM s, v GROUP BY mean)
+SELECT round(mean, 4) AS x, round(m.d / (SELECT max(d) FROM k) * 0.38, 6) AS height, CASE WHEN mean < 0 THEN 'negative' WHEN mean > 0 THEN 'positive' ELSE 'both' END AS side FROM m""")
+def a22b(spark, d):
+    k = profile.kernel_density(table(spark, d, "customer"), "c_acctbal", points=500)
+    return k.where("g = -1").select(F.round("x", 4).alias("x"), F.round("height", 6).alias("height"), "side")
+
+
 @query("a22_kernel_density", """WITH v AS (SELECT c_acctbal AS v FROM customer), s AS (SELECT min(v) AS a, max(v) AS b, 0.25 * stddev_samp(v) AS h FROM v), g AS (SELECT unnest(range(0, 500))::INT AS g),
 k AS (SELECT g, a + g * (b - a) / 499 AS x, sum(exp(-0.5 * ((a + g * (b - a) / 499 - v) / h) * ((a + g * (b - a) / 499 - v) / h))) AS d FROM g, s, v GROUP BY g, a, b)
 SELECT g, round(x, 4) AS x, round(d / (SELECT max(d) FROM k) * 0.38, 6) AS height, CASE WHEN x < 0 THEN 'negative' WHEN x > 0 THEN 'positive' ELSE 'both' END AS side FROM k""")
@@ -154,15 +168,21 @@ def m3(spark, d):
     return spark.createDataFrame([(round(r2, 3), round(sd, 3), len(kept))], "r2 double, r2_sd double, n_features int")
 
 
-def _forest(spark, d):
-    """The published forest on all rows: (design rows, columns, model)."""
-    x, kept = design(spark, d)
-    return x, kept, models.forest(LOG).fit(models.assemble(x, kept))
+_FORESTS: dict[tuple, tuple] = {}
+
+
+def _forest(spark, d, refit=False, **settings):
+    """A forest on all rows, by default the published one: (design rows, columns, model). Queries of a session share it."""
+    key = (spark.sparkContext.applicationId, d, *sorted(settings.items()))
+    if refit or key not in _FORESTS:
+        x, kept = design(spark, d)
+        _FORESTS[key] = x, kept, models.forest(LOG, **settings).fit(models.assemble(x, kept))
+    return _FORESTS[key]
 
 
 @query("m4_importance_shares")
-def m4(spark, d):
-    x, kept, model = _forest(spark, d)
+def m4(spark, d, **settings):
+    x, kept, model = _forest(spark, d, **settings)
     return models.role_shares(models.importance_rows(x, model, kept, ROLES))
 
 
@@ -232,21 +252,26 @@ def m8(spark, d):
     return both[0].unionByName(both[1])
 
 
+def _spread(x, spark):
+    """Rows over all tasks: attributions cost far more than moving them."""
+    return x.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "fips")
+
+
 def _shap(spark, d):
     x, kept, model = _forest(spark, d)
-    shap, base = attribution.shap_values(x, model, "fips", kept)
-    return models.assemble(x, kept), model, stage(shap, "shap"), base, kept
+    shap = product(spark, d, "shap", lambda: attribution.shap_values(_spread(x, spark), model, "fips", kept)[0])
+    return models.assemble(x, kept), model, shap
 
 
 @query("m9_tree_shap")
-def m9(spark, d):
-    _, _, shap, _, kept = _shap(spark, d)
-    return attribution.shap_ranking(shap, [c for c in kept if ROLES[c] == "human"])
+def m9(spark, d, **settings):
+    x, kept, model = _forest(spark, d, **settings)
+    return attribution.mean_absolute(_spread(x, spark), model, kept, [c for c in kept if ROLES[c] == "human"])
 
 
 @query("m10_extreme_entities")
 def m10(spark, d):
-    x, model, shap, _, _ = _shap(spark, d)
+    x, model, shap = _shap(spark, d)
     return attribution.extremes(model.transform(x).select("fips", "prediction"), shap, "fips")
 
 

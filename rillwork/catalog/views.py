@@ -43,6 +43,35 @@ def e4(spark, d):
     return serve.full_map(flagged(spark, d), fx, extra=["is_lhf", "is_vwe", "is_dual", "eto_avg_in"])
 
 
+@query("e4b_map_with_clusters")
+def e4b(spark, d):
+    from rillwork.catalog.statistics import _centres, _clusters
+    fx = spark.createDataFrame(_EFFECTS, "treatment_col string, threshold double, ate double, ate_pct_change double")
+    named = models.label_entities(flagged(spark, d), _clusters(spark, d), _centres(spark, d), "fips")
+    return serve.full_map(named, fx, extra=["is_lhf", "is_vwe", "is_dual", "cluster_id", "cluster_name", "eto_avg_in"])
+
+
+@query("e5b_entity_cluster")
+def e5b(spark, d):
+    from rillwork.catalog.statistics import _centres, _clusters
+    one = serve.cluster_of(_clusters(spark, d), "7")
+    return one.join(_centres(spark, d).select("cluster_id", "cluster_name", "n_entities"), "cluster_id").select("fips", "cluster_id", "cluster_name", "n_entities")
+
+
+@query("e6b_full_summary")
+def e6b(spark, d):
+    """Target, importance shares, effects, strongest variables and fit of the national summary."""
+    from rillwork.catalog.statistics import ROLES, _forest, m5, m12, m16b
+    x, kept, model = _forest(spark, d)
+    importances = models.importance_rows(x, model, kept, ROLES)
+    w = wide(spark, d)
+    return serve.metric_rows({
+        "target": (w.agg(F.count("crop_water_eff").alias("n"), F.avg("crop_water_eff").alias("mean"), F.max("crop_water_eff").alias("best")), ""),
+        "shares": (models.role_shares(importances), "role"), "top_variables": (importances.limit(5).select("feature", "importance"), "feature"),
+        "effects": (m12(spark, d).select("treatment_col", "ate", "ate_pct_change"), "treatment_col"),
+        "fit": (m5(spark, d).agg(F.max("cv_r2").alias("lasso_cv_r2")), ""), "clusters": (m16b(spark, d).select("cluster_name", "n_entities"), "cluster_name")})
+
+
 @query("e5_cluster_summary", f"WITH {WIDE} SELECT count(DISTINCT CASE WHEN crop_diversity_hhi > 0.25 THEN 2 WHEN crop_diversity_hhi > 0.2 THEN 1 ELSE 0 END) AS n_clusters, count(*) AS n_entities FROM wide WHERE log_crop_water_eff IS NOT NULL")
 def e5(spark, d):
     x = wide(spark, d).where("log_crop_water_eff IS NOT NULL").withColumn(
@@ -63,10 +92,10 @@ def e7(spark, d):
     return serve.state_years(facts.joint_intensity(fact_table(spark, d)), SURVEYS).withColumn("intensity", F.round("intensity", 6))
 
 
-@query("e7b_state_crops", f"""WITH {CROPS}, r AS (SELECT *, row_number() OVER (PARTITION BY state ORDER BY coalesce(area * wi, 0) DESC, crop)::INT AS rank FROM crops), k AS (SELECT * FROM r WHERE rank <= 3)
+@query("e7b_state_crops", f"""WITH {CROPS}, r AS (SELECT *, row_number() OVER (PARTITION BY state ORDER BY coalesce(area * wi, 0) DESC, crop)::INT AS rank FROM crops), k AS (SELECT * FROM r WHERE rank <= 8)
 SELECT state, rank, crop, round(coalesce(wi, 0) / greatest(max(coalesce(wi, 0)) OVER (PARTITION BY state), 0.001), 4) AS bar FROM k""")
 def e7b(spark, d):
-    return serve.state_crops(crops(spark, d), k=3)
+    return serve.state_crops(crops(spark, d))
 
 
 @query("e7c_state_bands", f"{STATES} SELECT state, CASE WHEN vuln_score > 2 THEN 'extreme' WHEN vuln_score > 1 THEN 'high' WHEN vuln_score > 0.5 THEN 'medium' WHEN vuln_score IS NOT NULL THEN 'low' END AS vuln_band, "
@@ -75,6 +104,20 @@ def e7c(spark, d):
     return serve.state_bands(states(spark, d))
 
 
+@query("e7d_first_last_change", f"WITH {SERIES}, e AS (SELECT state, max(value) FILTER (year = 1995) AS a, max(value) FILTER (year = 2000) AS b FROM yearly GROUP BY 1) "
+       "SELECT state, round(a, 4) AS first_value, round(b, 4) AS last_value, round((b - a) / nullif(a, 0) * 100, 1) AS change_pct FROM e")
+def e7d(spark, d):
+    from rillwork.catalog.base import yearly
+    x = serve.first_last_change(yearly(spark, d), "state", "year", "value", 1995, 2000)
+    return x.select("state", F.round("first_value", 4).alias("first_value"), F.round("last_value", 4).alias("last_value"), "change_pct")
+
+
+@query("e7e_crop_metrics", f"WITH {CROPS} SELECT state, round(wi, 4) AS wi, round(area, 2) AS area, rev_per_acre, dpg_cents, breakeven, round(area * wi / nullif(sum(area * wi) OVER (PARTITION BY state), 0) * 100, 1) AS water_share_pct FROM crops QUALIFY crop = 'STANDARD'")
+def e7e(spark, d):
+    x = serve.crop_metrics(crops(spark, d), "STANDARD")
+    return x.select("state", F.round("wi", 4).alias("wi"), F.round("area", 2).alias("area"), "rev_per_acre", "dpg_cents", "breakeven", "water_share_pct")
+
+
 @query("e8_year_view", f"{STATES}, {_YV}, n AS (SELECT state, intensity_1996, intensity_1998, intensity_2000, {', '.join(_shared_sql(c) for c in _YR)} FROM states) " + " UNION ALL ".join(
     f"SELECT state, {y}::INT AS year, intensity_{y} AS value, norm_{y} AS norm FROM n" for y in SURVEYS))
 def e8(spark, d):

@@ -103,6 +103,25 @@ def shap_values(df: DataFrame, model, key: str, features: Sequence[str], key_typ
     return out, base
 
 
+def mean_absolute(df: DataFrame, model, features: Sequence[str], chosen: Sequence[str], digits: int = 5) -> DataFrame:
+    """Mean absolute attribution of the chosen features, strongest first. Every task sends one sum per feature; attributions of rows are not written."""
+    spark = df.sparkSession
+    shared = spark.sparkContext.broadcast(leaf_paths(spark, model)[0])
+    names = list(features)
+
+    def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, total = 0, np.zeros(len(names))
+        for pdf in batches:
+            if len(pdf):
+                n += len(pdf)
+                total += np.abs(_contributions(pdf.to_numpy(dtype=float), shared.value)).sum(axis=0)
+        yield pd.DataFrame({"feature": names, "n": n, "total": total})
+
+    sums = df.select(*[F.col(c).cast("double") for c in names]).mapInPandas(explain, "feature string, n long, total double").groupBy("feature").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    out = sums.where(F.col("feature").isin(list(chosen))).select("feature", F.round(F.col("total") / F.nullif("n", F.lit(0)), digits).alias("mean_abs_shap"))
+    return out.orderBy(F.desc("mean_abs_shap"), "feature")
+
+
 def shap_ranking(shap: DataFrame, features: Sequence[str], digits: int = 5) -> DataFrame:
     """Mean absolute attribution of the chosen features, strongest first."""
     return shap.where(F.col("feature").isin(list(features))).groupBy("feature").agg(

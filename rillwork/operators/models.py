@@ -56,7 +56,7 @@ def hashed_folds(df: DataFrame, key: str, k: int, out: str = "fold") -> DataFram
 
 def forest(target: str, trees: int = 500, depth: int = 8, min_leaf: int = 5, seed: int = 42) -> RandomForestRegressor:
     return RandomForestRegressor(featuresCol="features", labelCol=target, numTrees=trees, maxDepth=depth,
-                                 minInstancesPerNode=min_leaf, featureSubsetStrategy="all", seed=seed)
+                                 minInstancesPerNode=min_leaf, featureSubsetStrategy="all", seed=seed, maxMemoryInMB=1024)
 
 
 def cv_r2(df: DataFrame, estimator: Estimator, target: str, fold: str = "fold") -> tuple[float, float]:

@@ -82,6 +82,21 @@ def state_years(by_year: DataFrame, years: Sequence[int] = config.CENSUS_YEARS)
     return facts.adjacent_change(by_year.where(F.col("year").isin(list(years))), "state", "intensity")
 
 
+def first_last_change(series: DataFrame, key: str, year: str, value: str, first: int, last: int) -> DataFrame:
+    """Values of two years and the change from one to the other in percent."""
+    at = lambda y: F.max(F.when(F.col(year) == y, F.col(value)))
+    out = series.where(F.col(year).isin(first, last)).groupBy(key).agg(at(first).alias("first_value"), at(last).alias("last_value"))
+    return out.withColumn("change_pct", F.round(X.ratio(F.col("last_value") - F.col("first_value"), "first_value") * 100, 1))
+
+
+def crop_metrics(crops: DataFrame, crop: str) -> DataFrame:
+    """The view of one crop: its measures in every state and its share of the state's water."""
+    water = F.col("area") * F.col("wi")
+    totals = crops.groupBy("state").agg(F.sum(water).alias("_all"))
+    mine = crops.where(F.col("crop") == crop).join(totals, "state")
+    return mine.withColumn("water_share_pct", F.round(X.ratio(water, "_all") * 100, 1)).drop("_all")
+
+
 def state_crops(crops: DataFrame, k: int = 8) -> DataFrame:
     """The k crops with the most water per state; bar is the intensity relative to the state's strongest."""
     water = F.coalesce(F.col("area") * F.col("wi"), F.lit(0.0))

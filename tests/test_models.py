@@ -50,6 +50,8 @@ def test_shap_adds_up_and_matches_brute_force(spark, sample):
             for s in itertools.combinations(others, size):
                 phi += math.factorial(size) * math.factorial(3 - size) / 24 * (value({*s, j}) - value(set(s)))
         assert got[name] == pytest.approx(phi, abs=1e-9)
+    means = {r["feature"]: r["mean_abs_shap"] for r in attribution.mean_absolute(sample, model, feats, ["x1", "t"]).collect()}
+    assert means == {r["feature"]: r["mean_abs_shap"] for r in attribution.shap_ranking(shap, ["x1", "t"]).collect()}
     worst = attribution.extremes(model.transform(vec), shap, "fips", k=2)
     assert worst.count() == 4
 
