@@ -74,7 +74,7 @@ s AS (SELECT n_nationkey, n_name, CASE WHEN n_nationkey = 3 THEN NULL ELSE 0.5 +
 SELECT lpad(CAST(c_custkey AS VARCHAR), greatest(5, length(CAST(c_custkey AS VARCHAR)))::INT, '0') AS fips, n_name AS state, total_area, top_crop, grp AS "group", round(total_area * coalesce(wi, 1.0), 0) AS est_water_af,
 round(low_area * coalesce(wi, 1.0::DOUBLE) * 325851 * greatest(0, 0.015::DOUBLE - CASE grp WHEN 'GRAIN' THEN 0.0003::DOUBLE ELSE 0.0004::DOUBLE END) / 1e6, 1) AS opp_value_m, round(coalesce(dpg, 0.001) * 100, 3) AS st_dpg_cents
 FROM t JOIN c ON c.o_custkey = t.o_custkey JOIN customer ON c_custkey = t.o_custkey JOIN s ON c_nationkey = n_nationkey"""
-COUNTY = _COUNTY.replace('SELECT lpad(CAST(c_custkey', 'county AS (SELECT lpad(CAST(c_custkey') + ")"
+COUNTY = _COUNTY.replace('\nSELECT lpad(', ',\ncounty AS (SELECT lpad(') + ")"
 
 
 @query("d13_county_rollup", f"WITH {COUNTY} SELECT * FROM county")

@@ -101,7 +101,7 @@ def t8b(spark, d):
     return screens.sensitivity_curve(states(spark, d), spark.createDataFrame([(p,) for p in _GRID], "price double"))
 
 
-@query("t8c_profit_flags", f"{STATES} SELECT state, price, avg_breakeven <= price AS profitable, round(price - avg_breakeven, 1) AS margin FROM states, (SELECT unnest([200.0, 400.0, 600.0, 800.0])::DOUBLE AS price) WHERE avg_breakeven IS NOT NULL")
+@query("t8c_profit_flags", f"{STATES} SELECT state, price, avg_breakeven <= price AS profitable, round(price - avg_breakeven, 4) AS margin FROM states, (SELECT unnest([200.0, 400.0, 600.0, 800.0])::DOUBLE AS price) WHERE avg_breakeven IS NOT NULL")
 def t8c(spark, d):
     return screens.profit_flags(states(spark, d), spark.createDataFrame([(p,) for p in _GRID], "price double"))
 

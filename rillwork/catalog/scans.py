@@ -13,7 +13,7 @@ from pyspark.sql import functions as F, types as T
 from rillwork.catalog.base import RANKED, SERIES, WIDE, build_wide, monthly, query, ranked, table, wide
 from rillwork.operators import facts
 from rillwork.plans import county
-from rillwork.session import scratch_path
+from rillwork.session import scratch_path, stage
 from rillwork.sources import documents, geo, records, tables
 from rillwork.streaming import ingest
 
@@ -236,7 +236,7 @@ def j6(spark, d):
 def s15(spark, d):
     li = table(spark, d, "lineitem")
     total = lambda df: df.groupBy("l_suppkey").agg(F.round(F.sum("l_quantity"), 2).alias("total"))
-    return facts.first_nonempty([total(li.where(F.col("l_quantity") > 1e9)), total(li.where("l_returnflag = 'R'")), total(li)])
+    return facts.first_nonempty([total(li.where(F.col("l_quantity") > 1e9)), total(li.where("l_returnflag = 'R'")), total(li)], keep=lambda u: stage(u, "candidates"))
 
 
 @query("s16_optional_source", "SELECT n_name AS state, 0.5::DOUBLE AS good_ratio FROM nation")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -412,10 +412,10 @@ def member_flags(df: DataFrame, key: str, lists: Mapping[str, DataFrame]) -> Dat
     return df
 
 
-def first_nonempty(sources: Sequence[DataFrame]) -> DataFrame:
-    """Rows of the first source, in order, that has any; one tagged union, no driver-side test."""
+def first_nonempty(sources: Sequence[DataFrame], keep: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
+    """Rows of the first source, in order, that has any; one tagged union, no driver-side test. ``keep`` may stage the union, so that every source is read once."""
     tagged = [s.withColumn("_rank", F.lit(i)) for i, s in enumerate(sources)]
-    union = reduce(DataFrame.unionByName, tagged)
+    union = keep(reduce(DataFrame.unionByName, tagged))
     return union.where(F.col("_rank") == union.agg(F.min("_rank")).scalar()).drop("_rank")
 
 

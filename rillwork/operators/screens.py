@@ -136,7 +136,7 @@ def profit_flags(states: DataFrame, prices: DataFrame, key: str = "state", be: s
     """Whether each place breaks even at each price of a short grid, and by how much."""
     grid = prices.agg(F.sort_array(F.collect_set("price")).alias("_grid"))
     x = ranks.with_scalars(states.where(F.col(be).isNotNull()), grid).withColumn("price", F.explode("_grid"))
-    return x.select(key, "price", (F.col(be) <= F.col("price")).alias("profitable"), F.round(F.col("price") - F.col(be), 1).alias("margin"))
+    return x.select(key, "price", (F.col(be) <= F.col("price")).alias("profitable"), F.round(F.col("price") - F.col(be), 4).alias("margin"))
 
 
 def crop_name_lists(crops: DataFrame, key: str = "state", name: str = "crop", thirsty: float = 1.5, poor: float = 0.2,
