@@ -1,17 +1,19 @@
 """Mixture-controlled packing: every window takes tokens from the source queues in target proportions.
 
-Each source is a queue of tokens. Its quanta get virtual finish times spaced evenly, so that a source with share p of
-all tokens owns a share p of every stretch of virtual time; serving quanta in the order of their times is a deficit
-round robin in which what a window leaves over stays as the source's deficit for the next one. A quantum's place
-follows from integer arithmetic on the queue lengths alone, so partitions place their own tokens without a running
-state and deficits carry over from one partition to the next.
+Each source is a queue of tokens and has a target share. Its quanta get virtual finish times spaced by one over the share, so
+a source owns its share of every stretch of virtual time; serving quanta in the order of their times is a deficit round
+robin: what a source is behind its target at the end of a window, at most a quantum, is its deficit, which makes its next
+quantum come first in the window that follows. A quantum's place is the number of quanta of all sources with earlier
+times, which integer arithmetic on the queue lengths gives, so partitions place their own tokens without a running state
+and deficits carry over from one partition to the next. A source that has run out leaves its part to the others.
 """
 
 from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -130,14 +132,24 @@ def tokenize(docs: DataFrame, doc_id: str, text: str, source: str, ranks: str, p
     return narrow.mapInArrow(run, "doc_id long, source string, part int, local long, doc_tokens long, ids binary")
 
 
-def places(part_of: np.ndarray, number: np.ndarray, totals: np.ndarray, quantum: int) -> np.ndarray:
+def steps(totals: np.ndarray, quantum: int, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(quanta, virtual time between two quanta) of each queue. ``weights`` are the target shares as whole numbers, by default the queues' quanta.
+
+    The queue that lasts longest at its share fills the whole span of virtual time.
+    """
+    n = -(-totals // quantum)
+    w = [int(x) for x in (n if weights is None else weights)]
+    longest = max(((int(a), b) for a, b in zip(n, w) if a), key=lambda q: Fraction(*q), default=(1, 1))
+    return n, np.array([SPAN * longest[1] // (longest[0] * b) if a else SPAN for a, b in zip(n, w)], np.int64)
+
+
+def places(part_of: np.ndarray, number: np.ndarray, totals: np.ndarray, quantum: int, weights: np.ndarray | None = None) -> np.ndarray:
     """Place in the merged stream of the first token of quantum ``number`` of source ``part_of``.
 
     Sources are indexes into ``totals`` (tokens of each queue). A quantum's time is its number times its source's step
     plus half a step; before it come all quanta of smaller time, and of equal time those of sources with smaller index.
     """
-    n = -(-totals // quantum)
-    step = SPAN // np.maximum(n, 1)
+    n, step = steps(totals, quantum, weights)
     time = number * step[part_of] + step[part_of] // 2
     place = np.zeros(len(number), np.int64)
     for s in range(len(totals)):
@@ -150,7 +162,7 @@ def places(part_of: np.ndarray, number: np.ndarray, totals: np.ndarray, quantum:
     return place
 
 
-def cut(q0: np.ndarray, lengths: np.ndarray, part_of: np.ndarray, totals: np.ndarray, window: int, quantum: int):
+def cut(q0: np.ndarray, lengths: np.ndarray, part_of: np.ndarray, totals: np.ndarray, window: int, quantum: int, weights: np.ndarray | None = None):
     """Pieces of documents that start at ``q0`` in their source's queue: (document, start, length, sequence, offset) arrays.
 
     Tokens behind the last full window form sequences whose lengths are the powers of two of their number, so nothing is padded.
@@ -161,7 +173,7 @@ def cut(q0: np.ndarray, lengths: np.ndarray, part_of: np.ndarray, totals: np.nda
     number = ranges(first, count)
     begin = np.maximum(number * quantum, q0[doc])
     end = np.minimum((number + 1) * quantum, (q0 + lengths)[doc])
-    at = places(part_of[doc], number, totals, quantum) + begin - number * quantum
+    at = places(part_of[doc], number, totals, quantum, weights) + begin - number * quantum
     begin, size = begin - q0[doc], end - begin
 
     def split(doc, begin, size, at, edge):
@@ -196,8 +208,12 @@ def cut(q0: np.ndarray, lengths: np.ndarray, part_of: np.ndarray, totals: np.nda
 
 
 def pack(docs: DataFrame, ranks: str, pattern: str, doc_id: str = "doc_id", text: str = "text", source: str = "source", window: int = 1024,
-         quantum: int = 64, end_id: int = 0) -> DataFrame:
-    """Packs all documents into sequences of at most ``window`` tokens; every window holds the sources in the proportions of their tokens.
+         quantum: int = 64, end_id: int = 0, shares: Mapping[str | None, float] | None = None) -> DataFrame:
+    """Packs all documents into sequences of at most ``window`` tokens; every window holds the sources in their target shares, as long as they last.
+
+    ``shares`` gives the targets (positive, in any unit; a source without one gets the smallest given); by default a source's
+    share is that of its tokens, so all sources end together. Each token is packed once whatever the shares. Which documents
+    share a sequence depends on how the input is split into partitions: a rerun on the same split gives the same sequences.
 
     ``ranks`` and ``pattern`` name the byte-level vocabulary (at most 65,536 ids). Returns one row per piece: doc_id, start,
     length, doc_tokens, sequence_id, offset, source, ids (unsigned 32-bit little-endian).
@@ -213,6 +229,12 @@ def pack(docs: DataFrame, ranks: str, pattern: str, doc_id: str = "doc_id", text
     names = sorted(sums, key=lambda s: (s is None, s or ""))
     index = {s: i for i, s in enumerate(names)}
     totals = np.array([sums[s] for s in names], np.int64)
+    weights = None
+    if shares:
+        least = min(shares.values())
+        if least <= 0:
+            raise ValueError("shares are positive")
+        weights = np.array([max(1, round(shares.get(s, least) / max(shares.values()) * 10 ** 6)) for s in names], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole_batch in batches:
@@ -220,7 +242,7 @@ def pack(docs: DataFrame, ranks: str, pattern: str, doc_id: str = "doc_id", text
                 batch = whole_batch.slice(lo, 1000)
                 part_of = np.array([index[s] for s in batch.column("source").to_pylist()], np.int64)
                 q0 = batch.column("base").to_numpy() + batch.column("local").to_numpy()
-                doc, start, length, sequence, offset = cut(q0, batch.column("doc_tokens").to_numpy(), part_of, totals, window, quantum)
+                doc, start, length, sequence, offset = cut(q0, batch.column("doc_tokens").to_numpy(), part_of, totals, window, quantum, weights)
                 flat = np.frombuffer(b"".join(batch.column("ids").to_pylist()), "<u2").astype("<u4")  # pieces come in the order of their ids
                 of = pa.array(doc)
                 yield pa.record_batch([batch.column("doc_id").take(of), pa.array(start), pa.array(length), batch.column("doc_tokens").take(of), pa.array(sequence),

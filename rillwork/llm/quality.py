@@ -32,7 +32,7 @@ ORDER = 5
 ONE, TWO, THREE = (1 << 21) - 1, (1 << 42) - 1, (1 << 63) - 1
 SYMBOLS = b"#*$%&|<>"
 #: Distinct n-grams a counting task holds before it sends them, and about the n-grams of a file of the model.
-HELD, RANGE = 2_000_000, 2_000_000
+HELD, RANGE = 800_000, 2_000_000
 
 
 def folded(text: str) -> np.ndarray:

@@ -23,7 +23,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillwork.llm.common import mix, raw, table
-from rillwork.session import stage
 
 #: Words of which one ends a piece, where no sentence ends among them.
 WINDOW = 11
@@ -104,14 +103,12 @@ def removals(docs: DataFrame, run: int, min_words: int) -> DataFrame:
 
     A run that its own text repeats needs no other document. The first of each text are grouped with map-side minima, so a
     run that a third of all documents holds is a few rows per task; the join back has one row per key on one side and is
-    split by adaptive execution on the other.
+    split by adaptive execution on the other. Runs are made twice from the texts, as written they take more room than these.
     """
-    all_spans = stage(spans(docs, run, min_words), "spans")
-    own = all_spans.where("NOT again").select("doc_id", "at", "h", "g")
-    first = own.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h", "g", "first")
-    later = own.join(first, ["h", "g"]).where("doc_id > first").select("doc_id", "at")
-    both = later.unionByName(all_spans.where("again").select("doc_id", "at"))
-    return both.groupBy("doc_id").agg(F.sort_array(F.collect_set("at")).alias("starts"))
+    all_spans = spans(docs, run, min_words)
+    first = all_spans.where("NOT again").groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h", "g", "first")
+    later = all_spans.join(first, ["h", "g"], "left").where("again OR doc_id > first")
+    return later.groupBy("doc_id").agg(F.sort_array(F.collect_set("at")).alias("starts"))
 
 
 def drop_repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run: int = 3, min_words: int = 12) -> DataFrame:

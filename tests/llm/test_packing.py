@@ -79,3 +79,47 @@ def test_digest_and_empty_table(spark):
     if len(rows) == 1:
         assert rows[0].ids_crc32 == zlib.crc32(ids)
     assert sum(r.length for r in rows) == 4
+
+
+def test_windows_hold_the_target_shares_as_long_as_sources_last(spark):
+    rows = [(i, "word " * (40 + i % 9), ["a", "b", "c", None][i % 4], "", "", "") for i in range(400)]
+    plain, mixed = run(spark, rows, window=256, quantum=16).collect(), run(spark, rows, window=256, quantum=16, shares={"a": 0.5, "b": 0.3, "c": 0.1, None: 0.1}).collect()
+    assert sum(r.length for r in plain) == sum(r.length for r in mixed)
+    docs = defaultdict(dict)
+    for r in mixed:
+        docs[r.doc_id][r.start] = bytes(r.ids)
+    want = defaultdict(dict)
+    for r in plain:
+        want[r.doc_id][r.start] = bytes(r.ids)
+    join = lambda d: {k: b"".join(v for _, v in sorted(p.items())) for k, p in d.items()}
+    assert join(docs) == join(want)  # every token once, whatever the shares
+    window, total = defaultdict(lambda: defaultdict(int)), defaultdict(int)
+    for r in mixed:
+        window[r.sequence_id][r.source] += r.length
+        total[r.source] += r.length
+    full = [w for _, w in sorted(window.items()) if sum(w.values()) == 256]
+    lasts = int(total["a"] / 0.5 / 256) - 1  # source a has the largest share and runs out first
+    assert lasts > 20
+    taken = defaultdict(int)
+    for k, w in enumerate(full[:lasts]):
+        for s, share in {"a": 0.5, "b": 0.3, "c": 0.1, None: 0.1}.items():
+            taken[s] += w[s]
+            assert abs(w[s] - share * 256) <= 32
+            assert abs(taken[s] - share * 256 * (k + 1)) <= 32  # deficits carry over, they do not add up
+    after = full[lasts + 3]
+    assert after["a"] == 0 and abs(after["b"] - 0.6 * 256) <= 32  # what it leaves goes to the others in their shares
+
+
+def test_places_are_those_of_a_round_robin_with_deficits():
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        totals, weights, quantum = rng.integers(0, 900, 4).astype(np.int64), rng.integers(1, 50, 4), int(rng.integers(1, 40))
+        n, step = packing.steps(totals, quantum, weights)
+        order = sorted((k * int(step[s]) + int(step[s]) // 2, s, k) for s in range(4) for k in range(n[s]))
+        place, at = {}, 0
+        for _, s, k in order:
+            place[s, k] = at
+            at += min(quantum, int(totals[s]) - k * quantum)
+        keys = list(place)
+        got = packing.places(np.array([s for s, _ in keys], np.int64), np.array([k for _, k in keys], np.int64), totals, quantum, weights) if keys else []
+        assert list(got) == [place[k] for k in keys]
