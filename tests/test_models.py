@@ -308,3 +308,41 @@ def test_opening_matches_untiled(spark):
 def test_findings(spark):
     df = spark.createDataFrame([("t", "A", 1.0, 0.01), ("t", "B", 9.0, 0.05), ("t", "[C]", 99.0, 0.0), ("u", "A", 1.0, 0.01), ("u", "B", 2.0, 0.01)], "treatment_col string, group string, ate_pct double, p_value double")
     assert rows(effects.findings(df).select("treatment_col", "min_group", "max_group", "gap")) == [("t", "A", "B", 8.0)]
+
+
+def test_attribution_tables_equal_subset_sums(monkeypatch):
+    rng, leaves = np.random.default_rng(3), []
+    cuts = np.round(rng.normal(size=(12, 4)), 1)
+    for n in (0, 1, 2, 5, 8, 8, 8, 11):  # the last one asks for more thresholds than a table has
+        conds = []
+        for f in rng.permutation(12)[:n]:
+            lo, hi = sorted(rng.choice(cuts[f], 2, replace=False))
+            conds.append((int(f), *[(lo, hi), (-np.inf, hi), (lo, np.inf)][rng.integers(3)], float(rng.uniform(0.1, 0.9))))
+        leaves.append((float(rng.normal()), 1.0, conds))
+    x = np.vstack([rng.normal(size=(3000, 12)), cuts.T])
+
+    def expected(row):
+        phi = np.zeros(12)
+        for value, _, conds in leaves:
+            d = len(conds)
+            for j, (f, lo, hi, z) in enumerate(conds):
+                others = [c for k, c in enumerate(conds) if k != j]
+                poly = np.array([1.0])  # by the size of the subset: products of passing inside and of ratios outside
+                for g, a, b, r in others:
+                    poly = np.convolve(poly, [r, float(a < row[g] <= b)])
+                weight = [1 / (d * math.comb(d - 1, s)) for s in range(d)]
+                phi[f] += value * (poly @ weight) * (float(lo < row[f] <= hi) - z)
+        return phi
+
+    tables = attribution.Tables(leaves, 12)
+    assert any(len(g[0]) > attribution.BITS for g in tables.groups) and len(tables.groups) < 7
+    got = tables.contributions(x)
+    for i in (0, 1, 2999, 3000, 3003):
+        assert got[i] == pytest.approx(expected(x[i]), abs=1e-12)
+    assert tables.contributions(x[:5]) == pytest.approx(got[:5], abs=1e-12) and tables.contributions(x[:0]).shape == (0, 12)
+
+    few = attribution.Tables(leaves[:-1], 12)
+    calls, make = [], few._rows
+    monkeypatch.setattr(few, "_rows", lambda *a: calls.append(1) or make(*a))
+    few.contributions(np.tile(x[:1000], (8, 1)))
+    assert len(calls) == len(few.groups)  # a table serves all rows
