@@ -346,3 +346,21 @@ def test_attribution_tables_equal_subset_sums(monkeypatch):
     monkeypatch.setattr(few, "_rows", lambda *a: calls.append(1) or make(*a))
     few.contributions(np.tile(x[:1000], (8, 1)))
     assert len(calls) == len(few.groups)  # a table serves all rows
+
+
+def test_scan_of_sets_of_several_sizes(spark):
+    rng = np.random.default_rng(9)
+    x = np.round(rng.normal(size=(700, 3)), 1)
+    sets = {i: x[rng.choice(700, k, replace=False)] for i, k in enumerate((3, 2, 5, 3, 2))}
+    sets[5] = np.vstack([sets[1], sets[1]])  # equal centres: the first one gets the rows
+    one = lloyd._nearest(np.array([[[1.0, 2.0], [1.0, 0.5]]]), np.array([[1.0, 0.5]]))
+    assert one.tolist() == [[[True, False], [False, True]]]
+    got = lloyd._sums(spark.createDataFrame([(v.tolist(),) for v in x], "features array<double>").repartition(3), sets, "features")
+    for s, centres in sets.items():
+        away = ((x[:, None] - centres[None]) ** 2).sum(2)
+        near, (n, cost, total) = away.argmin(1), got[s]
+        assert cost == pytest.approx(away.min(1).sum()) and n.sum() == 700
+        if s < 5:
+            tied = (np.sort(away, 1)[:, 1] - np.sort(away, 1)[:, 0] < 1e-9).sum()
+            assert np.abs(n - np.bincount(near, minlength=len(centres))).sum() <= 2 * tied
+        assert total.sum(0) == pytest.approx(x.sum(0))
