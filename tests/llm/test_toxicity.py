@@ -51,3 +51,24 @@ def test_no_labels(spark):
     assert toxicity.score(docs, None).first().score == 0.0
     empty, _ = frames(spark, [], [])
     assert toxicity.score(empty, None).count() == 0
+
+
+def test_every_labelled_document_is_learned_from(spark, monkeypatch):
+    """A class larger than any bucket: each of its documents counts, in several buckets, and a rerun gives the same net."""
+    monkeypatch.setattr(toxicity, "BUCKET", 100)
+    rows, marks = corpus(800)
+    docs, labels = frames(spark, rows, marks)
+    known = labels.selectExpr("doc_id AS i", "toxic AS y")
+    cut = toxicity.known_texts(docs.selectExpr("doc_id AS i", "text AS t", "lang AS s"), known, 8, True)
+    seen, total, langs = toxicity.slot_counts(cut)
+    back = [toxicity.hash_fifth(i) for i, _ in marks]
+    assert total.tolist() == [sum(y == k and not b for (_, y), b in zip(marks, back)) for k in (0, 1)]
+    assert sum(v.sum() for v in langs.values()) == 800 * 40
+    bad = toxicity.text_slots("grukk snarb")
+    assert seen[0, 1, bad[0]].sum() == total[1] and seen[0, 0, bad[0]].sum() == 0
+    one, two = (toxicity.fit(docs, labels, toxicity.F.lit(True)) for _ in range(2))
+    assert np.array_equal(one.tables[0], two.tables[0]) and one.threshold == two.threshold
+    cells = toxicity.calibration_cells(cut, one)
+    assert cells["n"].sum() == sum(back) and cells["hits"].sum() == sum(y for (_, y), b in zip(marks, back) if b)
+    scores = one.scores([t for _, t, _ in rows])
+    assert ((scores >= 0.7) == np.array([y for _, y in marks])).mean() >= 0.97
