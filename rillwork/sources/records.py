@@ -8,6 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from rillwork.functions import columns as X
+from rillwork.session import stage
 from rillwork.sources import documents, files
 
 RECORD_FIELDS = ["source_desc", "sector_desc", "agg_level_desc", "statisticcat_desc", "prodn_practice_desc",
@@ -66,8 +67,13 @@ def header_matrix_rows(spark: SparkSession, path: str, cols: Sequence[str]) -> D
     """Header-row matrix files, of any size, to records with the named columns. Each file's first row names its columns."""
     def read() -> DataFrame:
         rows = documents.elements(spark, path, end="]").select("path", "start", "k", F.from_json("text", "array<string>").alias("row"))
-        heads = rows.groupBy("path").agg(F.min_by("row", F.struct("start", "k")).alias("names"), F.min(F.struct("start", "k")).alias("top"))
-        body = rows.join(heads, "path").where((F.col("start") != F.col("top.start")) | (F.col("k") != F.col("top.k")))
+        # longs alone go through a hash aggregate; least structs or rows would sort all rows of a task
+        first = rows.groupBy("path", "start").agg(F.min("k").alias("k")).groupBy("path").agg(F.min(F.struct("start", "k")).alias("top"))
+        first = stage(first.select("path", "top.start", "top.k"), "first-rows")
+        few = first.limit(documents.BROADCAST_RANGES + 1).count() <= documents.BROADCAST_RANGES  # one row per file
+        sent = F.broadcast if few else lambda heads: heads
+        heads = stage(rows.join(sent(first), ["path", "start", "k"]).select("path", F.col("start").alias("top_start"), F.col("k").alias("top_k"), F.col("row").alias("names")), "heads")
+        body = rows.join(sent(heads), "path").where((F.col("start") != F.col("top_start")) | (F.col("k") != F.col("top_k")))
         place = lambda c: F.array_position("names", c)
         return body.select(*[F.when(place(c) > 0, F.get("row", place(c).cast("int") - 1)).alias(c) for c in cols])
     return _or_empty(spark, ", ".join(f"`{c}` string" for c in cols), read)

@@ -108,3 +108,18 @@ def test_collections(spark, folder, ranges):
 
 def test_missing(spark, folder):
     assert records.json_records(spark, folder + "/none").count() == 0
+
+
+def test_header_matrix_sorts_and_shuffles_no_rows(spark, folder):
+    """One file with all rows: they stay in the tasks that cut them."""
+    with open(f"{folder}/m.json", "w") as f:
+        f.write('[["b","a"],' + ",".join(f'["{i}","x{i}"]' for i in range(2000)) + "]")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = records.header_matrix_rows(spark, folder, ["a", "b", "c"])
+        assert sorted(tuple(r) for r in got.collect()) == sorted((f"x{i}", str(i), None) for i in range(2000))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan and "SortAggregate" not in plan
