@@ -1,5 +1,6 @@
 import itertools
 import math
+import re
 
 import numpy as np
 import pytest
@@ -364,3 +365,18 @@ def test_scan_of_sets_of_several_sizes(spark):
             tied = (np.sort(away, 1)[:, 1] - np.sort(away, 1)[:, 0] < 1e-9).sum()
             assert np.abs(n - np.bincount(near, minlength=len(centres))).sum() <= 2 * tied
         assert total.sum(0) == pytest.approx(x.sum(0))
+
+
+def test_rows_are_not_shuffled_by_group_or_model(spark, sample):
+    """What belongs to a group or model is one row and goes to the rows, whatever sizes the optimizer assumes."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        by_group = effects.group_effects(sample.withColumn("group", F.substring("fips", 3, 1)), "group", ["0", "1"], "t", "y", with_p=False)
+        weighted, _ = effects.weighted_rows(sample, "fips", "y", {"t": ["x1", "x2"]}, strengths=[1.0], stage=lambda d: stage(d, "ipw"))
+        for df, n in ((by_group, 2), (weighted, 600)):
+            assert df.count() == n
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert re.search(r"BroadcastHashJoin \[(group|model)#\d+\],", plan)  # the quantiles have joins of their own
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
