@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from rillwork.operators.forests import RandomForestModel
 from rillwork.session import scratch_path
 
 
@@ -18,12 +19,15 @@ def leaf_paths(spark, model) -> tuple[list[tuple[float, float, list[tuple[int, f
     Repeated splits on one feature are merged: the interval is intersected and the cover ratios are multiplied.
     The node table has at most trees x 2^(depth+1) rows.
     """
-    path = scratch_path(spark, "forest")
-    model.write().save(path)
-    nodes = spark.read.parquet(f"{path}/data").select(
-        "treeID", "nodeData.id", "nodeData.prediction", "nodeData.impurityStats", "nodeData.leftChild",
-        "nodeData.rightChild", F.col("nodeData.split.featureIndex").alias("f"),
-        F.try_element_at("nodeData.split.leftCategoriesOrThreshold", F.lit(1)).alias("t")).collect()
+    if isinstance(model, RandomForestModel):
+        nodes = model.nodes()
+    else:
+        path = scratch_path(spark, "forest")
+        model.write().save(path)
+        nodes = spark.read.parquet(f"{path}/data").select(
+            "treeID", "nodeData.id", "nodeData.prediction", "nodeData.impurityStats", "nodeData.leftChild",
+            "nodeData.rightChild", F.col("nodeData.split.featureIndex").alias("f"),
+            F.try_element_at("nodeData.split.leftCategoriesOrThreshold", F.lit(1)).alias("t")).collect()
     trees: dict[int, dict[int, object]] = {}
     for n in nodes:
         trees.setdefault(n["treeID"], {})[n["id"]] = n
