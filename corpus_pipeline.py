@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rillwork.llm import minhash, mixing, packing, quality, spans
 from rillwork.llm.common import table
-from rillwork.session import stage
+from rillwork.session import released, scratch_path, stage
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows that share a doc_id are one document: they stay or go together. Null and empty texts are near nothing but
     each other's exact copies; an empty table stays empty; other columns are carried along.
     """
-    gone = minhash.near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
+    path = scratch_path(spark, "gone")
+    with released(spark):  # sketches, buckets and texts would take room until the last stage
+        gone = stage(minhash.near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct(), "gone", path)
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
 
 
