@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from rillwork.llm.common import components, mix, raw, table
 from rillwork.llm.letters import Words
-from rillwork.session import stage
+from rillwork.session import released, scratch_path, stage
 
 SKETCHES = pa.schema([("doc_id", pa.int64()), ("class_hi", pa.int64()), ("class_lo", pa.int64()), ("n", pa.int32()), ("sketches", pa.list_(pa.int64())), ("bag", pa.binary())])
 #: Words are counted in so many bins; two texts share at most the sum of the smaller counts.
@@ -327,9 +327,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     are one k-mer; a null doc_id is kept, without a group; rows that share a doc_id are one document, one row each; an
     empty table gives no rows; other columns are not read. Whole texts are compared, as far as the similarity allows.
     """
-    links, copies = link(docs, doc_id, text, **options)
-    edges = links.unionByName(copies.where("rep <> doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
-    edges = stage(edges, "near-links")
+    path = scratch_path(docs.sparkSession, "near-links")
+    with released(docs.sparkSession):  # only the links are read from here on; sketches, buckets and texts would take room for good
+        links, copies = link(docs, doc_id, text, **options)
+        edges = links.unionByName(copies.where("rep <> doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
+        edges = stage(edges, "near-links", path)
     roots = components(edges)
     degree = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("n_linked"))
     ids = docs.select(F.col(doc_id).cast("long").alias("doc_id"))

@@ -117,13 +117,9 @@ def test_columns_that_clash_and_empty_tables(spark):
     assert corpus_pipeline.pack_sequences(spark, docs, "").count() > 0 and corpus_pipeline.pack_sequences(spark, docs.limit(0), "").count() == 0
 
 
-def test_near_dedup_leaves_only_its_list_of_ids(spark, tmp_path):
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        docs = spark.createDataFrame(corpus(), SCHEMA)
-        kept = corpus_pipeline.near_dedup(spark, docs, "")
-        assert [p.name.split("-")[0] for p in (tmp_path / "rillwork").iterdir()] == ["gone"]
-        assert 204 not in {r["doc_id"] for r in kept.collect()} and kept.count() < docs.count()
-    finally:
-        spark.conf.set("spark.checkpoint.dir", before) if before else spark.conf.unset("spark.checkpoint.dir")
+def test_near_dedup_leaves_only_links(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("rillwork.session.scratch_dir", lambda s: str(tmp_path))
+    docs = spark.createDataFrame(corpus(), SCHEMA)
+    kept = corpus_pipeline.near_dedup(spark, docs, "")
+    assert {p.name.rsplit("-", 1)[0] for p in (tmp_path / "rillwork").iterdir()} == {"near-links", "links"}
+    assert 204 not in ids(kept) and kept.count() < docs.count()
