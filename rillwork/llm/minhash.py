@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillwork.llm.common import components, mix, raw, table
+from rillwork.llm.common import components, mix, raw, table, trim
 from rillwork.llm.letters import Words
 from rillwork.session import released, scratch_path, stage
 
@@ -26,6 +26,8 @@ SKETCHES = pa.schema([("doc_id", pa.int64()), ("class_hi", pa.int64()), ("class_
 BINS = 1024
 #: Texts of so many words at most are aligned by long integers.
 BITWISE = 20_000
+#: K-mers times seeds that are hashed at once.
+AT_ONCE = 500_000
 
 
 def counted(bag: bytes) -> np.ndarray:
@@ -64,8 +66,8 @@ def sketch(h: np.ndarray, k: int, few: int, seeds: np.ndarray) -> np.ndarray:
     labelled = kmers(h, k)
     few = min(few, len(labelled))
     out = np.empty(len(seeds), np.uint64)
-    for lo in range(0, len(seeds), max(1, 2_000_000 // len(labelled))):
-        own = seeds[lo:lo + max(1, 2_000_000 // len(labelled))]
+    for lo in range(0, len(seeds), max(1, AT_ONCE // len(labelled))):
+        own = seeds[lo:lo + max(1, AT_ONCE // len(labelled))]
         x = (labelled[None] ^ own[:, None]) * np.uint64(0xD6E8FEB86659FD93)
         x ^= x >> np.uint64(32)
         x *= np.uint64(0x9E3779B97F4A7C15)
@@ -194,6 +196,7 @@ def sketched(docs: DataFrame, doc_id: str, text: str, k: int, k_short: int, shor
                 flat = pa.array(np.concatenate(out) if out else np.empty(0, np.int64))
                 yield pa.record_batch([part.column("doc_id").take(pa.array(has)), pa.array(c[:, 0]), pa.array(c[:, 1]), pa.array(n[has].astype(np.int32)),
                                        pa.ListArray.from_arrays(offsets, flat), pa.array(bags, pa.binary())], schema=SKETCHES)
+        trim()
 
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     return narrow.mapInArrow(run, "doc_id long, class_hi long, class_lo long, n int, sketches array<long>, bag binary")

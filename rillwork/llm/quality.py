@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rillwork.llm.common import mix, raw, table, worker_store
+from rillwork.llm.common import mix, raw, table, trim, worker_store
 from rillwork.llm.files import opened
 from rillwork.llm.letters import Words
 from rillwork.llm.tokenfiles import mapped
@@ -31,8 +31,8 @@ from rillwork.session import scratch_path, stage
 ORDER = 5
 ONE, TWO, THREE = (1 << 21) - 1, (1 << 42) - 1, (1 << 63) - 1
 SYMBOLS = b"#*$%&|<>"
-#: Distinct n-grams a counting task holds before it sends them, and about the n-grams of a file of the model.
-HELD, RANGE = 800_000, 2_000_000
+#: Distinct n-grams a counting task holds before it sends them, how many it sends at a time, and about the n-grams of a file of the model.
+HELD, SENT, RANGE = 300_000, 100_000, 2_000_000
 
 
 def folded(text: str) -> np.ndarray:
@@ -94,14 +94,21 @@ def count_grams(docs: DataFrame, text: str = "text") -> DataFrame:
         held: list[tuple[np.ndarray, ...]] = []
 
         def merged():
-            h, hi, lo, n, low, high = (np.concatenate(x) for x in zip(*held))
+            """One row a hash; a column after the other, so that no second copy of all columns is held."""
+            h = np.concatenate([x[0] for x in held])
             order = np.argsort(h, kind="stable")
-            first = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
-            return (h[order][first], hi[order][first], lo[order][first], np.add.reduceat(n[order], first), np.minimum.reduceat(low[order], first),
-                    np.maximum.reduceat(high[order], first))
+            h = h[order]
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            columns, heads = [h[first]], order[first]
+            for k in (1, 2):
+                columns.append(np.concatenate([x[k] for x in held])[heads])
+            for k, join in ((3, np.add), (4, np.minimum), (5, np.maximum)):
+                columns.append(join.reduceat(np.concatenate([x[k] for x in held])[order], first))
+            return tuple(columns)
 
         def out():
-            return pa.record_batch([pa.array(x) for x in held[0][1:]], names=["hi", "lo", "n", "low", "high"])
+            for at in range(0, len(held[0][0]), SENT):
+                yield pa.record_batch([pa.array(x[at:at + SENT]) for x in held[0][1:]], names=["hi", "lo", "n", "low", "high"])
 
         for batch in batches:
             for cut in range(0, batch.num_rows, 1000):
@@ -133,11 +140,13 @@ def count_grams(docs: DataFrame, text: str = "text") -> DataFrame:
                     if sum(len(x[0]) for x in held) > 2 * HELD:
                         held[:] = [merged()]
                         if len(held[0][0]) > HELD:
-                            yield out()
+                            yield from out()
                             held.clear()
         if held:
             held[:] = [merged()]
-            yield out()
+            yield from out()
+            held.clear()
+        trim()
 
     rows = docs.select(F.col(text).alias("t")).where("t IS NOT NULL").mapInArrow(run, "hi long, lo long, n long, low long, high long")
     return rows.groupBy("hi", "lo").agg(F.sum("n").alias("n"), (F.min("low") < F.max("high")).alias("shared"))
@@ -323,6 +332,7 @@ def measure(rows: DataFrame, bits: int, index: list[tuple[int, str, int]]) -> Da
                 entropy = total / np.maximum(counts[:, 5], 1)
                 yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in others), *(pa.array(c) for c in np.ascontiguousarray(counts.T)), pa.array(entropy)],
                                                  names=[f.name for f in others] + MEASURES + ["entropy"])
+        trim()
 
     schema = T.StructType([*others, *(T.StructField(m, T.LongType()) for m in MEASURES), T.StructField("entropy", T.DoubleType())])
     return rows.mapInArrow(run, schema)

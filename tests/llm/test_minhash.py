@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -152,3 +154,14 @@ def test_both_alignments_agree(monkeypatch):
         with monkeypatch.context() as m:
             m.setattr(minhash, "BITWISE", 0)
             assert minhash.edit_distance(a, b, most) == whole
+
+
+def test_sketches_are_hashed_in_small_parts():
+    seeds = minhash.mix(np.arange(1, 49, dtype=np.uint64))
+    words = minhash.mix(np.arange(40_000, dtype=np.uint64))
+    tracemalloc.start()
+    got = minhash.sketch(words, 3, 2, seeds)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24 << 20
+    assert (got == np.concatenate([minhash.sketch(words, 3, 2, seeds[k:k + 1]) for k in range(48)])).all()
