@@ -107,8 +107,8 @@ def write(docs: DataFrame, folder: str, vocabulary: str, doc_id: str = "doc_id",
         if ("json", vocabulary) not in kept:
             kept["json", vocabulary] = JsonEncoder(vocabulary)
         for whole_batch in batches:
-            for lo in range(0, whole_batch.num_rows, 1000):
-                batch = whole_batch.slice(lo, 1000)
+            for lo in range(0, whole_batch.num_rows, 2000):
+                batch = whole_batch.slice(lo, 2000)
                 if out is None:
                     path = f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex}"
                     system, place = opened(path + ".ids")

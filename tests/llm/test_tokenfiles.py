@@ -72,6 +72,17 @@ def test_encoder_keeps_chunks(oracle):
         assert [x.tolist() for x in encoder.encode(texts)] == [oracle(t)[:-1] for t in texts]
 
 
+def test_first_chunks_are_encoded_once(oracle):
+    encoder, calls = tokenfiles.JsonEncoder(public_tokenizers.path(tokenfiles.VOCABULARY)), []
+    one = encoder.one
+    encoder.one = lambda text: calls.append(text) or one(text)
+    texts = ["Some words here", None, "Some other words", "", "alone", "x" * 40 + " far"] * 300
+    got = encoder.encode(texts)
+    assert len(got) == len(texts) and len(calls) <= 2 + 300
+    assert all(x.tolist() == oracle(t)[:-1] for t, x in zip(texts[:12], got[:12]))
+    assert all((a == b).all() for a, b in zip(got, got[6:]))
+
+
 def test_empty_table_and_query(spark, oracle):
     assert round_trip(spark, []) == ([], [])
     docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
