@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
-from rillwork.functions.stats import poisson_one, t_p_value, t_two_sided
+from rillwork.functions.stats import poisson_counts, poisson_one, t_p_value, t_two_sided
 from rillwork.operators import attribution, effects, gram, lloyd, models, newton, profile, raster, screens
 from rillwork.session import stage
 
@@ -380,3 +380,38 @@ def test_rows_are_not_shuffled_by_group_or_model(spark, sample):
             assert re.search(r"BroadcastHashJoin \[(group|model)#\d+\],", plan)  # the quantiles have joins of their own
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_counts_of_all_replicates_are_those_of_one(spark):
+    keys = spark.range(200).select(F.when(F.col("id") != 7, F.format_string("%05d", "id")).alias("k"))
+    each = keys.withColumn("seed", F.xxhash64("k")).withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(30)))).withColumn("n", poisson_one("k", "r")).toPandas()
+    table = each.pivot(index="seed", columns="r", values="n")
+    assert (poisson_counts(table.index.to_numpy(), 30) == table.to_numpy()).all() and table.to_numpy().max() > 3
+
+
+def test_replicates_are_not_rows(spark):
+    """Counts are drawn inside the tasks: no plan with a row for each row and replicate."""
+    rows_ = [(f"{i:05d}", "ab"[i % 2], float(i % 2), float(i % 3 == 0), 1.0 + i % 5) for i in range(300)]
+    df = spark.createDataFrame(rows_, "key string, model string, _y double, _t double, _w double").repartition(5)
+    for estimator in ("signed", "hajek"):
+        got = effects.bootstrap(df, "model", "key", 25, *effects._parts(estimator))
+        assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+        drawn = df.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(25)))).withColumn("_n", poisson_one("key", "r")).where("_n > 0").withColumn("_w", F.col("_w") * F.col("_n"))
+        want = drawn.groupBy("model", "r").agg(effects._estimate(estimator).alias("e")).groupBy("model").agg(F.stddev_samp("e").alias("se"))
+        assert {r["model"]: r["se"] for r in got.collect()} == pytest.approx({r["model"]: r["se"] for r in want.collect()})
+
+
+def test_scans_read_packed_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(5000, 3))
+    frame = spark.createDataFrame([(v.tolist(),) for v in x], "features array<double>").repartition(2)
+    sets = {0: x[:3], 1: x[5:7], 2: x[9:12]}
+    packed, scan, read = lloyd._packed(frame, "features"), lloyd._sums, []
+    assert packed.count() < 10
+    for s, (n, cost, total) in lloyd._sums(packed, sets, "block").items():
+        rows_n, rows_cost, rows_total = lloyd._sums(frame, sets, "features")[s]
+        assert n.tolist() == rows_n.tolist() and cost == pytest.approx(rows_cost) and total == pytest.approx(rows_total)
+    monkeypatch.setattr(lloyd, "_sums", lambda data, centres, vector: read.append(data.schema[vector].dataType.typeName()) or scan(data, centres, vector))
+    lloyd.lloyd(frame, sets, most=3)
+    assert set(read) == {"binary"}
+    assert lloyd._sums(lloyd._packed(frame.limit(0), "features"), sets, "block")[0][0].sum() == 0
